@@ -38,19 +38,20 @@ def materialize(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def dataset_names(frame: DataFrame, by: tuple[str, ...] = ("dataset",)) -> list[tuple]:
-    """The distinct data sets of a frame; raises beyond ``MAX_DATASETS``.
+def pinned(facts: DataFrame, limit: int = MAX_DATASETS) -> DataFrame:
+    """Compute facts that hold one row per data set, and keep them as a local table.
 
-    This check is what allows per-data-set facts to be broadcast.
+    Raises beyond ``limit`` rows, so whatever joins the result may broadcast it. Plans built
+    on top start from these few values instead of repeating the job that found them.
     """
-    found = frame.select(*by).distinct().limit(MAX_DATASETS + 1).collect()
-    if len(found) > MAX_DATASETS:
-        raise ValueError(f"more than {MAX_DATASETS} data sets in one job: {by} is not a data set name")
-    return sorted(tuple(row) for row in found)
+    rows = facts.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} data sets in one job: {facts.columns[0]!r} is no data set name")
+    return facts.sparkSession.createDataFrame(rows, facts.schema)
 
 
 def attach(rows: DataFrame, facts: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Left-join facts that hold one row per data set (at most ``MAX_DATASETS`` rows)."""
+    """Left-join pinned facts."""
     return rows.join(F.broadcast(facts), list(by), "left")
 
 
