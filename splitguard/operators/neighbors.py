@@ -51,8 +51,10 @@ def nearest_neighbors(
     A record that shares no feature with train gets similarity 0 and the first train record.
     ``measured`` is false where no comparison exists (NULL features, or train is empty); such
     rows still carry a copied label, as the label-copy baseline scores them too.
+
+    ``frame`` is read a few times: hand in a materialised one if its features are costly.
     """
-    rows = materialize(_hashed_rows(frame, by), "rows")
+    rows = _hashed_rows(frame, by)
     sets = materialize(_distinct_sets(rows), "sets")
     ordered = materialize(_ordered_sets(sets, cell_rows), "ordered_sets")
     test = ordered.filter(~F.col("in_train")).drop("in_train")
