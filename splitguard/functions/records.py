@@ -37,19 +37,35 @@ def token_set(text: Column | str) -> Column:
     return F.array_remove(F.array_distinct(F.split(normalized_text(text), " ")), "")
 
 
+def _with_value(value: Column, build) -> Column:
+    """``build(value)`` with ``value`` computed once per row.
+
+    A lambda that mentions an outer expression computes it again for every element; bound to
+    a lambda variable it is computed once.
+    """
+    return F.element_at(F.transform(F.array(value), build), 1)
+
+
+def _starts(length: Column, width: int) -> Column:
+    return F.sequence(F.lit(1), F.greatest(length - F.lit(width - 1), F.lit(1)))
+
+
 def word_shingles(text: Column | str, width: int) -> Column:
     """Distinct runs of ``width`` tokens; a shorter text gives its one run."""
     words = F.array_remove(F.split(normalized_text(text), " "), "")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - F.lit(width - 1), F.lit(1)))
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(words, i, width), " "))
+    runs = _with_value(
+        words,
+        lambda w: F.transform(_starts(F.size(w), width), lambda i: F.array_join(F.slice(w, i, width), " ")),
+    )
     return F.array_remove(F.array_distinct(runs), "")
 
 
 def char_shingles(text: Column | str, width: int) -> Column:
     """Distinct runs of ``width`` characters of the normalised text."""
-    norm = normalized_text(text)
-    starts = F.sequence(F.lit(1), F.greatest(F.length(norm) - F.lit(width - 1), F.lit(1)))
-    runs = F.transform(starts, lambda i: F.substring(norm, i, F.lit(width)))
+    runs = _with_value(
+        normalized_text(text),
+        lambda t: F.transform(_starts(F.length(t), width), lambda i: F.substring(t, i, F.lit(width))),
+    )
     return F.array_remove(F.array_distinct(runs), "")
 
 
