@@ -36,7 +36,16 @@ DOCS = f"""base AS (
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
 DOCS_CHARS = DOCS.replace("l.quality", "d.n_chars")
 DOCS_LANG = DOCS.replace("'documents' AS part", "d.lang AS part")
-DOCS_RUNS = DOCS.replace(tokens("d.text"), word_runs("d.text", 3))
+# Words are split once per document, then joined into runs by position.
+DOCS_RUNS = f"""words AS (
+  SELECT d.doc_id, d.source, d.text, l.quality, [x FOR x IN string_split({norm('d.text')}, ' ') IF x <> ''] AS w
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+positions AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM words),
+runs AS (SELECT doc_id, list(DISTINCT array_to_string(w[i:i + 2], ' ')) AS features FROM positions GROUP BY 1),
+base AS (
+  SELECT 'documents' AS part, words.doc_id AS record_id, {key('words.text')} AS key, source AS group_key,
+         features, CAST(quality AS DOUBLE) AS label
+  FROM words JOIN runs ON words.doc_id = runs.doc_id)"""
 ORDERS = """base AS (
   SELECT 'orders' AS part, o_orderkey AS record_id,
          md5(o_custkey || ':' || strftime(o_orderdate, '%Y-%m-%d')) AS key,

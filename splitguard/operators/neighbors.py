@@ -35,8 +35,9 @@ from splitguard.functions.numbers import fixed, percent, safe_ratio
 from splitguard.operators.splits import BY
 from splitguard.storage import attach, lookup, materialize, pinned
 
-SEED_FEATURES = 6
-SIZE_STEP = 1.1
+SEED_FEATURES = 40
+SIZE_STEP = 1.25
+PREFIX_SLACK = 0.3
 CELL_ROWS = 10_000
 
 
@@ -149,6 +150,16 @@ def _smallest_in_class(size_class: Column, step: float) -> Column:
     return F.greatest(F.floor(F.pow(F.lit(step), size_class.cast("double") - 1e-6)).cast("int"), F.lit(1))
 
 
+def _slack(needed: Column) -> Column:
+    return F.floor(needed * PREFIX_SLACK).cast("int")
+
+
+def _prefix(n: Column, needed: Column) -> Column:
+    """How many leading features to match: sets sharing ``needed`` features share more than
+    ``_slack`` of them here. The slack trades a few more matches for far fewer exact counts."""
+    return n - needed + 1 + _slack(needed)
+
+
 def _cells(count: str) -> Column:
     return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
@@ -170,18 +181,22 @@ def _seed_pairs(test: DataFrame, train: DataFrame, seed_features: int, cell_rows
         .agg(F.min("id").alias("train_id"))
         .select("part", "feature", "train_id", _cells("test_cells").alias("cell"))
     )
-    return wanted.join(representatives, ["part", "feature", "cell"]).select("part", "test_id", "train_id").distinct()
+    pairs = wanted.join(representatives, ["part", "feature", "cell"]).select("part", "test_id", "train_id")
+    return _spread(pairs).distinct()
 
 
 def _winning_pairs(test: DataFrame, train: DataFrame, bounds: DataFrame, cell_rows: int) -> DataFrame:
     """Every pair that could beat the bound of its test set, or tie it with a smaller id."""
     a, b = F.col("shared").cast("long"), F.col("either").cast("long")
 
-    def at_least(total: Column) -> Column:  # fewest shared features that reach the bound
-        return F.ceil(a * total / (a + b) - F.lit(1e-9)).cast("int")
+    # c shared features of two sets with ``total`` features in all reach the bound a/b iff
+    # c >= total * share. That product is whole or at least 1 / (a + b) away from whole, so
+    # the allowance of 1e-9 only undoes rounding.
+    def at_least(total: Column) -> Column:
+        return F.ceil(total * F.col("share") - F.lit(1e-9)).cast("int")
 
-    def more_than(total: Column) -> Column:  # fewest shared features that exceed it
-        return (F.floor(a * total / (a + b) + F.lit(1e-9)) + 1).cast("int")
+    def more_than(total: Column) -> Column:
+        return (F.floor(total * F.col("share") + F.lit(1e-9)) + 1).cast("int")
 
     low = F.ceil(F.col("n") * a / b - F.lit(1e-9)).cast("int")
     high = F.floor(F.col("n") * b / a + F.lit(1e-9)).cast("int")
@@ -189,16 +204,17 @@ def _winning_pairs(test: DataFrame, train: DataFrame, bounds: DataFrame, cell_ro
     probes = (
         test.withColumnRenamed("id", "test_id")
         .join(bounds.withColumnRenamed("train_id", "bound_id"), ["part", "test_id"])
+        .withColumn("share", a / (a + b))
         .withColumn("size_class", F.explode(classes))
         .withColumn("needed", at_least(F.col("n") + _smallest_in_class(F.col("size_class"), SIZE_STEP)))
-        .withColumn("reach", F.col("n") - F.col("needed") + 1 - F.col("front"))
+        .withColumn("reach", _prefix(F.col("n"), F.col("needed")) - F.col("front"))
         .filter("reach > 0")
         .select(
-            "part", "test_id", "bound_id", "shared", "either", "size_class", F.col("n").alias("test_n"), "front",
+            "part", "test_id", "bound_id", "share", "size_class", F.col("n").alias("test_n"), "front",
             F.posexplode(F.slice("features", 1, F.col("reach"))).alias("at", "f"),
         )
         .select(
-            "part", "test_id", "bound_id", "shared", "either", "size_class", "test_n",
+            "part", "test_id", "bound_id", "share", "size_class", "test_n",
             (F.col("front") + F.col("at") + 1).alias("test_at"), "f.feature",
             _own_cell("test_id", "f.test_cells").alias("test_cell"),
             _cells("f.train_cells").alias("train_cell"),
@@ -222,20 +238,33 @@ def _winning_pairs(test: DataFrame, train: DataFrame, bounds: DataFrame, cell_ro
         probes.join(postings, ["feature", "size_class", "test_cell", "train_cell"])
         .filter((F.col("part") == F.col("_part")) & (F.col("train_id") != F.col("bound_id")))
         .withColumn("needed", needed)
-        .filter((F.col("test_at") <= F.col("test_n") - F.col("needed") + 1)
-                & (F.col("train_at") <= F.col("train_n") - F.col("needed") + 1))
+        .filter((F.col("test_at") <= _prefix(F.col("test_n"), F.col("needed")))
+                & (F.col("train_at") <= _prefix(F.col("train_n"), F.col("needed"))))
+    )
+    # Shared features not seen yet all come later in both sets, and past a prefix in one of them.
+    unseen = F.least(
+        F.col("test_n") - F.col("test_at"),
+        F.col("train_n") - F.col("train_at"),
+        F.col("needed") - 1 - _slack(F.col("needed")),
     )
     return (
-        met.groupBy("part", "test_id", "train_id", "test_n", "train_n", "needed")
+        _spread(met).groupBy("part", "test_id", "train_id", "test_n", "train_n", "needed")
         .agg(F.count("*").alias("seen"), F.max("test_at").alias("test_at"), F.max("train_at").alias("train_at"))
-        .filter(
-            F.col("seen") + F.least(F.col("test_n") - F.col("test_at"), F.col("train_n") - F.col("train_at"))
-            >= F.col("needed")
-        )
+        .filter(F.col("seen") + unseen >= F.col("needed"))
         .select("part", "test_id", "train_id")
     )
 
 
+def _spread(pairs: DataFrame) -> DataFrame:
+    """Hash pairs over the session's full number of shuffle partitions.
+
+    Pairs are a few bytes each but costly to count, so adaptive execution must not merge their
+    partitions by size. The grouping that follows finds them already in place.
+    """
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(n, "part", "test_id", "train_id")
+
+
 def _verify(pairs: DataFrame, test: DataFrame, train: DataFrame) -> DataFrame:
     """Exact intersection and union size of each pair.
 
@@ -260,8 +289,7 @@ def _best(pairs: DataFrame) -> DataFrame:
     """The most similar train set per test set, ties to the smallest id."""
     rank = F.struct((-F.col("shared") / F.col("either")).alias("d"), "train_id", "shared", "either")
     return (
-        pairs.filter("shared > 0")
-        .groupBy("part", "test_id")
+        pairs.groupBy("part", "test_id")
         .agg(F.min(rank).alias("m"))
         .select("part", "test_id", "m.train_id", "m.shared", "m.either")
     )

@@ -26,6 +26,9 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+TIMES: dict[str, float] = {}
+
+
 def _plain(value):
     if isinstance(value, float):
         return "nan" if math.isnan(value) else round(value, 6) + 0.0
@@ -41,8 +44,10 @@ def canonical(columns, rows):
 
 
 def compare(spark, con, sf_dir, name, query, sql):
+    start = time.time()
     frame = query(spark, sf_dir)
     got = canonical(frame.columns, [tuple(r) for r in frame.collect()])
+    TIMES[name] = time.time() - start
     result = con.execute(sql)
     want = canonical([d[0] for d in result.description], result.fetchall())
     if got[0] != want[0]:
@@ -73,7 +78,7 @@ def main():
             problem = compare(spark, con, sf_dir, name, entry.queries()[name], entry.oracle_sql()[name])
         except Exception as error:  # noqa: BLE001
             problem = f"{type(error).__name__}: {str(error)[:600]}"
-        print(f"{'ok  ' if problem is None else 'FAIL'} {name} {time.time() - start:.1f}s {problem or ''}", flush=True)
+        print(f"{'ok  ' if problem is None else 'FAIL'} {name} spark {TIMES.get(name, 0):.1f}s total {time.time() - start:.1f}s {problem or ''}", flush=True)
 
 
 if __name__ == "__main__":
