@@ -37,7 +37,9 @@ from splitguard.storage import attach, lookup, materialize, pinned
 
 SEED_FEATURES = 40
 SIZE_STEP = 1.25
+FINE_STEP = 1.02
 PREFIX_SLACK = 0.3
+SLACK_BELOW = 0.2
 CELL_ROWS = 10_000
 
 
@@ -61,8 +63,8 @@ def nearest_neighbors(
     test = ordered.filter(~F.col("in_train")).drop("in_train")
     train = ordered.filter("in_train").drop("in_train")
 
-    bounds = materialize(_best(_verify(_seed_pairs(test, train, seed_features, cell_rows), test, train)), "bounds")
-    better = _best(_verify(_winning_pairs(test, train, bounds, cell_rows), test, train).unionByName(bounds))
+    bounds = materialize(_best(_verify(_seed_pairs(test, train, seed_features), test, train)), "bounds")
+    better = _best(_verify(_winning_pairs(test, train, bounds), test, train).unionByName(bounds))
     settled = sets.filter("train_id IS NOT NULL AND test_id IS NOT NULL").select(
         "part", "h1", "h2", "copies", F.lit(1.0).alias("similarity"), F.col("train_id").alias("nn_id"),
         F.col("train_label").alias("nn_label"),
@@ -141,23 +143,28 @@ def _ordered_sets(sets: DataFrame, cell_rows: int) -> DataFrame:
     )
 
 
-def _size_class(n: Column, step: float) -> Column:
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(step)) + F.lit(1e-9)).cast("int")
+def _size_class(n: Column, step: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.log(step) + F.lit(1e-9)).cast("int")
 
 
-def _smallest_in_class(size_class: Column, step: float) -> Column:
+def _smallest_in_class(size_class: Column, step: Column) -> Column:
     """A size no set of the class falls below (rounding only ever widens the class)."""
-    return F.greatest(F.floor(F.pow(F.lit(step), size_class.cast("double") - 1e-6)).cast("int"), F.lit(1))
+    return F.greatest(F.floor(F.pow(step, size_class.cast("double") - 1e-6)).cast("int"), F.lit(1))
 
 
-def _slack(needed: Column) -> Column:
-    return F.floor(needed * PREFIX_SLACK).cast("int")
+def _step(fine: Column) -> Column:
+    return F.when(fine, F.lit(FINE_STEP)).otherwise(F.lit(SIZE_STEP))
 
 
-def _prefix(n: Column, needed: Column) -> Column:
+def _slack(needed: Column, share: Column) -> Column:
+    return F.when(share < SLACK_BELOW, F.floor(needed * PREFIX_SLACK)).otherwise(F.lit(0)).cast("int")
+
+
+def _prefix(n: Column, needed: Column, share: Column) -> Column:
     """How many leading features to match: sets sharing ``needed`` features share more than
-    ``_slack`` of them here. The slack trades a few more matches for far fewer exact counts."""
-    return n - needed + 1 + _slack(needed)
+    ``_slack`` of them here. Where the bound is low, the slack trades a few more matches for
+    far fewer exact counts; where it is high, the short prefix keeps frequent features out."""
+    return n - needed + 1 + _slack(needed, share)
 
 
 def _cells(count: str) -> Column:
@@ -168,7 +175,7 @@ def _own_cell(record: str, count: str) -> Column:
     return F.pmod(F.xxhash64(record), F.col(count)).cast("int")
 
 
-def _seed_pairs(test: DataFrame, train: DataFrame, seed_features: int, cell_rows: int) -> DataFrame:
+def _seed_pairs(test: DataFrame, train: DataFrame, seed_features: int) -> DataFrame:
     """For the cheapest features of each test set: one train set per size class."""
     wanted = (
         test.select("part", F.col("id").alias("test_id"), F.explode(F.slice("features", 1, seed_features)).alias("f"))
@@ -176,7 +183,7 @@ def _seed_pairs(test: DataFrame, train: DataFrame, seed_features: int, cell_rows
         .select("part", "test_id", "feature", _own_cell("test_id", "test_cells").alias("cell"))
     )
     representatives = (
-        train.select("part", "id", _size_class(F.col("n"), 2.0).alias("size_class"), F.explode("features").alias("f"))
+        train.select("part", "id", _size_class(F.col("n"), F.lit(2.0)).alias("size_class"), F.explode("features").alias("f"))
         .groupBy("part", "f.feature", "f.test_cells", "size_class")
         .agg(F.min("id").alias("train_id"))
         .select("part", "feature", "train_id", _cells("test_cells").alias("cell"))
@@ -185,72 +192,100 @@ def _seed_pairs(test: DataFrame, train: DataFrame, seed_features: int, cell_rows
     return _spread(pairs).distinct()
 
 
-def _winning_pairs(test: DataFrame, train: DataFrame, bounds: DataFrame, cell_rows: int) -> DataFrame:
-    """Every pair that could beat the bound of its test set, or tie it with a smaller id."""
-    a, b = F.col("shared").cast("long"), F.col("either").cast("long")
+def _winning_pairs(test: DataFrame, train: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Every pair that could beat the bound of its test set, or tie it with a smaller id.
+
+    Bounds of 0.5 and more (``fine``) meet train sets in narrow size classes and only the front
+    half of their features; lower bounds use wide classes and all features.
+    """
+    share, fine = F.col("share"), F.col("fine")
 
     # c shared features of two sets with ``total`` features in all reach the bound a/b iff
-    # c >= total * share. That product is whole or at least 1 / (a + b) away from whole, so
-    # the allowance of 1e-9 only undoes rounding.
+    # c >= total * share, share = a / (a + b). That product is whole or at least 1 / (a + b)
+    # away from whole, so the allowance of 1e-9 only undoes rounding.
     def at_least(total: Column) -> Column:
-        return F.ceil(total * F.col("share") - F.lit(1e-9)).cast("int")
+        return F.ceil(total * share - F.lit(1e-9)).cast("int")
 
     def more_than(total: Column) -> Column:
-        return (F.floor(total * F.col("share") + F.lit(1e-9)) + 1).cast("int")
+        return (F.floor(total * share + F.lit(1e-9)) + 1).cast("int")
 
-    low = F.ceil(F.col("n") * a / b - F.lit(1e-9)).cast("int")
-    high = F.floor(F.col("n") * b / a + F.lit(1e-9)).cast("int")
-    classes = F.sequence(_size_class(low, SIZE_STEP), _size_class(high, SIZE_STEP))
+    smallest = F.col("test_n") + _smallest_in_class(F.col("size_class"), _step(fine))
     probes = (
-        test.withColumnRenamed("id", "test_id")
-        .join(bounds.withColumnRenamed("train_id", "bound_id"), ["part", "test_id"])
-        .withColumn("share", a / (a + b))
-        .withColumn("size_class", F.explode(classes))
-        .withColumn("needed", at_least(F.col("n") + _smallest_in_class(F.col("size_class"), SIZE_STEP)))
-        .withColumn("reach", _prefix(F.col("n"), F.col("needed")) - F.col("front"))
-        .filter("reach > 0")
-        .select(
-            "part", "test_id", "bound_id", "share", "size_class", F.col("n").alias("test_n"), "front",
-            F.posexplode(F.slice("features", 1, F.col("reach"))).alias("at", "f"),
+        test.selectExpr("part", "id AS test_id", "n AS test_n", "front", "features")
+        .join(
+            bounds.selectExpr(
+                "part",
+                "test_id",
+                "train_id AS bound_id",
+                "shared / (shared + either) AS share",
+                "shared / either AS bound",
+                "2 * shared >= either AS fine",
+            ),
+            ["part", "test_id"],
         )
-        .select(
-            "part", "test_id", "bound_id", "share", "size_class", "test_n",
-            (F.col("front") + F.col("at") + 1).alias("test_at"), "f.feature",
-            _own_cell("test_id", "f.test_cells").alias("test_cell"),
-            _cells("f.train_cells").alias("train_cell"),
+        .withColumn(
+            "size_class",
+            F.explode(
+                F.sequence(
+                    _size_class(F.ceil(F.expr("test_n * bound - 1e-9")), _step(fine)),
+                    _size_class(F.floor(F.expr("test_n / bound + 1e-9")), _step(fine)),
+                )
+            ),
+        )
+        .withColumn("reach", _prefix(F.col("test_n"), at_least(smallest), share))
+        .withColumn("to_beat", _prefix(F.col("test_n"), more_than(smallest), share))
+        .filter("reach > front")
+        .selectExpr(
+            "part", "test_id", "bound_id", "share", "fine", "size_class", "test_n", "front", "to_beat",
+            "posexplode(slice(features, 1, reach - front)) AS (at, f)",
+        )
+        .selectExpr(
+            "part", "test_id", "bound_id", "share", "fine", "size_class", "test_n", "to_beat",
+            "front + at + 1 AS test_at", "f.feature", "f.test_cells", "f.train_cells",
         )
     )
     postings = (
-        train.select(
-            F.col("part").alias("_part"), F.col("id").alias("train_id"), F.col("n").alias("train_n"), "front",
-            _size_class(F.col("n"), SIZE_STEP).alias("size_class"), F.posexplode("features").alias("at", "f"),
-        )
-        .select(
-            "_part", "train_id", "train_n", "size_class", (F.col("front") + F.col("at") + 1).alias("train_at"),
-            "f.feature",
-            _own_cell("train_id", "f.train_cells").alias("train_cell"),
-            _cells("f.test_cells").alias("test_cell"),
+        train.selectExpr("part AS _part", "id AS train_id", "n AS train_n", "front", "posexplode(features) AS (at, f)")
+        .selectExpr(
+            "_part", "train_id", "train_n", "front + at + 1 AS train_at", "f.feature", "f.test_cells",
+            "f.train_cells", "explode(array(true, false)) AS fine",
         )
+        .filter("NOT fine OR train_at <= train_n / 2 + 2")
+        .withColumn("size_class", _size_class(F.col("train_n"), _step(fine)))
+    )
+    # Features past ``to_beat`` can only lead to a tie, which needs a smaller train id. The
+    # smallest id per posting list drops most of these probes before they meet the list.
+    keys = ["fine", "feature", "size_class"]
+    heads = postings.groupBy(*keys).agg(F.min("train_id").alias("first_id"))
+    probes = (
+        probes.join(heads, keys)
+        .filter("test_at <= to_beat OR first_id < bound_id")
+        .withColumn("test_cell", _own_cell("test_id", "test_cells"))
+        .withColumn("train_cell", _cells("train_cells"))
+        .drop("test_cells", "train_cells", "first_id", "to_beat")
+    )
+    postings = (
+        postings.withColumn("train_cell", _own_cell("train_id", "train_cells"))
+        .withColumn("test_cell", _cells("test_cells"))
+        .drop("test_cells", "train_cells")
     )
     total = F.col("test_n") + F.col("train_n")
     needed = F.when(F.col("train_id") < F.col("bound_id"), at_least(total)).otherwise(more_than(total))
     met = (
-        probes.join(postings, ["feature", "size_class", "test_cell", "train_cell"])
-        .filter((F.col("part") == F.col("_part")) & (F.col("train_id") != F.col("bound_id")))
+        probes.join(postings, [*keys, "test_cell", "train_cell"])
+        .filter("part = _part AND train_id <> bound_id")
         .withColumn("needed", needed)
-        .filter((F.col("test_at") <= _prefix(F.col("test_n"), F.col("needed")))
-                & (F.col("train_at") <= _prefix(F.col("train_n"), F.col("needed"))))
+        .filter(F.col("test_at") <= _prefix(F.col("test_n"), F.col("needed"), share))
+        .filter(F.col("train_at") <= _prefix(F.col("train_n"), F.col("needed"), share))
+        .withColumn("slack", _slack(F.col("needed"), share))
+        .select("part", "test_id", "train_id", "test_n", "train_n", "needed", "slack", "test_at", "train_at")
     )
     # Shared features not seen yet all come later in both sets, and past a prefix in one of them.
-    unseen = F.least(
-        F.col("test_n") - F.col("test_at"),
-        F.col("train_n") - F.col("train_at"),
-        F.col("needed") - 1 - _slack(F.col("needed")),
-    )
     return (
-        _spread(met).groupBy("part", "test_id", "train_id", "test_n", "train_n", "needed")
+        _spread(met)
+        .groupBy("part", "test_id", "train_id", "test_n", "train_n", "needed", "slack")
         .agg(F.count("*").alias("seen"), F.max("test_at").alias("test_at"), F.max("train_at").alias("train_at"))
-        .filter(F.col("seen") + unseen >= F.col("needed"))
+        .filter("seen + least(test_n - test_at, train_n - train_at, needed - 1 - slack) >= needed")
         .select("part", "test_id", "train_id")
     )
 
