@@ -50,12 +50,12 @@ ORDERS = """base AS (
   SELECT 'orders' AS part, o_orderkey AS record_id,
          md5(o_custkey || ':' || strftime(o_orderdate, '%Y-%m-%d')) AS key,
          CAST(o_custkey AS VARCHAR) AS group_key, CAST(NULL AS VARCHAR[]) AS features,
-         CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS label
+         CAST(o_orderstatus = 'F' AS DOUBLE) AS label
   FROM orders)"""
 TURNS = f"""base AS (
   SELECT 'conversations' AS part, conv_id * 100000 + turn AS record_id, {key('text')} AS key,
          CAST(conv_id AS VARCHAR) AS group_key, {tokens('text')} AS features,
-         CASE WHEN role = 'assistant' THEN 1.0 ELSE 0.0 END AS label
+         CAST(role = 'assistant' AS DOUBLE) AS label
   FROM conversations)"""
 EVENTS = """base AS (
   SELECT 'events' AS part, event_id AS record_id, CAST(event_id AS VARCHAR) AS key,
@@ -64,7 +64,7 @@ EVENTS = """base AS (
 HOST = "regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1)"
 PAGES = f"""base AS (
   SELECT 'pages' AS part, page_id AS record_id, md5(html) AS key, {HOST} AS group_key,
-         CAST(NULL AS VARCHAR[]) AS features, 0.0 AS label FROM pages)"""
+         CAST(NULL AS VARCHAR[]) AS features, CAST(0 AS DOUBLE) AS label FROM pages)"""
 
 MESSY = f"""raw AS (
   SELECT d.doc_id AS record_id,

@@ -26,6 +26,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
 TIMES: dict[str, float] = {}
 
 
@@ -50,6 +51,10 @@ def compare(spark, con, sf_dir, name, query, sql):
     TIMES[name] = time.time() - start
     result = con.execute(sql)
     want = canonical([d[0] for d in result.description], result.fetchall())
+    types = {d[0]: TYPES.get(str(d[1]), str(d[1])) for d in result.description}
+    wrong = {c: (t, types.get(c)) for c, t in frame.dtypes if types.get(c) != t}
+    if wrong:
+        return f"types differ: {wrong}"
     if got[0] != want[0]:
         return f"columns {got[0]} != {want[0]}"
     if len(got[1]) != len(want[1]):
