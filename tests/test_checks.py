@@ -163,7 +163,7 @@ def test_fix_makes_groups_disjoint_and_reports_both_scores(make_frame):
     rows = []
     for i in range(200):
         fam = i % 10
-        rows.append(row(i, " ".join([f"f{fam}w{j}" for j in range(30)] + [words(rng, 3, 50)]), "test" if i % 5 == 0 else "train", f"fam{fam}", float(fam % 2)))
+        rows.append(row(i, " ".join([f"f{fam}w{j}" for j in range(30)] + [words(rng, 3, 50)]), "test" if i % 7 == 0 else "train", f"fam{fam}", float(fam % 2)))
     fixed = fix_split(make_frame(rows))
     r = fixed.report.first()
     assert sides_disjoint(fixed.rows) and fixed.rows.count() == 200
