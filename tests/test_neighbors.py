@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from splitguard.operators import neighbors as nb
 from splitguard.operators.neighbors import nearest_neighbors, similarity_check, similarity_histogram
 
 
@@ -95,6 +96,18 @@ def test_near_copies_from_one_template(make_frame):
     check(make_frame, rows, cell_rows=10)
 
 
+def test_template_rows_do_not_meet_in_pairs(make_frame):
+    """Every record shares 30 features with every other; no pair may leave the join for it."""
+    boiler = [f"b{i}" for i in range(30)]
+    rows = [row(i, boiler + [f"r{i}-{j}" for j in range(5)], "test" if i % 5 == 0 else "train") for i in range(300)]
+    sets = nb._distinct_sets(nb._hashed_rows(make_frame(rows), ("dataset",)))
+    ordered = nb._ordered_sets(sets, nb.CELL_ROWS)
+    test, train = ordered.filter("NOT in_train").drop("in_train"), ordered.filter("in_train").drop("in_train")
+    bounds = nb._best(nb._verify(nb._seed_pairs(test, train, nb.SEED_FEATURES), test, train))
+    assert bounds.count() == 60
+    assert nb._winning_pairs(test, train, bounds).count() == 0
+
+
 def test_result_does_not_depend_on_partitions(make_frame, spark):
     rows = random_rows(4, 200, 60, 20)
     one = nearest_neighbors(make_frame(rows).coalesce(1)).orderBy("record_id").collect()
