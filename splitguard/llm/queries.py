@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitguard.llm import hilbert, lines, names, packing, piececount, warc
+from splitguard.llm import forest, hilbert, lines, names, packing, piececount, warc
 from splitguard.storage import shared_folder
 
 N_SHARDS = 16
@@ -57,6 +57,11 @@ def op4_line_keeps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among documents: links at 85 percent of shared 5-word shingles."""
+    return forest.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under a sentencepiece model."""
     counts = piececount.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
@@ -89,4 +94,4 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op3_warc_chunks, op4_line_keeps, op6_token_counts, op7_hilbert_shards, op9_block_names, op10_best_fit)}
+QUERIES = {f.__name__: f for f in (op3_warc_chunks, op4_line_keeps, op5_lsh_forest, op6_token_counts, op7_hilbert_shards, op9_block_names, op10_best_fit)}
