@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitguard.llm import forest, hilbert, lines, names, packing, piececount, warc
+from splitguard.llm import forest, hilbert, language, leaks, licences, lines, names, packing, piececount, warc
 from splitguard.storage import shared_folder
 
 N_SHARDS = 16
@@ -35,6 +35,16 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of every document."""
+    return licences.licences(table(spark, sf_dir, "documents"))
+
+
+def op2_edit_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold, exactly or within the edit budget."""
+    return leaks.leak_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC archives and read back as chunks; per page its record."""
     pages = table(spark, sf_dir, "pages")
@@ -82,6 +92,11 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return language.predictions(table(spark, sf_dir, "documents"))
+
+
 def op9_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies among documents, found by block names."""
     copies = names.exact_copies(table(spark, sf_dir, "documents"))
@@ -94,4 +109,10 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op3_warc_chunks, op4_line_keeps, op5_lsh_forest, op6_token_counts, op7_hilbert_shards, op9_block_names, op10_best_fit)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_sentences, op2_edit_leaks, op3_warc_chunks, op4_line_keeps, op5_lsh_forest, op6_token_counts, op7_hilbert_shards,
+        op8_language_id, op9_block_names, op10_best_fit,
+    )
+}
