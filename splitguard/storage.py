@@ -34,7 +34,8 @@ def materialize(frame: DataFrame, name: str) -> DataFrame:
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/splitguard/{uuid.uuid4().hex}/{name}"
-    frame.write.parquet(path)
+    # zstd frees its buffers when a file is closed; snappy's direct ones wait for a full collection.
+    frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
