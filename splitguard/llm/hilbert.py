@@ -69,25 +69,28 @@ def _once(value: Column, build) -> Column:
 
 
 def curve_runs(rows: DataFrame, coordinates: list[Column], order: list[str], n_shards: int, bits: int = BITS) -> DataFrame:
-    """Adds curve_index, shard and slot: runs of the curve order, cut into shards at most one row apart.
+    """Per row: row (a struct of all its columns), curve_index, shard, slot.
 
-    Rows of one curve cell are ordered by a hash and then by ``order``. ``slot`` counts from 0 within the
-    shard. An empty table gives no rows; NULL coordinates are cell side 0.
+    Runs of the curve order are cut into shards whose row counts differ by one at most. Rows of one curve
+    cell are ordered by a hash and then by ``order``; rows alike in it come in any order. ``slot`` counts
+    from 0 within the shard. An empty table gives no rows.
     """
-    stored = materialize(rows.withColumn("curve_index", hilbert_index(coordinates, bits)), "curve")
+    keys = [f"key_{i}" for i in range(len(order))]
+    held = rows.select(F.struct(*rows.columns).alias("row"), hilbert_index(coordinates, bits).alias("curve_index"), *[F.col(o).alias(k) for o, k in zip(order, keys)])
+    stored = materialize(held, "curve")
     total = stored.agg(F.count("*")).scalar()
-    placed = ranked(stored, "curve_index", order).withColumn("_total", total)
-    cut = placed.withColumn("shard", F.expr(f"(place * {n_shards}) div _total").cast("int"))
-    start = F.expr(f"(cast(shard as bigint) * _total + {n_shards - 1}) div {n_shards}")
-    return cut.select(*stored.columns, "shard", (F.col("place") - start).alias("slot"))
+    placed = ranked(stored, "curve_index", keys).withColumn("total", total)
+    cut = placed.withColumn("shard", F.expr(f"(place * {n_shards}) div total").cast("int"))
+    start = F.expr(f"(cast(shard as bigint) * total + {n_shards - 1}) div {n_shards}")
+    return cut.select("row", "curve_index", "shard", (F.col("place") - start).alias("slot"))
 
 
 def shard_bounds(sharded: DataFrame, columns: list[str]) -> DataFrame:
     """Per shard: its rows and the smallest and largest value of each column, for skipping whole shards."""
-    aggs = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))]
+    aggs = [f(f"row.{c}").alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))]
     return sharded.groupBy("shard").agg(F.count("*").alias("n_rows"), *aggs)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
     """One folder per shard, each sorted along the curve, so the row groups of its files can be skipped too."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    sharded.repartition("shard").sortWithinPartitions("shard", "slot").select("row.*", "shard", "slot").write.partitionBy("shard").parquet(path)

@@ -156,16 +156,21 @@ def predict(model: Model, x: np.ndarray) -> tuple[str, float]:
 def languages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, model: Model | None = None
 ) -> DataFrame:
-    """Every column of ``docs`` and then _held_out, _lang_pred and _score; there is no shuffle of the texts.
+    """Per row of ``docs``: row (a struct of all its columns), held_out, lang_pred, score; texts are not shuffled.
 
-    ``_lang_pred`` is ``und`` with score 0 for a text that is NULL or has no letter, and for every text if
+    ``lang_pred`` is ``und`` with score 0 for a text that is NULL or has no letter, and for every text if
     there is nothing to learn from. Language and id are never inputs of a prediction, and the whole text
     is. A NULL id is neither held out nor learned from. An empty table gives no rows.
     """
     model = model or fit(docs, id_col, text_col, lang_col, sample)
-    held_out = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
-    source = docs.select(held_out.alias("_held_out"), F.col(text_col).cast("string").alias("_text"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    return _predicted(source, model).select("_row.*", "_held_out", "_lang_pred", "_score")
+    source = docs.select(
+        _held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"), F.struct(*docs.columns).alias("row")
+    )
+    return _predicted(source, model)
+
+
+def _held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def predictions(
@@ -174,19 +179,15 @@ def predictions(
     """Like ``languages``, but only doc_id, held_out, lang_pred and score."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     model = model or fit(slim, sample=sample)
-    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
-    source = slim.select(held_out.alias("_held_out"), F.col("text").cast("string").alias("_text"), F.struct("doc_id").alias("_row"))
-    return _predicted(source, model).select(
-        "_row.doc_id", F.col("_held_out").alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score")
-    )
+    source = slim.select(_held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"), F.struct("doc_id").alias("row"))
+    return _predicted(source, model).select("row.doc_id", "held_out", "lang_pred", "score")
 
 
 def _predicted(source: DataFrame, model: Model | None) -> DataFrame:
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-    row = source.schema["_row"]
     schema = StructType(
-        [row, StructField("_held_out", BooleanType()), StructField("_lang_pred", StringType()), StructField("_score", DoubleType())]
+        [source.schema["row"], StructField("held_out", BooleanType()), StructField("lang_pred", StringType()), StructField("score", DoubleType())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +201,7 @@ def _predicted(source: DataFrame, model: Model | None) -> DataFrame:
                 scores.append(score)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(2), batch.column(0), pa.array(named, pa.string()), pa.array(scores, pa.float64())],
-                names=["_row", "_held_out", "_lang_pred", "_score"],
+                names=["row", "held_out", "lang_pred", "score"],
             )
 
     return source.mapInArrow(run, schema)

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from splitguard.storage import materialize
 
-ERROR_RATE = 0.0625  # edits allowed per character of the item
+ERROR_RATE = 0.1  # edits allowed per character of the item
 MIN_CHARS = 20  # an item shorter than this says nothing about where a text comes from
-BLOCK_CHARS = 4_000_000  # characters of items matched in one pass over the documents
+BLOCK_CHARS = 2_000_000  # characters of items matched in one pass over the documents
 BATCH_ROWS = 2000
 
 MATCHES = "doc_id {id}, item_id {item}, distance int, budget int, match_end long"
@@ -24,19 +24,37 @@ def plain(text: str | None) -> str:
 
 
 class _Item:
+    """An item and its tree of pieces.
+
+    budget + 1 pieces: that many edits leave at least one of them whole. By the same count, of two
+    neighbouring groups of pieces that together have fewer edits than pieces, one has fewer edits than
+    pieces too. So a match is found from some piece by way of ever larger groups that all pass.
+    """
+
     def __init__(self, item_id, text: str, rate: float):
         self.item_id, self.text, self.budget = item_id, text, int(len(text) * rate)
+        n, self.parts = len(text), self.budget + 1
+        self.cuts = [n * i // self.parts for i in range(self.parts + 1)]
         self._masks: dict[str, int] | None = None
 
     def pieces(self) -> Iterator[tuple[int, str]]:
-        """budget + 1 pieces: that many edits leave at least one of them whole."""
-        n, parts = len(self.text), self.budget + 1
-        for i in range(parts):
-            start, stop = n * i // parts, n * (i + 1) // parts
-            yield start, self.text[start:stop]
-
-    def best(self, text: str, start: int, stop: int) -> tuple[int, int]:
-        """Smallest edit distance of the item to any part of text[start:stop], and where the first such part ends.
+        for i in range(self.parts):
+            yield i, self.text[self.cuts[i] : self.cuts[i + 1]]
+
+    def passes(self, piece: int, text: str, start: int) -> bool:
+        """Whether each group around the piece, but for the whole item, matches near text[start:] within its budget."""
+        width = 2
+        while width < self.parts:
+            first = piece - piece % width
+            last = min(first + width, self.parts)
+            edits, a, b = last - first - 1, self.cuts[first], self.cuts[last]
+            if edits and self.distance(text, max(0, start + a - edits), min(len(text), start + b + edits), a, b)[0] > edits:
+                return False
+            width *= 2
+        return True
+
+    def distance(self, text: str, start: int, stop: int, a: int = 0, b: int | None = None) -> tuple[int, int]:
+        """Smallest edit distance of item[a:b] to any part of text[start:stop], and where the first such part ends.
 
         Myers (1999): the column of the edit matrix as two bit vectors of its differences, one step per character.
         """
@@ -44,13 +62,13 @@ class _Item:
             self._masks = {}
             for i, c in enumerate(self.text):
                 self._masks[c] = self._masks.get(c, 0) | 1 << i
-        m = len(self.text)
+        m = (len(self.text) if b is None else b) - a
         full, top = (1 << m) - 1, 1 << (m - 1)
         plus, minus, score = full, 0, m
         best, end = m, start
         masks = self._masks.get
         for at in range(start, stop):
-            match = masks(text[at], 0)
+            match = masks(text[at], 0) >> a & full
             vertical = match | minus
             horizontal = (((match & plus) + plus) ^ plus) | match
             up = minus | (full & ~(horizontal | plus))
@@ -77,8 +95,8 @@ class _Matcher:
         self.items = [_Item(i, t, rate) for i, t in items]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for n, item in enumerate(self.items):
-            for start, piece in item.pieces():
-                pieces.setdefault(piece, []).append((n, start))
+            for i, piece in item.pieces():
+                pieces.setdefault(piece, []).append((n, i))
         self.automaton = ahocorasick.Automaton()
         for piece, places in pieces.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -88,17 +106,20 @@ class _Matcher:
         """(item, distance, end) for every item within its budget of some part of the text."""
         starts: dict[int, set[int]] = {}
         for end, (length, places) in self.automaton.iter(text):
-            for n, offset in places:
-                starts.setdefault(n, set()).add(end + 1 - length - offset)
+            for n, piece in places:
+                item = self.items[n]
+                start = end + 1 - length - item.cuts[piece]
+                if start not in starts.get(n, ()) and item.passes(piece, text, start):
+                    starts.setdefault(n, set()).add(start)
         for n, found in starts.items():
             item = self.items[n]
-            exact = [s for s in found if text.startswith(item.text, s) and s >= 0]
+            exact = [s for s in found if s >= 0 and text.startswith(item.text, s)]
             if exact:
                 yield item, 0, min(exact) + len(item.text)
                 continue
             best, best_end = len(item.text), 0
             for low, high in _windows(sorted(found), item.budget, len(item.text)):
-                distance, end = item.best(text, max(0, low), min(len(text), high))
+                distance, end = item.distance(text, max(0, low), min(len(text), high))
                 if distance < best:
                     best, best_end = distance, end
             if best <= item.budget:

@@ -104,12 +104,8 @@ def kept_text(text: Column, keep_runs: Column) -> Column:
 
 
 def apply_keeps(docs: DataFrame, keeps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row and column of ``docs``, then _kept_text, _n_lines and _n_dropped."""
-    right = keeps.dropDuplicates(["doc_id", "mark"]).select(
-        F.col("doc_id").alias("_keep_id"), F.col("mark").alias("_keep_mark"), F.col("n_lines").alias("_n_lines"),
-        F.col("n_dropped").alias("_n_dropped"), F.col("keep_runs").alias("_keep_runs"),
-    )
-    same = F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.hash(F.col(text_col)) == F.col("_keep_mark"))
-    joined = docs.join(right, same, "left")
-    kept = kept_text(docs[text_col], F.col("_keep_runs"))
-    return joined.select(*[docs[c] for c in docs.columns], kept.alias("_kept_text"), "_n_lines", "_n_dropped")
+    """Per row of ``docs``: row (a struct of all its columns), kept_text, n_lines, n_dropped."""
+    left = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    right = keeps.dropDuplicates(["doc_id", "mark"])
+    joined = left.join(right, F.col("id").eqNullSafe(F.col("doc_id")) & (F.hash("text") == F.col("mark")), "left")
+    return joined.select("row", kept_text(F.col("text"), F.col("keep_runs")).alias("kept_text"), "n_lines", "n_dropped")

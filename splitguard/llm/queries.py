@@ -63,7 +63,7 @@ def op4_line_keeps(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = lines.apply_keeps(docs, lines.line_keeps(docs))
     return kept.select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("_kept_text", 256).alias("kept_sha256")
+        "row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")
     )
 
 
@@ -87,7 +87,7 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     axes = [hilbert.octave_steps(F.col("size")), hilbert.name_steps(F.col("source")), hilbert.name_steps(F.col("lang"))]
     sharded = hilbert.curve_runs(docs, axes, ["doc_id", "text_crc32"], N_SHARDS)
     return sharded.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+        "row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
         "curve_index",
     )
 
