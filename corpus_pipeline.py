@@ -15,17 +15,17 @@ MIN_SCORE = 0.2  # a language less certain than this is no language
 def _with_ids(docs: DataFrame, keep: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is in ``keep`` (columns doc_id and maybe mark); NULL meets NULL."""
     right = keep.select(*[F.col(c).alias(f"_keep_{c}") for c in keep.columns])
-    same = F.col("doc_id").eqNullSafe(F.col("_keep_doc_id"))
+    same = docs["doc_id"].eqNullSafe(right["_keep_doc_id"])
     if "mark" in keep.columns:
-        same = same & (names.row_mark(F.col("text")) == F.col("_keep_mark"))
+        same = same & (names.row_mark(docs["text"]) == right["_keep_mark"])
     return docs.join(right, same, "left_semi")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language the models know; a text without letters, or NULL, goes."""
     let_workers_import(spark)
-    known = language.languages(docs).filter((F.col("_lang_pred") != language.UNKNOWN) & (F.col("_score") >= MIN_SCORE))
-    return known.select(*docs.columns)
+    known = language.languages(docs).filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SCORE))
+    return known.select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, exactly or within its edit budget."""
     matches = leaks.leak_matches(docs, table(spark, sf_dir, "benchmark"))
     found = matches.select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_leaked"]), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
