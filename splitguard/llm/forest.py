@@ -17,6 +17,7 @@ from splitguard.storage import lookup, materialize
 
 WIDTH = 5
 TREES, MIN_DEPTH, MAX_DEPTH = 12, 3, 8
+MORE_TREES = 36  # further orders for sets from large regions, which are found less often at greater depth
 REGION = 512  # a region with more sets is looked at one level deeper
 LIKELY = 64  # of TREES * MAX_DEPTH equal signature values: a pair with fewer is not looked at again
 CACHE_WORDS = 500_000
@@ -111,10 +112,12 @@ def near_copies(
     component NULL; rows that repeat id and text come out alike. Other columns are not read.
 
     Equal sets become one vertex. Each tree orders the signatures by its own run of values; a region is a
-    common prefix, at least MIN_DEPTH long. A region of more than ``region`` sets is taken apart by the
-    next value, down to MAX_DEPTH; what is still larger there is cut into cells that share a pivot. A first
-    round confirms, per region, a forest of the likeliest pairs; a second one confirms every likely pair
-    whose ends are not yet in one component. No pair is dropped for number.
+    common prefix, at least MIN_DEPTH long. A region of more than ``region`` sets is cut into cells that
+    share a pivot, and is also taken apart by the next values, down to MAX_DEPTH; its sets get further
+    trees. A first round confirms, per region, a forest of the likeliest pairs; a second one confirms every
+    likely pair whose ends are not yet in one component, with the set of most links as a further pivot of
+    every cell. No pair is dropped for number. A pair just at the bound shares a region with a chance of
+    1 - 1e-5 where regions are small.
     """
     sets = materialize(sketches(docs, id_col, text_col, width), "sketches")
     classes = materialize(
@@ -134,7 +137,7 @@ def near_copies(
     links = materialize(_confirmed(first, texts, percent, width), "links")
     labels = materialize(components(links), "labels")
     labelled = vertices.join(labels.withColumnRenamed("component", "label"), "v", "left").withColumn("label", F.coalesce("label", "v"))
-    rest = _candidates(blocks, labelled, percent, False).distinct().join(first, ["a", "b"], "left_anti")
+    rest = _candidates(_with_hubs(blocks, links), labelled, percent, False).distinct().join(first, ["a", "b"], "left_anti")
     more = materialize(_confirmed(materialize(rest, "rest_pairs"), texts, percent, width), "more_links")
     if not more.isEmpty():
         labels = materialize(components(links.unionByName(more)), "all_labels")
@@ -149,38 +152,64 @@ def near_copies(
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _prefix(tree, depth: int):
-    """A hash of the tree number and the first values of its order."""
-    return F.xxhash64(tree, F.expr(f"substring(signature, tree * {4 * MAX_DEPTH} + 1, {4 * depth})"))
+def _prefix(depth: int, more: bool):
+    """A hash of the tree number and the first values of its order.
+
+    The first TREES orders take the values as they lie in the signature; the others draw theirs from all of them.
+    """
+    if not more:
+        return F.xxhash64("tree", F.expr(f"substring(signature, tree * {4 * MAX_DEPTH} + 1, {4 * depth})"))
+    rng = np.random.default_rng(SEED + 1)
+    orders = [rng.permutation(TREES * MAX_DEPTH)[:MAX_DEPTH].tolist() for _ in range(MORE_TREES)]
+    own = F.slice(F.get(F.lit(orders), F.col("tree") - TREES), 1, depth)
+    return F.xxhash64("tree", F.transform(own, lambda p: F.call_function("substring", F.col("signature"), p * 4 + 1, F.lit(4))))
 
 
 def _blocks(vertices: DataFrame, region: int) -> DataFrame:
     """(h, cell, v): sets to be compared with one another, at most ``region`` and a pivot per (h, cell)."""
-    open_ = vertices.select("v", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    parts = []
+    parts, dense = _grown(vertices, 0, TREES, region, False)
+    if dense is not None:
+        dense = materialize(dense.select("v").distinct(), "dense")
+        parts += _grown(vertices.join(dense, "v", "left_semi"), TREES, TREES + MORE_TREES, region, True)[0]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _grown(vertices: DataFrame, first: int, stop: int, region: int, more: bool) -> tuple[list[DataFrame], DataFrame | None]:
+    """The blocks of some trees, and the rows of their large regions at MIN_DEPTH if there are any."""
+    open_ = vertices.select("v", "signature", F.explode(F.sequence(F.lit(first), F.lit(stop - 1))).alias("tree"))
+    parts, dense = [], None
     for depth in range(MIN_DEPTH, MAX_DEPTH + 1):
-        rows = open_.select("v", "tree", _prefix(F.col("tree"), depth).alias("h"))
+        rows = open_.select("v", "tree", _prefix(depth, more).alias("h"))
         sizes = materialize(
             rows.groupBy("h").agg(F.count("*").alias("n"), F.min("v").alias("pivot")).filter("n > 1").withColumn("weight", F.col("n")),
             f"regions_{depth}",
         )
-        shared = lookup(rows, sizes, ["h"], "weight", "v").filter("n IS NOT NULL")
-        shared = materialize(shared, f"shared_{depth}")
+        shared = materialize(lookup(rows, sizes, ["h"], "weight", "v").filter("n IS NOT NULL"), f"shared_{depth}")
         parts.append(shared.filter(F.col("n") <= region).select("h", F.lit(0).cast("long").alias("cell"), "v"))
         large = shared.filter(F.col("n") > region)
-        if depth == MAX_DEPTH:
+        if large.isEmpty():
+            break
+        if depth == MIN_DEPTH:
+            dense = large
+        if depth == MAX_DEPTH or depth == MIN_DEPTH and not more:
             cells = F.ceil(F.col("n") / region)
             own = F.array(F.pmod(F.xxhash64("v", "tree"), cells))
             places = F.when(F.col("v") == F.col("pivot"), F.sequence(F.lit(0).cast("long"), cells - 1)).otherwise(own)
             parts.append(large.select("h", F.explode(places).alias("cell"), "v"))
-        elif large.isEmpty():
-            break
-        else:
-            open_ = large.select("v", "tree").join(vertices.select("v", "signature"), "v")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        open_ = large.select("v", "tree").join(vertices.select("v", "signature"), "v")
+    return parts, dense
+
+
+def _with_hubs(blocks: DataFrame, links: DataFrame) -> DataFrame:
+    """The blocks, with the set of most confirmed links of a region that is in cells added to each of its cells."""
+    degrees = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("degree"))
+    regions = blocks.groupBy("h").agg(F.max("cell").alias("last")).filter("last > 0")
+    best = blocks.join(regions, "h").join(degrees, "v").groupBy("h").agg(F.max("last").alias("last"), F.max(F.struct("degree", "v")).alias("hub"))
+    added = best.select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("cell"), F.col("hub.v").alias("v"))
+    return blocks.unionByName(added.join(blocks, ["h", "cell", "v"], "left_anti"))
 
 
 def _candidates(blocks: DataFrame, vertices: DataFrame, percent: int, forest: bool) -> DataFrame:
