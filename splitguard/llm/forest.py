@@ -20,6 +20,7 @@ TREES, MIN_DEPTH, MAX_DEPTH = 12, 3, 8
 MORE_TREES = 36  # further orders for sets from large regions, which are found less often at greater depth
 REGION = 512  # a region with more sets is looked at one level deeper
 LIKELY = 64  # of TREES * MAX_DEPTH equal signature values: a pair with fewer is not looked at again
+LONG = 50_000  # shingles; longer sets are compared in pairs, so that a block of sets fits in memory
 CACHE_WORDS = 500_000
 SEED = 42
 
@@ -114,9 +115,10 @@ def near_copies(
     Equal sets become one vertex. Each tree orders the signatures by its own run of values; a region is a
     common prefix, at least MIN_DEPTH long. A region of more than ``region`` sets is cut into cells that
     share a pivot, and is also taken apart by the next values, down to MAX_DEPTH; its sets get further
-    trees. A first round confirms, per region, a forest of the likeliest pairs; a second one confirms every
-    likely pair whose ends are not yet in one component, with the set of most links as a further pivot of
-    every cell. No pair is dropped for number. A pair just at the bound shares a region with a chance of
+    trees. A first round confirms, per region, a forest of the likeliest pairs. In a second one the task
+    that holds a region confirms every likely pair whose ends are not yet in one component, with the set
+    of most links as a further pivot of every cell; only links leave it, so copies never expand into
+    pairs. No pair is dropped for number. A pair just at the bound shares a region with a chance of
     1 - 1e-5 where regions are small.
     """
     sets = materialize(sketches(docs, id_col, text_col, width), "sketches")
@@ -126,19 +128,28 @@ def near_copies(
         ),
         "classes",
     )
-    vertices = classes.groupBy("v").agg(F.max("n").alias("n"), F.max("signature").alias("signature"))
-    vertices = materialize(vertices, "vertices")
-    blocks = _blocks(vertices, region)
+    vertices = classes.select("v", "n", "signature")
+    blocks, dense = _blocks(vertices, region)
+    first = materialize(_candidates(blocks, vertices.withColumn("label", F.col("v")), percent, _forest).distinct(), "forest_pairs")
+
+    # Who has a likely partner is an end of a forest pair, or lies in a large region. Their texts are fetched
+    # once for both rounds, and by the same plan at every size.
+    wanted = first.select(F.explode(F.array("a", "b")).alias("v"))
+    if dense is not None:
+        wanted = wanted.unionByName(dense)
+        blocks = blocks.unionByName(_grown(vertices.join(dense, "v", "left_semi"), TREES, TREES + MORE_TREES, region, True)[0])
     texts = docs.select(F.col(id_col).alias("v"), F.col(text_col).cast("string").alias("text"))
-    # Only sets that share a region can take part in a link; their texts are fetched once for both rounds.
-    texts = materialize(texts.join(blocks.select("v").distinct(), "v", "left_semi"), "texts")
+    texts = materialize(texts.join(wanted.distinct().hint("merge"), "v", "left_semi"), "texts")
 
-    first = materialize(_candidates(blocks, vertices.withColumn("label", F.col("v")), percent, True).distinct(), "forest_pairs")
     links = materialize(_confirmed(first, texts, percent, width), "links")
     labels = materialize(components(links), "labels")
     labelled = vertices.join(labels.withColumnRenamed("component", "label"), "v", "left").withColumn("label", F.coalesce("label", "v"))
-    rest = _candidates(_with_hubs(blocks, links), labelled, percent, False).distinct().join(first, ["a", "b"], "left_anti")
-    more = materialize(_confirmed(materialize(rest, "rest_pairs"), texts, percent, width), "more_links")
+    blocks = _with_hubs(blocks, links)
+    more = materialize(_settled(_unsettled(blocks, labelled, percent), texts, percent, width), "more_links")
+    # Sets too long to be held by the hundred go in pairs.
+    long_sets = labelled.filter(100 * F.col("n") >= percent * LONG)
+    long_pairs = _candidates(blocks, long_sets, percent, _long_pairs).distinct().join(first, ["a", "b"], "left_anti")
+    more = more.unionByName(materialize(_confirmed(materialize(long_pairs, "long_pairs"), texts, percent, width), "long_links"))
     if not more.isEmpty():
         labels = materialize(components(links.unionByName(more)), "all_labels")
 
@@ -165,19 +176,16 @@ def _prefix(depth: int, more: bool):
     return F.xxhash64("tree", F.transform(own, lambda p: F.call_function("substring", F.col("signature"), p * 4 + 1, F.lit(4))))
 
 
-def _blocks(vertices: DataFrame, region: int) -> DataFrame:
-    """(h, cell, v): sets to be compared with one another, at most ``region`` and a pivot per (h, cell)."""
-    parts, dense = _grown(vertices, 0, TREES, region, False)
-    if dense is not None:
-        dense = materialize(dense.select("v").distinct(), "dense")
-        parts += _grown(vertices.join(dense, "v", "left_semi"), TREES, TREES + MORE_TREES, region, True)[0]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def _blocks(vertices: DataFrame, region: int) -> tuple[DataFrame, DataFrame | None]:
+    """(h, cell, v): sets to be compared with one another, at most ``region`` and a pivot per (h, cell).
+
+    And the sets in large regions (v), if there are any.
+    """
+    blocks, large = _grown(vertices, 0, TREES, region, False)
+    return blocks, large if large is None else materialize(large.select("v").distinct(), "dense")
 
 
-def _grown(vertices: DataFrame, first: int, stop: int, region: int, more: bool) -> tuple[list[DataFrame], DataFrame | None]:
+def _grown(vertices: DataFrame, first: int, stop: int, region: int, more: bool) -> tuple[DataFrame, DataFrame | None]:
     """The blocks of some trees, and the rows of their large regions at MIN_DEPTH if there are any."""
     open_ = vertices.select("v", "signature", F.explode(F.sequence(F.lit(first), F.lit(stop - 1))).alias("tree"))
     parts, dense = [], None
@@ -200,7 +208,10 @@ def _grown(vertices: DataFrame, first: int, stop: int, region: int, more: bool)
             places = F.when(F.col("v") == F.col("pivot"), F.sequence(F.lit(0).cast("long"), cells - 1)).otherwise(own)
             parts.append(large.select("h", F.explode(places).alias("cell"), "v"))
         open_ = large.select("v", "tree").join(vertices.select("v", "signature"), "v")
-    return parts, dense
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out, dense
 
 
 def _with_hubs(blocks: DataFrame, links: DataFrame) -> DataFrame:
@@ -212,26 +223,28 @@ def _with_hubs(blocks: DataFrame, links: DataFrame) -> DataFrame:
     return blocks.unionByName(added.join(blocks, ["h", "cell", "v"], "left_anti"))
 
 
-def _candidates(blocks: DataFrame, vertices: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Likely pairs (a, b) with different labels, a < b, within each block.
-
-    ``forest``: per block only a spanning forest of them, likeliest first. Otherwise all of them.
-    """
-    id_type = vertices.schema["v"].dataType
+def _members(blocks: DataFrame, vertices: DataFrame) -> DataFrame:
+    """The rows of each block together and in order."""
     rows = blocks.join(vertices, "v").select("h", "cell", "v", "n", "label", "signature")
-    rows = rows.repartition("h", "cell").sortWithinPartitions("h", "cell", "v")
+    return rows.repartition("h", "cell").sortWithinPartitions("h", "cell", "v")
+
+
+def _candidates(blocks: DataFrame, vertices: DataFrame, percent: int, choose: Callable) -> DataFrame:
+    """Those likely pairs (a, b), a < b, within each block that ``choose`` picks."""
+    id_type = vertices.schema["v"].dataType.simpleString()
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _runs(batches, ("h", "cell")):
-            left, right = _block_pairs(block, percent, forest)
+            left, right = choose(*_likely(block, percent), block.column("n").to_numpy())
             if len(left):
                 ids = block.column("v")
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(left)), ids.take(pa.array(right))], names=["a", "b"])
 
-    return rows.mapInArrow(_gathered(pairs), f"a {id_type.simpleString()}, b {id_type.simpleString()}")
+    return _members(blocks, vertices).mapInArrow(_gathered(pairs), f"a {id_type}, b {id_type}")
 
 
-def _block_pairs(block: pa.RecordBatch, percent: int, forest: bool) -> tuple[list[int], list[int]]:
+def _likely(block: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows with different labels, sizes that allow a link, and enough equal signature values; likeliest first."""
     n = block.column("n").to_numpy()
     label = block.column("label").to_numpy(zero_copy_only=False)
     signature = np.frombuffer(b"".join(block.column("signature").to_pylist()), dtype="<u4").reshape(len(n), -1)
@@ -248,33 +261,96 @@ def _block_pairs(block: pa.RecordBatch, percent: int, forest: bool) -> tuple[lis
                 lefts.append(np.full(int(likely.sum()), i))
                 alike.append(same[likely])
     if not lefts:
-        return [], []
+        none = np.empty(0, dtype=np.int64)
+        return none, none, none
     left, right, same = np.concatenate(lefts), np.concatenate(rights), np.concatenate(alike)
-    return _spanning(left, right, same, len(n)) if forest and len(left) > 1 else (left.tolist(), right.tolist())
+    order = np.argsort(-same, kind="stable")
+    return left[order], right[order], same[order]
 
 
-def _spanning(left: np.ndarray, right: np.ndarray, same: np.ndarray, n: int) -> tuple[list[int], list[int]]:
-    root = list(range(n))
+class _Union:
+    def __init__(self, labels: list):
+        first: dict = {}
+        self.root = [first.setdefault(x, i) for i, x in enumerate(labels)]
 
-    def find(i: int) -> int:
+    def find(self, i: int) -> int:
+        root = self.root
         while root[i] != i:
             root[i] = root[root[i]]
             i = root[i]
         return i
 
-    a, b, trees = [], [], n
-    for at in np.argsort(-same, kind="stable").tolist():
-        i, j = find(int(left[at])), find(int(right[at]))
-        if i != j:
-            root[max(i, j)] = min(i, j)
-            a.append(int(left[at]))
-            b.append(int(right[at]))
-            trees -= 1
-            if trees == 1:
-                break
+    def join(self, i: int, j: int) -> None:
+        i, j = self.find(i), self.find(j)
+        self.root[max(i, j)] = min(i, j)
+
+
+def _forest(left: np.ndarray, right: np.ndarray, same: np.ndarray, n: np.ndarray) -> tuple[list[int], list[int]]:
+    """A spanning forest of the likeliest pairs."""
+    union, a, b = _Union(list(range(len(n)))), [], []
+    for i, j in zip(left.tolist(), right.tolist()):
+        if union.find(i) != union.find(j):
+            union.join(i, j)
+            a.append(i)
+            b.append(j)
     return a, b
 
 
+def _long_pairs(left: np.ndarray, right: np.ndarray, same: np.ndarray, n: np.ndarray) -> tuple[list[int], list[int]]:
+    long = np.maximum(n[left], n[right]) > LONG if len(left) else np.empty(0, dtype=bool)
+    return left[long].tolist(), right[long].tolist()
+
+
+def _unsettled(blocks: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """The rows of each block that have a likely partner in another component, long sets apart."""
+    rows = _members(blocks, vertices)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _runs(batches, ("h", "cell")):
+            left, right, _ = _likely(block, percent)
+            if len(left):
+                n = block.column("n").to_numpy()
+                short = np.maximum(n[left], n[right]) <= LONG
+                own = np.unique(np.concatenate([left[short], right[short]]))
+                if len(own):
+                    yield block.take(pa.array(own))
+
+    return rows.mapInArrow(_gathered(pick), rows.schema)
+
+
+def _settled(members: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links (a, b) between components, found within each block on full sets: a spanning forest of them."""
+    id_type = members.schema["v"].dataType.simpleString()
+    rows = members.join(texts, "v").repartition("h", "cell").sortWithinPartitions("h", "cell", "v")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _sketcher(width)
+        for block in _runs(batches, ("h", "cell")):
+            union, sets, a, b = _Union(block.column("label").to_pylist()), {}, [], []
+            left, right, _ = _likely(block, percent)
+            text = block.column("text")
+            for i, j in zip(left.tolist(), right.tolist()):
+                if union.find(i) == union.find(j):
+                    continue
+                for k in (i, j):
+                    if k not in sets:
+                        sets[k] = own.shingles(text[k].as_py())
+                if _alike(sets[i], sets[j], percent):
+                    union.join(i, j)
+                    a.append(i)
+                    b.append(j)
+            if a:
+                ids = block.column("v")
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], names=["a", "b"])
+
+    return rows.mapInArrow(_gathered(settle), f"a {id_type}, b {id_type}")
+
+
+def _alike(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(one, other, assume_unique=True))
+    return 100 * both >= percent * (len(one) + len(other) - both)
+
+
 def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     """The runs of equal keys in sorted batches, also where a run goes on in the next batch."""
     held: list[pa.RecordBatch] = []
@@ -339,8 +415,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) ->
             if a != last:
                 last, last_set = a, own.shingles(pair.column("text")[0].as_py())
             other = own.shingles(pair.column("text")[sides_.index(1)].as_py())
-            both = len(np.intersect1d(last_set, other, assume_unique=True))
-            if 100 * both >= percent * (len(last_set) + len(other) - both):
+            if _alike(last_set, other, percent):
                 yield pair.select(["a", "b"]).slice(0, 1)
 
     return rows.mapInArrow(_gathered(confirm), f"a {id_type}, b {id_type}")
