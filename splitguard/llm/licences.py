@@ -84,7 +84,7 @@ RULES = (
     ("All-rights-reserved", ("reserved",)),
 )
 
-SENTENCE_END = r"(?:[.!?;:]+[ \t\r]*(?:\n|$)|[.!?;:]+[ \t]+|\n[ \t\r]*\n)"
+SENTENCE_END = r"(?:[.!?]+(?:[ \t\r]+|[ \t\r]*(?:\n|$))|[;:][ \t\r]*\n|\n[ \t\r]*\n)"
 NOT_WORD = "[^0-9a-z]+"
 VERSION = r"\b[0-9]+(?: [0-9]+)*\b"
 
@@ -110,8 +110,8 @@ def normal_sentence(bare: Column) -> Column:
 def licence_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The known sentences of each text in order: doc_id, mark, pos, line, sentence_id, version.
 
-    A sentence ends at a mark of punctuation before white space, or at an empty line, so a sentence
-    wrapped over lines is one. One that is unknown as a whole is looked up line by line (``line`` counts
+    A sentence ends at . ! or ? before white space, at ; or : at the end of a line, or at an empty line, so a
+    sentence wrapped over lines is one. One that is unknown as a whole is looked up line by line (``line`` counts
     from 1; 0 is the whole). ``version`` is the first number in it, with dots.
     """
     known = docs.sparkSession.createDataFrame([(normal_words(s), i) for i, s in SENTENCES.items()], "known string, sentence_id string")
