@@ -15,15 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, with their labels where there are some."""
     docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "record_id")
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "record_id")
-    return docs.join(labels, "record_id")
+    return docs.join(labels, "record_id", "left")
 
 
 def document_frame(
     spark: SparkSession, sf_dir: str, label: str = "quality", dataset: str | None = None
 ) -> DataFrame:
-    """documents with labels: key = normalised text, features = tokens, group = source."""
+    """All documents: key = normalised text, features = tokens, group = source; the label may be NULL."""
     docs = labelled_documents(spark, sf_dir)
     return project_record(
         docs,
@@ -35,8 +36,17 @@ def document_frame(
     )
 
 
-def split_documents(spark: SparkSession, sf_dir: str, label: str = "quality") -> DataFrame:
-    return random_split(document_frame(spark, sf_dir, label))
+def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return random_split(document_frame(spark, sf_dir))
+
+
+def judged_documents(spark: SparkSession, sf_dir: str, label: str = "quality", dataset: str | None = None) -> DataFrame:
+    """The documents that have a label, as ``prepare`` keeps them; ``prepare_notes`` counts the others."""
+    return document_frame(spark, sf_dir, label, dataset).filter(F.col("key").isNotNull() & F.col("label").isNotNull())
+
+
+def split_judged(spark: SparkSession, sf_dir: str, label: str = "quality") -> DataFrame:
+    return random_split(judged_documents(spark, sf_dir, label))
 
 
 def order_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +63,9 @@ def order_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversation_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations: one record per turn, group = conversation, label = assistant or not."""
-    turns = table(spark, sf_dir, "conversations").withColumn("record_id", F.col("conv_id") * 100000 + F.col("turn"))
+    turns = table(spark, sf_dir, "conversations").withColumn(
+        "record_id", F.concat_ws(":", "conv_id", "turn")
+    )
     return project_record(
         turns,
         key=identity_key("text"),

@@ -19,6 +19,11 @@ def key(col: str) -> str:
     return _KEY.format(col)
 
 
+def row_key(*cols: str) -> str:
+    """Each value with its length, so that no two rows share a key by their joins."""
+    return "md5(" + " || ',' || ".join(f"length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR)" for c in cols) + ")"
+
+
 def tokens(col: str) -> str:
     return TOKENS.format(norm(col))
 
@@ -33,9 +38,11 @@ def word_runs(col: str, width: int) -> str:
 DOCS = f"""base AS (
   SELECT 'documents' AS part, d.doc_id AS record_id, {key('d.text')} AS key, d.source AS group_key,
          {tokens('d.text')} AS features, CAST(l.quality AS DOUBLE) AS label
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
-DOCS_CHARS = DOCS.replace("l.quality", "d.n_chars")
-DOCS_LANG = DOCS.replace("'documents' AS part", "d.lang AS part")
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+# The records that have a key and a label.
+JUDGED = DOCS[:-1] + f" WHERE {key('d.text')} IS NOT NULL AND l.quality IS NOT NULL)"
+JUDGED_CHARS = JUDGED.replace("l.quality", "d.n_chars")
+JUDGED_LANG = JUDGED.replace("'documents' AS part", "d.lang AS part")
 # Words are split once per document, then joined into runs by position.
 DOCS_RUNS = f"""words AS (
   SELECT d.doc_id, d.source, d.text, l.quality, [x FOR x IN string_split({norm('d.text')}, ' ') IF x <> ''] AS w
@@ -46,14 +53,14 @@ base AS (
   SELECT 'documents' AS part, words.doc_id AS record_id, {key('words.text')} AS key, source AS group_key,
          features, CAST(quality AS DOUBLE) AS label
   FROM words JOIN runs ON words.doc_id = runs.doc_id)"""
-ORDERS = """base AS (
+ORDERS = f"""base AS (
   SELECT 'orders' AS part, o_orderkey AS record_id,
-         md5(o_custkey || ':' || strftime(o_orderdate, '%Y-%m-%d')) AS key,
+         {row_key('o_custkey', "strftime(o_orderdate, '%Y-%m-%d')")} AS key,
          CAST(o_custkey AS VARCHAR) AS group_key, CAST(NULL AS VARCHAR[]) AS features,
          CAST(o_orderstatus = 'F' AS DOUBLE) AS label
   FROM orders)"""
 TURNS = f"""base AS (
-  SELECT 'conversations' AS part, conv_id * 100000 + turn AS record_id, {key('text')} AS key,
+  SELECT 'conversations' AS part, conv_id || ':' || turn AS record_id, {key('text')} AS key,
          CAST(conv_id AS VARCHAR) AS group_key, {tokens('text')} AS features,
          CAST(role = 'assistant' AS DOUBLE) AS label
   FROM conversations)"""
@@ -70,16 +77,18 @@ MESSY = f"""raw AS (
   SELECT d.doc_id AS record_id,
          CASE d.source WHEN 'src12' THEN NULL WHEN 'src13' THEN '  ' ELSE d.text END AS text,
          CASE d.source WHEN 'src9' THEN NULL WHEN 'src10' THEN 'unknown' WHEN 'src11' THEN 'NaN'
+              WHEN 'src16' THEN 'Infinity' WHEN 'src17' THEN '-Infinity'
               ELSE CAST(l.quality AS VARCHAR) END AS label,
          CASE d.source WHEN 'src0' THEN 'Train' WHEN 'src1' THEN ' VALID ' WHEN 'src2' THEN 'validation'
               WHEN 'src3' THEN 'testing' WHEN 'src4' THEN 'holdout' WHEN 'src5' THEN NULL
-              WHEN 'src6' THEN 'Test' WHEN 'src7' THEN 'val' WHEN 'src8' THEN 'training'
+              WHEN 'src6' THEN 'Test' WHEN 'src7' THEN chr(9) || 'val' || chr(10) WHEN 'src8' THEN 'training'
+              WHEN 'src14' THEN 'test' || chr(9) WHEN 'src15' THEN ' train' || chr(10)
               ELSE CASE WHEN d.lang = 'en' THEN 'train' ELSE 'TEST' END END AS split,
          d.source
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 named AS (
-  SELECT *, lower(trim(split)) AS name,
-         CASE WHEN isnan(TRY_CAST(label AS DOUBLE)) THEN NULL ELSE TRY_CAST(label AS DOUBLE) END AS value,
+  SELECT *, lower(regexp_replace(split, '^\\s+|\\s+$', '', 'g')) AS name,
+         CASE WHEN isfinite(TRY_CAST(label AS DOUBLE)) THEN TRY_CAST(label AS DOUBLE) END AS value,
          {key('text')} AS k
   FROM raw),
 staged AS (
@@ -281,7 +290,7 @@ _SUMMARY = (
 
 # Before and after the repair, kept apart in ``part``.
 _BOTH = (
-    f"{DOCS},\n{random_part()},\n{group_part()},\n"
+    f"{JUDGED},\n{random_part()},\n{group_part()},\n"
     "v AS (SELECT * REPLACE ('before' AS part) FROM f UNION ALL BY NAME SELECT * REPLACE ('after' AS part) FROM g)"
 )
 _FIX = f"""{_BOTH},
@@ -292,7 +301,7 @@ fixed AS (
          a.metric_name AS metric_after, a.score AS score_after
   FROM score b, score a WHERE b.part = 'before' AND a.part = 'after')"""
 
-_CONTROLS = f"""{DOCS},
+_CONTROLS = f"""{JUDGED},
 copies AS (
   SELECT 'copy' AS part, record_id * 2 + CASE s WHEN 'test' THEN 1 ELSE 0 END AS record_id, key, group_key, features,
          label, s AS split
@@ -303,7 +312,7 @@ one AS (
 {random_part(base='one', name='drawn')},
 f AS (SELECT * FROM copies UNION ALL BY NAME SELECT * FROM drawn)"""
 
-_SWEEP = f"""{DOCS_LANG},
+_SWEEP = f"""{JUDGED_LANG},
 {random_part()},
 {group_part()},
 v AS (SELECT * REPLACE (part || '|random' AS part) FROM f UNION ALL BY NAME SELECT * REPLACE (part || '|group' AS part) FROM g)"""
@@ -313,6 +322,17 @@ ORACLES: dict[str, str] = {
     "duplicates": _duplicates(DOCS),
     "duplicates_orders_customer": _duplicates(ORDERS),
     "duplicates_conversations": _duplicates(TURNS),
+    "duplicates_messy": f"""WITH {MESSY},
+f AS (SELECT 'messy' AS part, k AS key, lenient AS split FROM staged WHERE lenient IS NOT NULL)
+SELECT 'messy' AS dataset, count(*) AS n_test, CAST(count(*) FILTER (WHERE key IN (SELECT key FROM f WHERE split = 'train' AND key IS NOT NULL)) AS BIGINT) AS n_leaked,
+       round(count(*) FILTER (WHERE key IN (SELECT key FROM f WHERE split = 'train' AND key IS NOT NULL)) / count(*), 6) AS fraction_leaked
+FROM f WHERE split = 'test'""",
+    "leaked_messy": f"""WITH {MESSY}
+SELECT record_id, k AS key FROM staged WHERE lenient = 'test' AND k IN (SELECT k FROM staged WHERE lenient = 'train' AND k IS NOT NULL)""",
+    "row_keys_lineitem": f"""SELECT {row_key('l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_returnflag', 'l_linestatus')} AS key, count(*) AS n_rows
+FROM lineitem GROUP BY 1""",
+    "find_key_by_content": """SELECT 0.0::DOUBLE AS share_a,
+  round(avg(CASE WHEN doc_id % 4 = 0 THEN 0.0 ELSE 1.0 END), 6) AS share_b, 1.0::DOUBLE AS share_c, CASE WHEN avg(CASE WHEN doc_id % 4 = 0 THEN 0.0 ELSE 1.0 END) > 0.7 THEN 'b' ELSE 'c' END AS key_col FROM documents""",
     "leaked_documents": f"""WITH {DOCS},
 {random_part()}
 SELECT record_id, key FROM f WHERE split = 'test' AND key IN (SELECT key FROM f WHERE split = 'train')""",
@@ -386,33 +406,33 @@ SELECT group_key FROM f WHERE split = 'test' INTERSECT SELECT group_key FROM f W
     "groups_only_in_test": f"""WITH {TURNS},
 {random_part()}
 SELECT group_key FROM f WHERE split = 'test' EXCEPT SELECT group_key FROM f WHERE split = 'train'""",
-    "nn_similarity": _nn(DOCS, "record_id, round(similarity, 6) AS similarity"),
-    "nn_label_copy": _nn(DOCS, "record_id, label, round(similarity, 6) AS similarity, nn_id, nn_label"),
+    "nn_similarity": _nn(JUDGED, "record_id, round(similarity, 6) AS similarity"),
+    "nn_label_copy": _nn(JUDGED, "record_id, label, round(similarity, 6) AS similarity, nn_id, nn_label"),
     "nn_label_copy_conversations": _nn(TURNS, "record_id, label, round(similarity, 6) AS similarity, nn_id, nn_label"),
     "nn_label_copy_shingles": _nn(DOCS_RUNS, "record_id, round(similarity, 6) AS similarity, nn_id, nn_label"),
-    "nn_summary": f"""WITH {DOCS},
+    "nn_summary": f"""WITH {JUDGED},
 {random_part()},
 {neighbors()}
 SELECT part AS dataset, count(*) AS n_measured, round(avg(similarity), 6) AS nn_mean,
        round(avg(CASE WHEN similarity > 0.8 THEN 1.0 ELSE 0.0 END), 6) AS fraction_above_0_8
 FROM best WHERE measured GROUP BY 1""",
-    "nn_histogram": f"""WITH {DOCS},
+    "nn_histogram": f"""WITH {JUDGED},
 {random_part()},
 {neighbors()},
 filled AS (SELECT CAST(greatest(0, least(9, floor(similarity * 10))) AS INTEGER) AS bin, count(*) AS n FROM best GROUP BY 1),
 grid AS (SELECT CAST(range AS INTEGER) AS bin, coalesce(n, 0) AS n_rows FROM range(10) LEFT JOIN filled ON filled.bin = range)
 SELECT 'documents' AS dataset, bin, bin / 10 AS low, CAST(n_rows AS BIGINT) AS n_rows,
        CAST(floor(n_rows * 100 / (SELECT greatest(1, max(n_rows)) FROM grid) + 0.5) AS INTEGER) AS height FROM grid""",
-    "baseline_auroc": _score(DOCS, random_part()),
-    "baseline_r2": _score(DOCS_CHARS, random_part()),
-    "baseline_one_class": f"""WITH {DOCS},
+    "baseline_auroc": _score(JUDGED, random_part()),
+    "baseline_r2": _score(JUDGED_CHARS, random_part()),
+    "baseline_one_class": f"""WITH {JUDGED},
 {random_part(name='all_rows')},
 f AS (SELECT * FROM all_rows WHERE split = 'train' OR label = 1),
 {neighbors()},
 {scores()}
 SELECT part AS dataset, metric_name, score, score IS NULL AS inconclusive FROM score""",
-    "audit": _audit(DOCS, random_part()),
-    "audit_numeric_label": _audit(DOCS_CHARS, random_part()),
+    "audit": _audit(JUDGED, random_part()),
+    "audit_numeric_label": _audit(JUDGED_CHARS, random_part()),
     "audit_conversations": _audit(TURNS, random_part()),
     "audit_messy": f"""WITH {MESSY},
 f AS (SELECT 'messy' AS part, record_id, k AS key, source AS group_key, {tokens('text')} AS features, value AS label,
@@ -420,12 +440,12 @@ f AS (SELECT 'messy' AS part, record_id, k AS key, source AS group_key, {tokens(
       FROM staged WHERE k IS NOT NULL AND value IS NOT NULL AND lenient IS NOT NULL),
 {report()}
 SELECT {REPORT_COLUMNS} FROM rep""",
-    "audit_summary": f"""WITH {DOCS},
+    "audit_summary": f"""WITH {JUDGED},
 {random_part()},
 {report()}
 SELECT part AS dataset, verdict, {_DUP_TEXT} AS duplicates_message, {_SIM_TEXT} AS similarity_message,
        {_GRP_TEXT} AS groups_message, {_BASE_TEXT} AS baseline_message, {_SUMMARY} AS summary FROM rep""",
-    "audit_report_json": f"""WITH {DOCS},
+    "audit_report_json": f"""WITH {JUDGED},
 {random_part()},
 {report()}
 SELECT part AS dataset, verdict, n_leaked, n_shared, round(nn_mean, 6) AS nn_mean, round(score, 6) AS score, metric_name

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from splitguard.catalog.frames import (
     conversation_frame,
     document_frame,
+    judged_documents,
     labelled_documents,
     order_frame,
     split_documents,
+    split_judged,
     table,
 )
 from splitguard.functions.labels import label_kind, normalized_split
@@ -21,10 +23,12 @@ from splitguard.functions.records import (
     fold_features,
     identity_key,
     leading_tokens,
+    row_key,
     token_set,
     url_host,
     word_shingles,
 )
+from splitguard.operators.detect import find_key_column
 from splitguard.operators.duplicates import duplicate_check, leaked_rows
 from splitguard.operators.groups import group_check, groups_only_in_test, shared_groups
 from splitguard.operators.neighbors import nearest_neighbors, similarity_check, similarity_histogram
@@ -48,17 +52,19 @@ def _rounded(frame: DataFrame, *names: str) -> DataFrame:
 
 
 def messy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents whose source decides how the split, label or text is spelled."""
+    """All documents; the source decides how the split, label or text is spelled, and many have no label."""
     source = F.col("source")
     docs = labelled_documents(spark, sf_dir)
     spelled = (
         F.when(source == "src0", "Train").when(source == "src1", " VALID ").when(source == "src2", "validation")
         .when(source == "src3", "testing").when(source == "src4", "holdout").when(source == "src5", None)
-        .when(source == "src6", "Test").when(source == "src7", "val").when(source == "src8", "training")
+        .when(source == "src6", "Test").when(source == "src7", "\tval\n").when(source == "src8", "training")
+        .when(source == "src14", "test\t").when(source == "src15", " train\n")
         .when(F.col("lang") == "en", "train").otherwise("TEST")
     )
     label = (
         F.when(source == "src9", None).when(source == "src10", "unknown").when(source == "src11", "NaN")
+        .when(source == "src16", "Infinity").when(source == "src17", "-Infinity")
         .otherwise(F.col("quality").cast("string"))
     )
     text = F.when(source == "src12", None).when(source == "src13", "  \n ").otherwise(F.col("text"))
@@ -147,6 +153,7 @@ def shingle_sets(spark, sf_dir):
 
 
 def group_keys(spark, sf_dir):
+    """Two group keys of a page: its host, and the first two tokens of its html (an opening is meant to be short)."""
     pages = table(spark, sf_dir, "pages")
     return pages.select(
         "page_id", url_host("url").alias("host"), leading_tokens("html", 2).alias("opening")
@@ -223,6 +230,37 @@ def duplicates_conversations(spark, sf_dir):
     return _no_message(duplicate_check(random_split(conversation_frame(spark, sf_dir))))
 
 
+def duplicates_messy(spark, sf_dir):
+    """Blank and missing texts have no key; such rows count as test rows, not as copies."""
+    raw = messy_documents(spark, sf_dir)
+    frame = project_record(raw, key=identity_key("text"), label=F.lit(0.0), split=normalized_split("split"), dataset="messy")
+    return _no_message(duplicate_check(frame.filter(F.col("split").isNotNull())))
+
+
+def leaked_messy(spark, sf_dir):
+    raw = messy_documents(spark, sf_dir)
+    frame = project_record(raw, key=identity_key("text"), label=F.lit(0.0), split=normalized_split("split"), dataset="messy")
+    return leaked_rows(frame).select("record_id", "key")
+
+
+def row_keys_lineitem(spark, sf_dir):
+    """Rows of lineitem by content: how many there are per key, and how many keys."""
+    keyed = table(spark, sf_dir, "lineitem").select(
+        row_key("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus").alias("key")
+    )
+    return keyed.groupBy("key").agg(F.count("*").alias("n_rows"))
+
+
+def find_key_by_content(spark, sf_dir):
+    """A key column that no name gives away, found by the share of values that look like one, over all rows."""
+    raw = table(spark, sf_dir, "documents").select(
+        F.col("lang").alias("a"), F.when(F.col("doc_id") % 4 == 0, F.lit("no")).otherwise(F.col("source")).alias("b"), F.col("source").alias("c")
+    )
+    found = find_key_column(raw, lambda c: c.startswith("src"))
+    shares = raw.agg(*[F.round(F.avg(F.col(c).startswith("src").cast("double")), _DIGITS).alias(f"share_{c}") for c in raw.columns])
+    return shares.withColumn("key_col", F.lit(found))
+
+
 def leaked_documents(spark, sf_dir):
     return leaked_rows(split_documents(spark, sf_dir)).select("record_id", "key")
 
@@ -255,17 +293,17 @@ def conversations_only_in_test(spark, sf_dir):
 
 
 def _split_and_neighbors(spark, sf_dir, label="quality"):
-    frame = materialize(split_documents(spark, sf_dir, label), "frame")
+    frame = materialize(split_judged(spark, sf_dir, label), "frame")
     return frame, materialize(nearest_neighbors(frame), "neighbors")
 
 
 def nn_similarity(spark, sf_dir):
-    frame = materialize(split_documents(spark, sf_dir), "frame")
+    frame = materialize(split_judged(spark, sf_dir), "frame")
     return _rounded(nearest_neighbors(frame).select("record_id", "similarity"), "similarity")
 
 
 def nn_label_copy(spark, sf_dir):
-    frame = materialize(split_documents(spark, sf_dir), "frame")
+    frame = materialize(split_judged(spark, sf_dir), "frame")
     return _rounded(
         nearest_neighbors(frame).select("record_id", "label", "similarity", "nn_id", "nn_label"), "similarity"
     )
@@ -281,7 +319,7 @@ def nn_label_copy_conversations(spark, sf_dir):
 
 def nn_label_copy_shingles(spark, sf_dir):
     """Three-word runs as features instead of single tokens."""
-    docs = labelled_documents(spark, sf_dir)
+    docs = labelled_documents(spark, sf_dir).filter("quality IS NOT NULL")
     frame = project_record(
         docs, key=identity_key("text"), label=F.col("quality").cast("double"), group_key=F.col("source"),
         features=word_shingles("text", 3), dataset="documents",
@@ -316,7 +354,7 @@ def baseline_r2(spark, sf_dir):
 
 def baseline_one_class(spark, sf_dir):
     """Test keeps only its positive class: AUROC is undefined, and says so."""
-    frame = split_documents(spark, sf_dir).filter((F.col("split") == "train") | (F.col("label") == 1))
+    frame = split_judged(spark, sf_dir).filter((F.col("split") == "train") | (F.col("label") == 1))
     frame = materialize(frame, "frame")
     neighbors = materialize(nearest_neighbors(frame), "neighbors")
     scores = baseline_check(frame, neighbors)
@@ -330,11 +368,11 @@ _MESSAGES = ("duplicates_message", "similarity_message", "groups_message", "base
 
 
 def audit_documents(spark, sf_dir):
-    return _rounded(audit(split_documents(spark, sf_dir)).drop(*_MESSAGES), *_FRACTIONS)
+    return _rounded(audit(split_judged(spark, sf_dir)).drop(*_MESSAGES), *_FRACTIONS)
 
 
 def audit_numeric_label(spark, sf_dir):
-    return _rounded(audit(split_documents(spark, sf_dir, "n_chars")).drop(*_MESSAGES), *_FRACTIONS)
+    return _rounded(audit(split_judged(spark, sf_dir, "n_chars")).drop(*_MESSAGES), *_FRACTIONS)
 
 
 def audit_conversations(spark, sf_dir):
@@ -348,11 +386,11 @@ def audit_messy(spark, sf_dir):
 
 
 def audit_summary(spark, sf_dir):
-    return audit(split_documents(spark, sf_dir)).select("dataset", "verdict", *_MESSAGES)
+    return audit(split_judged(spark, sf_dir)).select("dataset", "verdict", *_MESSAGES)
 
 
 def audit_report_json(spark, sf_dir):
-    report = report_json(audit(split_documents(spark, sf_dir)))
+    report = report_json(audit(split_judged(spark, sf_dir)))
     field = lambda path: F.get_json_object("report", path)
     return report.select(
         "dataset",
@@ -366,7 +404,7 @@ def audit_report_json(spark, sf_dir):
 
 
 def fix_report(spark, sf_dir):
-    return _rounded(fix_split(split_documents(spark, sf_dir)).report, "score_before", "score_after")
+    return _rounded(fix_split(split_judged(spark, sf_dir)).report, "score_before", "score_after")
 
 
 def fixed_rows(spark, sf_dir):
@@ -375,17 +413,17 @@ def fixed_rows(spark, sf_dir):
 
 
 def collapse_chart(spark, sf_dir):
-    bars = collapse_bars(fix_split(split_documents(spark, sf_dir)).report)
+    bars = collapse_bars(fix_split(split_judged(spark, sf_dir)).report)
     return _rounded(bars, "score", "height", "leaking_height", "chance_height")
 
 
 def sweep_languages(spark, sf_dir):
-    return sweep_frame(document_frame(spark, sf_dir, dataset="lang"))
+    return sweep_frame(judged_documents(spark, sf_dir, dataset="lang"))
 
 
 def validation_controls(spark, sf_dir):
     """Known answers: test is a copy of train; and distinct records with labels drawn by hash."""
-    docs = document_frame(spark, sf_dir)
+    docs = judged_documents(spark, sf_dir)
     both_sides = docs.drop("split").withColumn("split", F.explode(F.array(F.lit("train"), F.lit("test"))))
     copied = both_sides.withColumn("dataset", F.lit("copy")).withColumn(
         "record_id", F.col("record_id") * 2 + (F.col("split") == "test").cast("long")
@@ -406,7 +444,11 @@ QUERIES: dict[str, Query] = {
     "duplicates": duplicates,
     "duplicates_orders_customer": duplicates_orders_customer,
     "duplicates_conversations": duplicates_conversations,
+    "duplicates_messy": duplicates_messy,
+    "leaked_messy": leaked_messy,
     "leaked_documents": leaked_documents,
+    "row_keys_lineitem": row_keys_lineitem,
+    "find_key_by_content": find_key_by_content,
     "prepare_notes": prepare_notes,
     "prepare_frame": prepare_frame,
     "prepare_without_split": prepare_without_split,

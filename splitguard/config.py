@@ -37,8 +37,7 @@ SPLIT_SYNONYMS = {
     "testing": "test",
 }
 
-# Key detection by content: rows looked at, and the share that must look valid.
-SNIFF_ROWS = 20
+# Key detection by content: the share of non-null values that must look valid.
 SNIFF_SHARE = 0.7
 
 # Similarity histogram bins and folded feature width.
@@ -50,5 +49,5 @@ FOLDED_WIDTH = 2048
 # Words tried after KEY_NAMES when the records are text rather than structures.
 TEXT_KEY_NAMES = ("text", "content", "html", "document", "record", "sequence")
 
-# Facts that hold one row per data set are broadcast; this bounds how many there can be.
-MAX_DATASETS = 10_000
+# Facts with one row per data set are broadcast up to this number of rows, and joined by shuffle beyond.
+LOCAL_FACTS = 10_000

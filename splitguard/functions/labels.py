@@ -9,10 +9,10 @@ from splitguard.config import SPLIT_SYNONYMS
 
 
 def numeric_label(raw: Column | str) -> Column:
-    """The label as a double; text that is no number, and NaN, become NULL."""
+    """The label as a double; text that is no number, NaN and infinities become NULL."""
     raw = F.col(raw) if isinstance(raw, str) else raw
     value = raw.try_cast("double")
-    return F.when(~F.isnan(value), value)
+    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
 
 
 def is_binary(label: Column | str) -> Column:
@@ -29,13 +29,18 @@ def label_kind(label: Column | str) -> Column:
     return F.when(is_binary(label), F.lit("binary")).otherwise(F.lit("continuous"))
 
 
+def split_name(raw: Column) -> Column:
+    """The split name in lower case, without white space of any kind at its ends."""
+    return F.lower(F.regexp_replace(raw.cast("string"), r"^\s+|\s+$", ""))
+
+
 def normalized_split(raw: Column | str, mode: str = "lenient") -> Column:
     """Trimmed, lower-case split name, or NULL if it is neither train nor test.
 
     ``lenient`` folds validation spellings into train; ``strict`` accepts only train and test.
     """
     raw = F.col(raw) if isinstance(raw, str) else raw
-    name = F.lower(F.trim(raw.cast("string")))
+    name = split_name(raw)
     if mode == "lenient":
         folded = name
         for spelling, side in SPLIT_SYNONYMS.items():

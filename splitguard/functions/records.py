@@ -12,29 +12,43 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def normalized_text(text: Column | str) -> Column:
-    """Lower case, runs of white space folded to one blank, ends trimmed."""
-    return F.trim(F.regexp_replace(F.lower(_col(text)), r"\s+", " "))
+def normalized_text(text: Column | str, fold_case: bool = True) -> Column:
+    """Runs of white space folded to one blank, ends trimmed, and lower case if wanted."""
+    text = F.lower(_col(text)) if fold_case else _col(text)
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def identity_key(text: Column | str) -> Column:
+def identity_key(text: Column | str, fold_case: bool = True) -> Column:
     """One spelling per record; NULL for a NULL or blank record."""
-    norm = normalized_text(text)
+    norm = normalized_text(text, fold_case)
     return F.when(F.length(norm) > 0, F.md5(norm))
 
 
+def structure_key(record: Column | str) -> Column:
+    """Identity of a record in which case carries meaning."""
+    return identity_key(record, fold_case=False)
+
+
+def structure_tokens(record: Column | str) -> Column:
+    """Tokens of a record in which case carries meaning."""
+    return token_set(record, fold_case=False)
+
+
 def row_key(*cols: Column | str) -> Column:
-    """Identity of a row by several columns; NULL if any of them is NULL."""
+    """Identity of a row by several columns; NULL if any of them is NULL.
+
+    Each value goes in with its length, so no two rows with different values share a key by their joins.
+    """
     parts = [_col(c).cast("string") for c in cols]
     complete = F.lit(True)
     for p in parts:
         complete = complete & p.isNotNull()
-    return F.when(complete, F.md5(F.concat_ws(":", *parts)))
+    return F.when(complete, F.md5(F.concat_ws(",", *[F.concat_ws(":", F.length(p).cast("string"), p) for p in parts])))
 
 
-def token_set(text: Column | str) -> Column:
+def token_set(text: Column | str, fold_case: bool = True) -> Column:
     """The distinct blank-separated tokens of the normalised text."""
-    return F.array_remove(F.array_distinct(F.split(normalized_text(text), " ")), "")
+    return F.array_remove(F.array_distinct(F.split(normalized_text(text, fold_case), " ")), "")
 
 
 def _with_value(value: Column, build) -> Column:

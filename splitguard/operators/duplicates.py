@@ -19,7 +19,8 @@ def duplicate_check(frame: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     """n_test, n_leaked, fraction_leaked per data set.
 
     One count per (data set, key) with map-side combining replaces the join: a key held by a
-    third of all rows arrives at its reducer as one row per map task.
+    third of all rows arrives at its reducer as one row per map task. A record without key is no copy
+    of anything.
     """
     per_key = frame.groupBy(*by, "key").agg(
         F.count_if(F.col("split") == "train").alias("_train"),
@@ -27,7 +28,7 @@ def duplicate_check(frame: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     )
     counts = per_key.groupBy(*by).agg(
         F.coalesce(F.sum("_test"), F.lit(0)).alias("n_test"),
-        F.coalesce(F.sum(F.when(F.col("_train") > 0, F.col("_test"))), F.lit(0)).alias("n_leaked"),
+        F.coalesce(F.sum(F.when((F.col("_train") > 0) & F.col("key").isNotNull(), F.col("_test"))), F.lit(0)).alias("n_leaked"),
     )
     share = safe_ratio(F.col("n_leaked"), F.col("n_test"))
     return counts.withColumn("fraction_leaked", share).withColumn(

@@ -8,8 +8,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitguard.functions.labels import label_kind, normalized_split, numeric_label
-from splitguard.functions.records import identity_key, token_set
+from splitguard.config import TEXT_KEY_NAMES
+from splitguard.functions.labels import label_kind, normalized_split, numeric_label, split_name
+from splitguard.functions.records import identity_key, structure_key, structure_tokens, token_set
 from splitguard.operators.detect import find_key_column, find_label_column, find_split_column
 from splitguard.operators.splits import make_split, split_source_note
 from splitguard.sources.readers import require_columns
@@ -53,8 +54,8 @@ def prepare(
     make_split_method: str = "random",
     test_frac: float = 0.2,
     seed: int = 42,
-    key: Expr = identity_key,
-    features: Expr = token_set,
+    key: Expr | None = None,
+    features: Expr | None = None,
     group_key: Column | None = None,
     is_record: Expr | None = None,
     dataset: Column | str = "data",
@@ -64,9 +65,11 @@ def prepare(
 
     A named column wins over detection. Rows are dropped for a NULL key first, then for a
     label that is missing or no number, then for a split that is neither train nor test.
-    Both results are lazy; only column detection by content reads data here.
+    Without ``key`` and ``features``, case is folded only where the key column is called like a text;
+    elsewhere two records that differ in case are different records.
+    Column detection by content, and creating a split, run jobs here; the rest is lazy.
     """
-    key_col = key_col or find_key_column(raw, is_record or (lambda c: key(c).isNotNull()))
+    key_col = key_col or find_key_column(raw, is_record or (lambda c: (key or structure_key)(c).isNotNull()))
     if key_col is None or key_col not in raw.columns:
         raise ValueError(f"no key column found; name one of {raw.columns}")
     if split_col is not None:
@@ -75,7 +78,10 @@ def prepare(
         split_col = find_split_column(raw)
     label_col = label_col or find_label_column(raw, key_col, split_col)
     if label_col is None or label_col not in raw.columns:
-        raise ValueError(f"no label column found; name one of {raw.columns[:20]}")
+        raise ValueError(f"no label column found; name one of {raw.columns}")
+    is_text = key_col.strip().lower() in TEXT_KEY_NAMES
+    key = key or (identity_key if is_text else structure_key)
+    features = features or (token_set if is_text else structure_tokens)
 
     record = F.col(f"`{key_col}`")
     split_raw = F.lit(None).cast("string") if split_col is None else normalized_split(F.col(f"`{split_col}`"), split_mode)
@@ -139,7 +145,7 @@ def load_strict(
 
 def unexpected_splits(raw: DataFrame, split_col: str) -> DataFrame:
     """Distinct split values (trimmed, lower case) other than train and test, with row counts."""
-    name = F.lower(F.trim(F.col(f"`{split_col}`").cast("string")))
+    name = split_name(F.col(f"`{split_col}`"))
     return (
         raw.select(name.alias("split_value"))
         .filter(~F.coalesce(F.col("split_value").isin("train", "test"), F.lit(False)))

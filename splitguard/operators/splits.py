@@ -51,7 +51,7 @@ def random_split(
     )
     place = F.row_number().over(Window.partitionBy(*by).orderBy("_draw", "record_id"))
     cut = pinned(
-        drawn.join(F.broadcast(edge), list(by))
+        drawn.join(edge, list(by))
         .filter(F.col("_slot") == F.col("_edge"))
         .withColumn("_place", place)
         .filter(F.col("_place") == F.col("_take"))
@@ -90,7 +90,7 @@ def group_split(frame: DataFrame, test_frac: float = 0.2, by: tuple[str, ...] =
             target.alias("_target"),
         )
     )
-    tied = sizes.join(F.broadcast(edge), list(by)).filter(F.col("_size") == F.col("_edge"))
+    tied = sizes.join(edge, list(by)).filter(F.col("_size") == F.col("_edge"))
     cut = pinned(_last_group_in_test(tied, by))
     placed = lookup(frame.drop("split"), sizes.withColumn("_weight", F.col("_size")), [*by, "group_key"], "_weight", "record_id")
     compared = attach(attach(placed, edge.select(*by, "_edge"), by), cut, by)
@@ -126,7 +126,7 @@ def _last_group_in_test(tied: DataFrame, by: tuple[str, ...]) -> DataFrame:
     )
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("group_key").asc_nulls_last()))
     return (
-        slotted.join(F.broadcast(cut_slot), list(by))
+        slotted.join(cut_slot, list(by))
         .filter(F.col("_slot") == F.col("_cut_slot"))
         .withColumn("_place", place + F.col("_slot_before"))
         .filter(F.col("_edge_before") + (F.col("_place") - 1) * F.col("_edge") < F.col("_target"))

@@ -15,7 +15,7 @@ from splitguard.operators.prepare import Prepared, prepare, require_rows
 from splitguard.operators.scoring import baseline_check
 from splitguard.operators.splits import BY, group_split
 from splitguard.operators.verdict import low_confidence, summary, verdict
-from splitguard.sources.readers import read_table
+from splitguard.sources.readers import read_table, require_unique_ids
 from splitguard.storage import materialize
 
 
@@ -26,13 +26,14 @@ def split_sizes(frame: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     )
 
 
-def audit(frame: DataFrame, by: tuple[str, ...] = BY, limits: dict[str, float] = THRESHOLDS) -> DataFrame:
+def audit(frame: DataFrame, by: tuple[str, ...] = BY, limits: dict[str, float] = THRESHOLDS, stored: bool = False) -> DataFrame:
     """All checks, verdict and summary per data set.
 
-    The frame is written once, so keys and features are computed once; the nearest-neighbour
-    rows are written once and feed both the similarity check and the label-copy baseline.
+    The frame is written once, so keys and features are computed once (``stored``: it is a written table
+    already); the nearest-neighbour rows are written once and feed both the similarity check and the
+    label-copy baseline.
     """
-    frame = materialize(frame, "frame")
+    frame = frame if stored else materialize(frame, "frame")
     neighbors = materialize(nearest_neighbors(frame, by), "neighbors")
     keys = list(by)
     joined = (
@@ -75,12 +76,12 @@ class Fixed(NamedTuple):
     rows: DataFrame
 
 
-def fix_split(frame: DataFrame, test_frac: float = 0.2) -> Fixed:
+def fix_split(frame: DataFrame, test_frac: float = 0.2, stored: bool = False) -> Fixed:
     """Group-safe re-split, with the label-copy baseline before and after.
 
     Both splits run through one nearest-neighbour job, kept apart by ``variant``.
     """
-    frame = materialize(frame, "frame")
+    frame = frame if stored else materialize(frame, "frame")
     after = group_split(frame, test_frac).select(*frame.columns)
     by = ("dataset", "variant")
     both = frame.withColumn("variant", F.lit("before")).unionByName(after.withColumn("variant", F.lit("after")))
@@ -138,16 +139,18 @@ def audit_table(spark, path: str, fmt: str | None = None, schema=None, id_col: s
     ``options`` go to ``prepare``; blank column names mean detection.
     """
     clean = _prepared(spark, path, fmt, schema, id_col, options)
-    return Prepared(audit(require_rows(clean.frame)), clean.notes)
+    return Prepared(audit(require_rows(clean.frame), stored=True), clean.notes)
 
 
 def fix_table(spark, path: str, fmt: str | None = None, schema=None, id_col: str | None = None, **options) -> Fixed:
     """Read, prepare, guard and repair one table; a missing split is created at random."""
     options["make_split_method"] = "random"
-    return fix_split(require_rows(_prepared(spark, path, fmt, schema, id_col, options).frame))
+    return fix_split(require_rows(_prepared(spark, path, fmt, schema, id_col, options).frame), stored=True)
 
 
 def _prepared(spark, path: str, fmt, schema, id_col, options: dict) -> Prepared:
     named = {k: (v or None) if k in ("key_col", "label_col", "split_col") else v for k, v in options.items()}
-    clean = prepare(read_table(spark, path, fmt, schema, id_col), **named)
+    raw = materialize(read_table(spark, path, fmt, schema, id_col), "raw")
+    require_unique_ids(raw)
+    clean = prepare(raw, **named)
     return Prepared(materialize(clean.frame, "prepared"), clean.notes)

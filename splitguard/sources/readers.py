@@ -32,7 +32,8 @@ def read_table(
 
     Pass ``schema`` for large CSV or JSON: without it Spark reads the files twice.
     A gzip file is one partition, so give ``partitions`` to spread its rows after the read.
-    Without ``id_col`` every row gets a ``record_id`` that follows the order within each file.
+    Without ``id_col`` every row gets a ``record_id`` made of a hash of its content and, for rows alike in
+    every column, a running number: it depends on the rows alone, not on files, splits or cluster.
     """
     fmt = fmt or format_of(path)
     if fmt not in FORMATS:
@@ -50,11 +51,30 @@ def read_table(
         require_columns(frame, id_col)
         frame = frame.withColumn("record_id", F.col(id_col))
     elif "record_id" not in frame.columns:
-        # Taken directly above the scan: the same files give the same ids when a task is rerun.
-        frame = frame.withColumn("record_id", F.monotonically_increasing_id())
+        frame = with_content_ids(frame)
     return frame.repartition(partitions, "record_id") if partitions else frame
 
 
+def with_content_ids(frame: DataFrame) -> DataFrame:
+    """Adds a string ``record_id`` from each row's content.
+
+    Rows alike are counted before the shuffle and told apart by number afterwards, so a row repeated a
+    billion times is one row per task on the way.
+    """
+    columns = [F.col(f"`{c}`") for c in frame.columns]
+    counted = frame.groupBy(*columns).agg(F.count("*").alias("_copies"))
+    content = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    numbered = counted.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy"))
+    return numbered.withColumn("record_id", F.concat_ws(":", content, F.col("_copy").cast("string"))).drop("_copy")
+
+
+def require_unique_ids(frame: DataFrame, id_col: str = "record_id") -> None:
+    """Raise if an id is missing or names two rows: neighbours and splits would be wrong."""
+    repeated = frame.groupBy(id_col).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(id_col).isNull())
+    if not repeated.isEmpty():
+        raise ValueError(f"{id_col!r} does not name each row: an id is missing or repeated")
+
+
 def require_columns(frame: DataFrame, *names: str) -> None:
     """Raise if a named column is missing, and say which columns there are."""
     for name in names:

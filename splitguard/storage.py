@@ -8,13 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitguard.config import MAX_DATASETS
+from splitguard.config import LOCAL_FACTS
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster shares, as named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder of its own.
+    Only a local session without that setting, where driver and tasks share one disk, gets a temporary
+    folder of its own; on a cluster the setting is required.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
@@ -30,7 +31,8 @@ def materialize(frame: DataFrame, name: str) -> DataFrame:
     """Write ``frame`` once to the shared folder and read it back.
 
     A table used by several later stages is then computed once, survives lost executors,
-    stays column-prunable, and gives the optimizer its true size.
+    stays column-prunable, and gives the optimizer its true size. Everything lies under one
+    ``splitguard`` folder there, which may be deleted once no result that reads it is needed any more.
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/splitguard/{uuid.uuid4().hex}/{name}"
@@ -39,21 +41,22 @@ def materialize(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def pinned(facts: DataFrame, limit: int = MAX_DATASETS) -> DataFrame:
-    """Compute facts that hold one row per data set, and keep them as a local table.
+def pinned(facts: DataFrame, limit: int = LOCAL_FACTS) -> DataFrame:
+    """Compute facts that hold one row per data set, once.
 
-    Raises beyond ``limit`` rows, so whatever joins the result may broadcast it. Plans built
-    on top start from these few values instead of repeating the job that found them.
+    Plans built on top start from these values instead of repeating the job that found them. Up to
+    ``limit`` rows they are a local table and are broadcast; beyond that they are a written table and
+    joins shuffle it. There is no limit to their number.
     """
     rows = facts.limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"more than {limit} data sets in one job: {facts.columns[0]!r} is no data set name")
-    return facts.sparkSession.createDataFrame(rows, facts.schema)
+        return materialize(facts, "facts")
+    return F.broadcast(facts.sparkSession.createDataFrame(rows, facts.schema))
 
 
 def attach(rows: DataFrame, facts: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """Left-join pinned facts."""
-    return rows.join(F.broadcast(facts), list(by), "left")
+    return rows.join(facts, list(by), "left")
 
 
 def lookup(

@@ -34,6 +34,11 @@ def test_row_key_is_null_when_a_part_is(spark):
     assert one(spark, row_key("a", "b"), a="1", b="2") is not None
 
 
+def test_row_key_tells_joins_apart(spark):
+    assert one(spark, row_key("a", "b"), a="a:b", b="c") != one(spark, row_key("a", "b"), a="a", b="b:c")
+    assert one(spark, row_key("a", "b"), a="a,1:b", b="c") != one(spark, row_key("a", "b"), a="a", b="b,1:c")
+
+
 def test_feature_sets(spark):
     assert one(spark, token_set("t"), t="b a B") == ["b", "a"]
     assert one(spark, token_set("t"), t="  ") == []

@@ -15,8 +15,10 @@ def test_key_column_by_name_then_by_content(spark):
     by_content = table(spark, "a string, b string", *[("no", f"r{i}") for i in range(30)])
     assert find_key_column(by_content, lambda c: c.startswith("r")) == "b"
     assert find_key_column(by_content, lambda c: c.startswith("q")) is None
-    some = table(spark, "b string", *[(f"r{i}" if i < 14 else "no",) for i in range(30)])
-    assert find_key_column(some, lambda c: c.startswith("r")) is None  # 14 of the first 20 is not above 70 %
+    some = table(spark, "b string", *[(f"r{i}" if i < 21 else "no",) for i in range(30)], (None,))
+    assert find_key_column(some, lambda c: c.startswith("r")) is None  # 21 of 30 is not above 70 %
+    late = table(spark, "b string", *[("no" if i < 25 else f"r{i}",) for i in range(100)])
+    assert find_key_column(late, lambda c: c.startswith("r")) == "b"  # every row counts, not the first ones
 
 
 def test_split_column_needs_a_split_word(spark):

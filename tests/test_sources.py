@@ -1,7 +1,9 @@
 import gzip
+from pathlib import Path
 
 import pytest
 
+from splitguard.operators.prepare import prepare
 from splitguard.plans.checks import audit_table, fix_table
 from splitguard.plans.sweep import Source, probe, sweep
 from splitguard.sources.readers import read_table
@@ -35,22 +37,15 @@ def files(tmp_path):
     return write
 
 
-def exact_key(c):
-    """Case carries meaning in these records."""
-    from pyspark.sql import functions as F
-
-    return F.when(F.length(F.trim(c)) > 0, F.trim(c))
-
-
 def test_known_answers_of_the_small_tables(spark, files):
     from pyspark.sql import functions as F
 
     group = F.coalesce("core", F.lit(""))
-    leaky, notes = audit_table(spark, files("leaky.csv", LEAKY), key=exact_key, group_key=group)
+    leaky, notes = audit_table(spark, files("leaky.csv", LEAKY), group_key=group)
     r = leaky.first()
     assert (r.verdict, r.n_leaked, r.n_test, r.n_shared, r.n_test_groups, r.low_confidence) == ("LEAKING", 4, 4, 2, 2, True)
     assert r.score == 1.0 and notes.first().key_col == "smiles"
-    c = audit_table(spark, files("clean.csv", CLEAN), key=exact_key, group_key=group)[0].first()
+    c = audit_table(spark, files("clean.csv", CLEAN), group_key=group)[0].first()
     assert (c.n_leaked, c.n_shared, c.n_test_groups) == (0, 1, 3) and c.verdict != "LEAKING"
 
 
@@ -63,7 +58,35 @@ def test_formats_give_the_same_rows(spark, files, tmp_path):
     want = sorted((r.smiles, r.label, r.split) for r in plain.collect())
     for frame in (gz, read_table(spark, str(tmp_path / "t.parquet")), read_table(spark, str(tmp_path / "t.json"))):
         assert sorted((r.smiles, r.label, r.split) for r in frame.collect()) == want
-    assert [r.smiles for r in plain.orderBy("record_id").collect()] == [r[0] for r in LEAKY]
+    ids = {r.record_id for r in plain.collect()}
+    assert len(ids) == len(LEAKY) and ids == {r.record_id for r in gz.collect()}
+
+
+def test_ids_and_splits_do_not_depend_on_file_splits(spark, files):
+    rows = [(f"s{i % 900}", i % 2, "x", f"g{i % 7}") for i in range(2000)]
+    path, splits = files("many.csv", rows), []
+    for size in ("1k", "64m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            frame = prepare(read_table(spark, path).drop("split")).frame
+            splits.append({r.record_id: r.split for r in frame.select("record_id", "split").collect()})
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(splits[0]) == 2000 and splits[0] == splits[1]
+
+
+def test_repeated_ids_are_refused(spark, files):
+    with pytest.raises(ValueError, match="does not name each row"):
+        audit_table(spark, files("t.csv", LEAKY), id_col="smiles")
+
+
+def test_one_audit_writes_each_table_once(spark, files):
+    shared = Path(spark.conf.get("spark.checkpoint.dir")) / "splitguard"
+    before = {p for p in shared.glob("*/*")}
+    audit_table(spark, files("t.csv", LEAKY))[0].collect()
+    names = sorted(p.name for p in set(shared.glob("*/*")) - before)
+    assert names.count("prepared") == 1 and names.count("raw") == 1 and "frame" not in names
+    assert len(names) <= 8, names
 
 
 def test_reader_errors(spark, files):
@@ -76,13 +99,13 @@ def test_reader_errors(spark, files):
 
 
 def test_writers(spark, files, tmp_path):
-    fixed = fix_table(spark, files("t.csv", LEAKY), key=exact_key)
+    fixed = fix_table(spark, files("t.csv", LEAKY))
     write_split(fixed.rows, str(tmp_path / "csv"), key_name="smiles")
     back = spark.read.csv(str(tmp_path / "csv"), header=True, inferSchema=True)
     assert back.columns == ["smiles", "label", "split"] and back.count() == 10
     write_split(fixed.rows, str(tmp_path / "pq"), "parquet")
     assert (tmp_path / "pq" / "split=test").exists()
-    report, notes = audit_table(spark, files("u.csv", LEAKY), key=exact_key)
+    report, notes = audit_table(spark, files("u.csv", LEAKY))
     write_reports(report, str(tmp_path / "rep"), notes)
     one = spark.read.json(str(tmp_path / "rep")).first()
     assert one.verdict == "LEAKING" and one.notes.n_kept == 10 and one.checks.duplicates.n_leaked == 4
