@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FORMATS = ("csv", "json", "parquet")
+FORMATS = ("csv", "tsv", "json", "parquet", "fasta")
 
 
 def format_of(path: str) -> str:
@@ -28,7 +28,7 @@ def read_table(
     id_col: str | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Read CSV (also gzip), JSON or Parquet; globs and folders work as in Spark.
+    """Read CSV, TSV or FASTA (also gzip), JSON or Parquet; globs and folders work as in Spark.
 
     Pass ``schema`` for large CSV or JSON: without it Spark reads the files twice.
     A gzip file is one partition, so give ``partitions`` to spread its rows after the read.
@@ -41,8 +41,10 @@ def read_table(
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
-    if fmt == "csv":
-        frame = reader.csv(path, header=True, inferSchema=schema is None)
+    if fmt in ("csv", "tsv"):
+        frame = reader.csv(path, header=True, inferSchema=schema is None, sep="\t" if fmt == "tsv" else ",")
+    elif fmt == "fasta":
+        frame = _fasta(spark, path)
     elif fmt == "json":
         frame = reader.json(path)
     else:
@@ -55,6 +57,14 @@ def read_table(
     return frame.repartition(partitions, "record_id") if partitions else frame
 
 
+def _fasta(spark: SparkSession, path: str) -> DataFrame:
+    """FASTA records (name, description, sequence): a record starts at a > that begins a line."""
+    parts = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("record")).filter(F.trim("record") != "")
+    head = F.regexp_replace(F.substring_index("record", "\n", 1), "\r", "")
+    body = F.regexp_replace(F.expr("substring(record, length(substring_index(record, '\\n', 1)) + 1)"), r"\s+", "")
+    return parts.select(F.regexp_extract(head, r"^(\S*)", 1).alias("name"), F.trim(F.regexp_replace(head, r"^\S*", "")).alias("description"), body.alias("sequence"))
+
+
 def with_content_ids(frame: DataFrame) -> DataFrame:
     """Adds a string ``record_id`` from each row's content.
 
