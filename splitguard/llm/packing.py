@@ -17,52 +17,51 @@ from splitguard.llm.ranks import ranked
 from splitguard.storage import materialize
 
 CAPACITY = 1024
-CACHE_WORDS = 700_000
 BATCH_ROWS = 2000
 
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, ids binary"
 
-# Texts made of these code points alone are cut by the pattern below, which then agrees with the library's
-# own (a test compares them one by one). Any other text, or one with a special token in it, is left to the library.
-PLAIN_TEXT = "[\t\n\r -~\xa0-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20b5\u0400-\u0481]*"
-# The pre-token pattern of byte-level models (fixed value), with \p{L} and \p{N} spelled for plain texts.
-PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+"
+# Texts made of these code points alone are cut alike by both libraries (a test compares them one by one).
+PLAIN_TEXT = "[\t\n\r -~\xa0-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20b5\u0400-\u0481]*"
+# The pre-token pattern of byte-level models (fixed value).
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LONG_RUN = r"\S{2000}|\s{2000}"  # one pre-token of this length is better left to the slower library
 
 
 class _Encoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes, with a cache per pre-token."""
+    """Ids of a text as little-endian unsigned 32-bit bytes.
+
+    Plain texts go through a second library that is given the same vocabulary and pattern and is several
+    times as fast; texts with other code points, special tokens or very long runs go through the first.
+    """
 
     def __init__(self, tokenizer_file: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.words, self.plain = re.compile(PRE_TOKENS).findall, re.compile(PLAIN_TEXT).fullmatch
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        byte_of = _bytes_by_letter()
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in self.special}
+        self.fast = tiktoken.Encoding("plain", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.plain, self.long_run = re.compile(PLAIN_TEXT).fullmatch, re.compile(LONG_RUN).search
 
     def __call__(self, text: str) -> bytes:
-        if not self.plain(text) or any(s in text for s in self.special):
+        if not self.plain(text) or self.long_run(text) or any(s in text for s in self.special):
             return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        words = self.words(text)
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self._learn(words)
-            return b"".join(map(self.known.__getitem__, words))
-
-    def _learn(self, words: list[str]) -> None:
-        known = self.known
-        missing = [w for w in set(words) if w not in known]
-        if len(known) + len(missing) > CACHE_WORDS:
-            known.clear()
-            missing = list(set(words))
-        for word, code in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-            known[word] = _packed(code.ids)
+        return _packed(self.fast(text))
+
+
+def _bytes_by_letter() -> dict[str, int]:
+    """The letters that byte-level vocabularies write bytes as: printable Latin-1 as itself, the rest from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
 @cache
 def _encoder(file: str) -> _Encoder:
-    """A Python worker keeps its encoder, and the pre-tokens it has seen, from task to task."""
+    """A Python worker keeps its encoder from task to task."""
     return _Encoder(file)
 
 
