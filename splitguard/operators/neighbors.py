@@ -64,7 +64,7 @@ def nearest_neighbors(
     train = ordered.filter("in_train").drop("in_train")
 
     bounds = materialize(_best(_verify(_seed_pairs(test, train, seed_features), test, train)), "bounds")
-    better = _best(_verify(_winning_pairs(test, train, bounds), test, train).unionByName(bounds))
+    better = _best(_verify(_winning_pairs(test, train, bounds, cell_rows), test, train).unionByName(bounds))
     settled = sets.filter("train_id IS NOT NULL AND test_id IS NOT NULL").select(
         "part", "h1", "h2", "copies", F.lit(1.0).alias("similarity"), F.col("train_id").alias("nn_id"),
         F.col("train_label").alias("nn_label"),
@@ -129,7 +129,6 @@ def _ordered_sets(sets: DataFrame, cell_rows: int) -> DataFrame:
             "feature",
             (F.col("n_test").cast("double") * F.col("n_train")).alias("cost"),
             F.ceil(F.col("n_test") / cell_rows).cast("int").alias("test_cells"),
-            F.ceil(F.col("n_train") / cell_rows).cast("int").alias("train_cells"),
             (F.col("n_test") + F.col("n_train")).alias("_weight"),
         )
     )
@@ -138,7 +137,7 @@ def _ordered_sets(sets: DataFrame, cell_rows: int) -> DataFrame:
     )
     return (
         shared.groupBy("part", "in_train", "id", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("cost", "feature", "test_cells", "train_cells"))).alias("features"))
+        .agg(F.array_sort(F.collect_list(F.struct("cost", "feature", "test_cells"))).alias("features"))
         .select("*", (F.col("n") - F.size("features")).alias("front"))
     )
 
@@ -192,7 +191,7 @@ def _seed_pairs(test: DataFrame, train: DataFrame, seed_features: int) -> DataFr
     return _spread(pairs).distinct()
 
 
-def _winning_pairs(test: DataFrame, train: DataFrame, bounds: DataFrame) -> DataFrame:
+def _winning_pairs(test: DataFrame, train: DataFrame, bounds: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Every pair that could beat the bound of its test set, or tie it with a smaller id.
 
     Bounds of 0.5 and more (``fine``) meet train sets in narrow size classes and only the front
@@ -241,14 +240,14 @@ def _winning_pairs(test: DataFrame, train: DataFrame, bounds: DataFrame) -> Data
         )
         .selectExpr(
             "part", "test_id", "bound_id", "share", "fine", "size_class", "test_n", "to_beat",
-            "front + at + 1 AS test_at", "f.feature", "f.test_cells", "f.train_cells",
+            "front + at + 1 AS test_at", "f.feature",
         )
     )
     postings = (
         train.selectExpr("part AS _part", "id AS train_id", "n AS train_n", "front", "posexplode(features) AS (at, f)")
         .selectExpr(
-            "_part", "train_id", "train_n", "front + at + 1 AS train_at", "f.feature", "f.test_cells",
-            "f.train_cells", "explode(array(true, false)) AS fine",
+            "_part", "train_id", "train_n", "front + at + 1 AS train_at", "f.feature",
+            "explode(array(true, false)) AS fine",
         )
         .filter("NOT fine OR train_at <= train_n / 2 + 2")
         .withColumn("size_class", _size_class(F.col("train_n"), _step(fine)))
@@ -256,16 +255,25 @@ def _winning_pairs(test: DataFrame, train: DataFrame, bounds: DataFrame) -> Data
     # Features past ``to_beat`` can only lead to a tie, which needs a smaller train id. The
     # smallest id per posting list drops most of these probes before they meet the list.
     keys = ["fine", "feature", "size_class"]
-    heads = postings.groupBy(*keys).agg(F.min("train_id").alias("first_id"))
+    heads = postings.groupBy(*keys).agg(F.min("train_id").alias("first_id"), F.count("*").alias("n_postings"))
+    probes = materialize(probes.join(heads, keys).filter("test_at <= to_beat OR first_id < bound_id").drop("first_id", "to_beat"), "probes")
+    # Lists that nobody probes stop here, and a list is cut into as many cells as its own postings and
+    # probes fill, so a posting is copied only as often as there are cells of probes for its list.
+    live = materialize(
+        probes.groupBy(*keys).agg(F.count("*").alias("n_probes"), F.first("n_postings").alias("n_postings")).select(
+            *keys, F.ceil(F.col("n_probes") / cell_rows).cast("int").alias("test_cells"), F.ceil(F.col("n_postings") / cell_rows).cast("int").alias("train_cells")
+        ),
+        "live_lists",
+    )
     probes = (
-        probes.join(heads, keys)
-        .filter("test_at <= to_beat OR first_id < bound_id")
+        probes.join(live, keys)
         .withColumn("test_cell", _own_cell("test_id", "test_cells"))
         .withColumn("train_cell", _cells("train_cells"))
-        .drop("test_cells", "train_cells", "first_id", "to_beat")
+        .drop("test_cells", "train_cells", "n_postings")
     )
     postings = (
-        postings.withColumn("train_cell", _own_cell("train_id", "train_cells"))
+        postings.join(live, keys)
+        .withColumn("train_cell", _own_cell("train_id", "train_cells"))
         .withColumn("test_cell", _cells("test_cells"))
         .drop("test_cells", "train_cells")
     )
