@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitguard.functions.records import identity_key, row_key, token_set
+from splitguard.functions.records import identity_key, row_key, token_set, word_shingles
 from splitguard.operators.prepare import project_record
 from splitguard.operators.splits import random_split
 
@@ -22,16 +22,20 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_frame(
-    spark: SparkSession, sf_dir: str, label: str = "quality", dataset: str | None = None
+    spark: SparkSession, sf_dir: str, label: str = "quality", dataset: str | None = None, runs: bool = False
 ) -> DataFrame:
-    """All documents: key = normalised text, features = tokens, group = source; the label may be NULL."""
+    """All documents: key = normalised text, features = tokens or runs of three words, group = source.
+
+    The label may be NULL. Texts share few runs of words unless one comes from the other, so runs tell
+    twins apart better than tokens and keep frequent features out of the neighbour join.
+    """
     docs = labelled_documents(spark, sf_dir)
     return project_record(
         docs,
         key=identity_key("text"),
         label=F.col(label).cast("double"),
         group_key=F.col("source"),
-        features=token_set("text"),
+        features=word_shingles("text", 3) if runs else token_set("text"),
         dataset="documents" if dataset is None else F.col(dataset),
     )
 
@@ -40,13 +44,15 @@ def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return random_split(document_frame(spark, sf_dir))
 
 
-def judged_documents(spark: SparkSession, sf_dir: str, label: str = "quality", dataset: str | None = None) -> DataFrame:
+def judged_documents(
+    spark: SparkSession, sf_dir: str, label: str = "quality", dataset: str | None = None, runs: bool = False
+) -> DataFrame:
     """The documents that have a label, as ``prepare`` keeps them; ``prepare_notes`` counts the others."""
-    return document_frame(spark, sf_dir, label, dataset).filter(F.col("key").isNotNull() & F.col("label").isNotNull())
+    return document_frame(spark, sf_dir, label, dataset, runs).filter(F.col("key").isNotNull() & F.col("label").isNotNull())
 
 
-def split_judged(spark: SparkSession, sf_dir: str, label: str = "quality") -> DataFrame:
-    return random_split(judged_documents(spark, sf_dir, label))
+def split_judged(spark: SparkSession, sf_dir: str, label: str = "quality", runs: bool = False) -> DataFrame:
+    return random_split(judged_documents(spark, sf_dir, label, runs=runs))
 
 
 def order_frame(spark: SparkSession, sf_dir: str) -> DataFrame:

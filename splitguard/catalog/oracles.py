@@ -42,17 +42,17 @@ DOCS = f"""base AS (
 # The records that have a key and a label.
 JUDGED = DOCS[:-1] + f" WHERE {key('d.text')} IS NOT NULL AND l.quality IS NOT NULL)"
 JUDGED_CHARS = JUDGED.replace("l.quality", "d.n_chars")
-JUDGED_LANG = JUDGED.replace("'documents' AS part", "d.lang AS part")
 # Words are split once per document, then joined into runs by position.
 DOCS_RUNS = f"""words AS (
-  SELECT d.doc_id, d.source, d.text, l.quality, [x FOR x IN string_split({norm('d.text')}, ' ') IF x <> ''] AS w
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+  SELECT d.doc_id, d.source, d.lang, d.text, l.quality, [x FOR x IN string_split({norm('d.text')}, ' ') IF x <> ''] AS w
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NOT NULL AND {key('d.text')} IS NOT NULL),
 positions AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM words),
 runs AS (SELECT doc_id, list(DISTINCT array_to_string(w[i:i + 2], ' ')) AS features FROM positions GROUP BY 1),
 base AS (
   SELECT 'documents' AS part, words.doc_id AS record_id, {key('words.text')} AS key, source AS group_key,
          features, CAST(quality AS DOUBLE) AS label
   FROM words JOIN runs ON words.doc_id = runs.doc_id)"""
+DOCS_RUNS_LANG = DOCS_RUNS.replace("'documents' AS part", "lang AS part")
 ORDERS = f"""base AS (
   SELECT 'orders' AS part, o_orderkey AS record_id,
          {row_key('o_custkey', "strftime(o_orderdate, '%Y-%m-%d')")} AS key,
@@ -290,7 +290,7 @@ _SUMMARY = (
 
 # Before and after the repair, kept apart in ``part``.
 _BOTH = (
-    f"{JUDGED},\n{random_part()},\n{group_part()},\n"
+    f"{DOCS_RUNS},\n{random_part()},\n{group_part()},\n"
     "v AS (SELECT * REPLACE ('before' AS part) FROM f UNION ALL BY NAME SELECT * REPLACE ('after' AS part) FROM g)"
 )
 _FIX = f"""{_BOTH},
@@ -301,7 +301,7 @@ fixed AS (
          a.metric_name AS metric_after, a.score AS score_after
   FROM score b, score a WHERE b.part = 'before' AND a.part = 'after')"""
 
-_CONTROLS = f"""{JUDGED},
+_CONTROLS = f"""{DOCS_RUNS},
 copies AS (
   SELECT 'copy' AS part, record_id * 2 + CASE s WHEN 'test' THEN 1 ELSE 0 END AS record_id, key, group_key, features,
          label, s AS split
@@ -312,7 +312,7 @@ one AS (
 {random_part(base='one', name='drawn')},
 f AS (SELECT * FROM copies UNION ALL BY NAME SELECT * FROM drawn)"""
 
-_SWEEP = f"""{JUDGED_LANG},
+_SWEEP = f"""{DOCS_RUNS_LANG},
 {random_part()},
 {group_part()},
 v AS (SELECT * REPLACE (part || '|random' AS part) FROM f UNION ALL BY NAME SELECT * REPLACE (part || '|group' AS part) FROM g)"""
@@ -431,7 +431,7 @@ f AS (SELECT * FROM all_rows WHERE split = 'train' OR label = 1),
 {neighbors()},
 {scores()}
 SELECT part AS dataset, metric_name, score, score IS NULL AS inconclusive FROM score""",
-    "audit": _audit(JUDGED, random_part()),
+    "audit": _audit(DOCS_RUNS, random_part()),
     "audit_numeric_label": _audit(JUDGED_CHARS, random_part()),
     "audit_conversations": _audit(TURNS, random_part()),
     "audit_messy": f"""WITH {MESSY},
@@ -440,12 +440,12 @@ f AS (SELECT 'messy' AS part, record_id, k AS key, source AS group_key, {tokens(
       FROM staged WHERE k IS NOT NULL AND value IS NOT NULL AND lenient IS NOT NULL),
 {report()}
 SELECT {REPORT_COLUMNS} FROM rep""",
-    "audit_summary": f"""WITH {JUDGED},
+    "audit_summary": f"""WITH {DOCS_RUNS},
 {random_part()},
 {report()}
 SELECT part AS dataset, verdict, {_DUP_TEXT} AS duplicates_message, {_SIM_TEXT} AS similarity_message,
        {_GRP_TEXT} AS groups_message, {_BASE_TEXT} AS baseline_message, {_SUMMARY} AS summary FROM rep""",
-    "audit_report_json": f"""WITH {JUDGED},
+    "audit_report_json": f"""WITH {DOCS_RUNS},
 {random_part()},
 {report()}
 SELECT part AS dataset, verdict, n_leaked, n_shared, round(nn_mean, 6) AS nn_mean, round(score, 6) AS score, metric_name

@@ -368,7 +368,7 @@ _MESSAGES = ("duplicates_message", "similarity_message", "groups_message", "base
 
 
 def audit_documents(spark, sf_dir):
-    return _rounded(audit(split_judged(spark, sf_dir)).drop(*_MESSAGES), *_FRACTIONS)
+    return _rounded(audit(split_judged(spark, sf_dir, runs=True)).drop(*_MESSAGES), *_FRACTIONS)
 
 
 def audit_numeric_label(spark, sf_dir):
@@ -386,11 +386,11 @@ def audit_messy(spark, sf_dir):
 
 
 def audit_summary(spark, sf_dir):
-    return audit(split_judged(spark, sf_dir)).select("dataset", "verdict", *_MESSAGES)
+    return audit(split_judged(spark, sf_dir, runs=True)).select("dataset", "verdict", *_MESSAGES)
 
 
 def audit_report_json(spark, sf_dir):
-    report = report_json(audit(split_judged(spark, sf_dir)))
+    report = report_json(audit(split_judged(spark, sf_dir, runs=True)))
     field = lambda path: F.get_json_object("report", path)
     return report.select(
         "dataset",
@@ -404,7 +404,7 @@ def audit_report_json(spark, sf_dir):
 
 
 def fix_report(spark, sf_dir):
-    return _rounded(fix_split(split_judged(spark, sf_dir)).report, "score_before", "score_after")
+    return _rounded(fix_split(split_judged(spark, sf_dir, runs=True)).report, "score_before", "score_after")
 
 
 def fixed_rows(spark, sf_dir):
@@ -413,17 +413,17 @@ def fixed_rows(spark, sf_dir):
 
 
 def collapse_chart(spark, sf_dir):
-    bars = collapse_bars(fix_split(split_judged(spark, sf_dir)).report)
+    bars = collapse_bars(fix_split(split_judged(spark, sf_dir, runs=True)).report)
     return _rounded(bars, "score", "height", "leaking_height", "chance_height")
 
 
 def sweep_languages(spark, sf_dir):
-    return sweep_frame(judged_documents(spark, sf_dir, dataset="lang"))
+    return sweep_frame(judged_documents(spark, sf_dir, dataset="lang", runs=True))
 
 
 def validation_controls(spark, sf_dir):
     """Known answers: test is a copy of train; and distinct records with labels drawn by hash."""
-    docs = judged_documents(spark, sf_dir)
+    docs = judged_documents(spark, sf_dir, runs=True)
     both_sides = docs.drop("split").withColumn("split", F.explode(F.array(F.lit("train"), F.lit("test"))))
     copied = both_sides.withColumn("dataset", F.lit("copy")).withColumn(
         "record_id", F.col("record_id") * 2 + (F.col("split") == "test").cast("long")
