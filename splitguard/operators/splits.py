@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from splitguard.storage import attach, lookup, materialize, pinned
 
 BY = ("dataset",)
-_BOUNDS = 500
+RANKED = 100_000  # groups of one size that one task ranks at most
 
 
 def _check_fraction(test_frac: float) -> None:
@@ -105,30 +105,30 @@ def group_split(frame: DataFrame, test_frac: float = 0.2, by: tuple[str, ...] =
 def _last_group_in_test(tied: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """Key of the last group of the cut size that still goes to test, per data set.
 
-    There may be as many such groups as records (all groups of one row), so they are not
-    sorted in one task: a fixed sample of keys cuts the key order into slots, the slots are
-    counted, and only the slot with the cut is ranked.
+    There may be as many such groups as records (all groups of one row), so they are not sorted in one
+    task: while a data set has more than RANKED of them, they are counted by the first letters of their
+    key, and only those with the letters at the cut go on, told apart by more letters in the next round.
     """
-    sample = tied.filter(F.col("group_key").isNotNull()).orderBy(F.md5("group_key"), *by).limit(_BOUNDS)
-    bounds = sample.agg(F.array_sort(F.collect_list("group_key")).alias("b")).scalar()
-    slot = F.when(F.col("group_key").isNull(), F.lit(_BOUNDS + 1)).otherwise(
-        F.size(F.filter(F.col("_bounds"), lambda b: b < F.col("group_key")))
-    )
-    slotted = tied.withColumn("_bounds", bounds).withColumn("_slot", slot).drop("_bounds")
-    hist = slotted.groupBy(*by, "_slot", "_edge", "_edge_before", "_target").agg(F.count("*").alias("_n"))
-    goes = F.col("_edge_before") + F.col("_before") * F.col("_edge") < F.col("_target")
-    # The slot with the cut is the last one whose first group still goes to test.
-    cut_slot = (
-        _with_running(hist, by, F.col("_slot"), "_n")
-        .filter(goes)
-        .groupBy(*by)
-        .agg(F.max("_slot").alias("_cut_slot"), F.max("_before").alias("_slot_before"))
-    )
+    tied = tied.select(*by, "group_key", "_edge", "_edge_before", "_target")
+    letters = 0
+    while (tied.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) > RANKED:
+        letters += 2
+        slotted = tied.withColumn("_slot", F.struct(F.col("group_key").isNull().alias("last"), F.substring("group_key", 1, letters).alias("letters")))
+        hist = slotted.groupBy(*by, "_slot", "_edge", "_edge_before", "_target").agg(F.count("*").alias("_n"))
+        goes = F.col("_edge_before") + F.col("_before") * F.col("_edge") < F.col("_target")
+        # The slot with the cut is the last one whose first group still goes to test.
+        cut = _with_running(hist, by, F.col("_slot"), "_n").filter(goes).groupBy(*by).agg(
+            F.max("_slot").alias("_cut_slot"), F.max("_before").alias("_slot_before")
+        )
+        tied = materialize(
+            slotted.join(cut, list(by)).filter(F.col("_slot") == F.col("_cut_slot"))
+            .withColumn("_edge_before", F.col("_edge_before") + F.col("_slot_before") * F.col("_edge"))
+            .select(*by, "group_key", "_edge", "_edge_before", "_target"),
+            "cut_slot",
+        )
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("group_key").asc_nulls_last()))
     return (
-        slotted.join(cut_slot, list(by))
-        .filter(F.col("_slot") == F.col("_cut_slot"))
-        .withColumn("_place", place + F.col("_slot_before"))
+        tied.withColumn("_place", place)
         .filter(F.col("_edge_before") + (F.col("_place") - 1) * F.col("_edge") < F.col("_target"))
         .groupBy(*by)
         .agg(F.max_by("group_key", "_place").alias("_cut_key"))
