@@ -17,7 +17,7 @@ from splitguard.storage import lookup, materialize
 
 WIDTH = 5
 TREES, MIN_DEPTH, MAX_DEPTH = 12, 3, 8
-MORE_TREES = 36  # further orders for sets from large regions, which are found less often at greater depth
+MORE_TREES = 12  # further orders for sets from large regions, which are found less often at greater depth
 REGION = 512  # a region with more sets is looked at one level deeper
 LIKELY = 64  # of TREES * MAX_DEPTH equal signature values: a pair with fewer is not looked at again
 LONG = 50_000  # shingles; longer sets are compared in pairs, so that a block of sets fits in memory
@@ -130,6 +130,8 @@ def near_copies(
     )
     vertices = classes.select("v", "n", "signature")
     blocks, dense = _blocks(vertices, region)
+    # From here on only sets that share a region count; the others are alone.
+    vertices = materialize(vertices.join(blocks.select("v").distinct().hint("merge"), "v", "left_semi"), "vertices")
     first = materialize(_candidates(blocks, vertices.withColumn("label", F.col("v")), percent, _forest).distinct(), "forest_pairs")
 
     # Who has a likely partner is an end of a forest pair, or lies in a large region. Their texts are fetched
@@ -182,15 +184,15 @@ def _blocks(vertices: DataFrame, region: int) -> tuple[DataFrame, DataFrame | No
     And the sets in large regions (v), if there are any.
     """
     blocks, large = _grown(vertices, 0, TREES, region, False)
-    return blocks, large if large is None else materialize(large.select("v").distinct(), "dense")
+    return blocks, large if large is None else materialize(large.distinct(), "dense")
 
 
 def _grown(vertices: DataFrame, first: int, stop: int, region: int, more: bool) -> tuple[DataFrame, DataFrame | None]:
     """The blocks of some trees, and the rows of their large regions at MIN_DEPTH if there are any."""
-    open_ = vertices.select("v", "signature", F.explode(F.sequence(F.lit(first), F.lit(stop - 1))).alias("tree"))
-    parts, dense = [], None
+    planted = vertices.select("v", "signature", F.explode(F.sequence(F.lit(first), F.lit(stop - 1))).alias("tree"))
+    deeper = F.array(*[_prefix(depth, more) for depth in range(MIN_DEPTH + 1, MAX_DEPTH + 1)]).alias("deeper")
+    rows, parts, dense = planted.select("v", "tree", _prefix(MIN_DEPTH, more).alias("h")), [], None
     for depth in range(MIN_DEPTH, MAX_DEPTH + 1):
-        rows = open_.select("v", "tree", _prefix(depth, more).alias("h"))
         sizes = materialize(
             rows.groupBy("h").agg(F.count("*").alias("n"), F.min("v").alias("pivot")).filter("n > 1").withColumn("weight", F.col("n")),
             f"regions_{depth}",
@@ -201,13 +203,16 @@ def _grown(vertices: DataFrame, first: int, stop: int, region: int, more: bool)
         if large.isEmpty():
             break
         if depth == MIN_DEPTH:
-            dense = large
+            dense = large.select("v")
+            # Deeper prefixes are worked out for the sets of large regions only, and once for all depths.
+            large = large.select("v", "tree", "h", "n", "pivot").join(vertices.select("v", "signature"), "v").select("v", "tree", "h", "n", "pivot", deeper)
         if depth == MAX_DEPTH or depth == MIN_DEPTH and not more:
             cells = F.ceil(F.col("n") / region)
             own = F.array(F.pmod(F.xxhash64("v", "tree"), cells))
             places = F.when(F.col("v") == F.col("pivot"), F.sequence(F.lit(0).cast("long"), cells - 1)).otherwise(own)
             parts.append(large.select("h", F.explode(places).alias("cell"), "v"))
-        open_ = large.select("v", "tree").join(vertices.select("v", "signature"), "v")
+        if depth < MAX_DEPTH:
+            rows = large.select("v", "tree", "deeper", F.get("deeper", F.lit(depth - MIN_DEPTH)).alias("h"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
