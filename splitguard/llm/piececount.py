@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_500_000
+LONG_WORD = 64
 MERGE_SYMBOLS = 2_000_000  # symbols merged together; bounds the arrays of one round
 SPACE = "▁"
 NO_RANK = np.iinfo(np.int64).max
@@ -65,7 +66,9 @@ class PieceModel:
         return np.where(hit, self.rank[at], NO_RANK), np.where(hit, self.made[at], -1)
 
     def runs(self, word: str) -> list[str]:
-        """The word cut where no merge can cross."""
+        """A long word cut where no merge can cross; a short one is left whole, with the same result."""
+        if len(word) <= LONG_WORD:
+            return [word]
         inside = self.inside
         cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in inside]
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
@@ -102,8 +105,8 @@ class PieceModel:
         weight_of = np.ones(self.size, dtype=np.int64)
         for s, w in lone.items():
             weight_of[s] = w
+        rank, made = self._neighbours(symbol, owner)
         while len(symbol):
-            rank, made = self._neighbours(symbol, owner)
             first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             best = np.minimum.reduceat(rank, first)
             busy = best < NO_RANK
@@ -120,7 +123,7 @@ class PieceModel:
                 first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
                 best = best[busy]
             per = np.diff(np.append(first, len(symbol)))
-            symbol, owner = self._apply(symbol, owner, rank == np.repeat(best, per), made, np.repeat(best, per), first)
+            symbol, owner, rank, made = self._apply(symbol, owner, rank == np.repeat(best, per), made, np.repeat(best, per))
         return result.tolist()
 
     def _neighbours(self, symbol: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +134,7 @@ class PieceModel:
             rank[:-1], made[:-1] = np.where(same, r, NO_RANK), np.where(same, m, -1)
         return rank, made
 
-    def _apply(self, symbol, owner, wanted, made, best, first) -> tuple[np.ndarray, np.ndarray]:
+    def _apply(self, symbol, owner, wanted, made, best) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Merge each sequence's lowest-rank pair at all its places, from the left, as long as that is what one
         merge after the other would do: up to the first place whose merge makes a pair of no higher rank."""
         at = np.flatnonzero(wanted)
@@ -144,7 +147,7 @@ class PieceModel:
         gone = np.zeros(len(symbol), dtype=bool)
         gone[at + 1] = True
         keep = np.flatnonzero(~gone)
-        rank, _ = self._neighbours(merged[keep], owner[keep])
+        rank, after = self._neighbours(merged[keep], owner[keep])
         # rank[i] is that of keep[i] and its right neighbour; look at both sides of each merged place.
         where = np.searchsorted(keep, at)
         right = rank[where]
@@ -162,7 +165,8 @@ class PieceModel:
             gone = np.zeros(len(symbol), dtype=bool)
             gone[at + 1] = True
             keep = np.flatnonzero(~gone)
-        return merged[keep], owner[keep]
+            rank, after = self._neighbours(merged[keep], owner[keep])
+        return merged[keep], owner[keep], rank, after
 
 
 
