@@ -84,7 +84,7 @@ RULES = (
     ("All-rights-reserved", ("reserved",)),
 )
 
-SENTENCE_END = r"(?:[.!?]+(?:[ \t\r]+|[ \t\r]*(?:\n|$))|[;:][ \t\r]*\n|\n[ \t\r]*\n)"
+SENTENCE_END = r"(?:[.!?]+(?:[ \t\r]+|[ \t\r]*(?:\n|\z))|[;:][ \t\r]*\n|\n[ \t\r]*\n)"
 NOT_WORD = "[^0-9a-z]+"
 VERSION = r"\b[0-9]+(?: [0-9]+)*\b"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from splitguard.llm.licences import NOT_WORD, RULES, SENTENCE_END, SENTENCES, VERSION, normal_words
+
 BLANK = r"[\x20\x09-\x0D]"
 
 op3 = """
@@ -36,4 +38,60 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
   doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, text_sha256 FROM n
 """
 
-ORACLES = {"op3_warc_chunks": op3, "op4_line_keeps": op4, "op9_block_names": op9}
+
+
+def _licences() -> str:
+    known = ", ".join(f"('{normal_words(s)}', '{i}')" for i, s in SENTENCES.items())
+    steps, names = ["rest AS r0"], []
+    for n, (name, run) in enumerate(RULES):
+        pattern = " " + "  ".join(run) + " "
+        steps.append(f"replace(r{n}, '{pattern}', ' # ') AS r{n + 1}")
+        names.append(f"CASE WHEN contains(r{n}, '{pattern}') THEN '{name}' END")
+    return rf"""
+WITH known(k, sentence_id) AS (VALUES {known}),
+parts AS (
+  SELECT doc_id, unnest(p) AS part, unnest(range(len(p))) AS pos
+  FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '{SENTENCE_END}') AS p FROM documents)
+), units AS (
+  SELECT doc_id, pos, unnest(u) AS unit, unnest(range(len(u))) AS line
+  FROM (SELECT doc_id, pos, CASE WHEN contains(part, chr(10)) THEN list_concat([part], string_split(part, chr(10))) ELSE [part] END AS u FROM parts)
+), worded AS (SELECT doc_id, pos, line, trim(regexp_replace(lower(unit), '{NOT_WORD}', ' ', 'g')) AS bare FROM units),
+met AS (
+  SELECT doc_id, pos, line, sentence_id, nullif(replace(regexp_extract(bare, '{VERSION}'), ' ', '.'), '') AS version
+  FROM worded JOIN known ON regexp_replace(bare, '{VERSION}', 'v', 'g') = k
+), found AS (
+  SELECT *, lag(pos) OVER w AS last_pos, lag(line) OVER w AS last_line FROM met m
+  WHERE line = 0 OR NOT EXISTS (SELECT 1 FROM met x WHERE x.doc_id = m.doc_id AND x.pos = m.pos AND x.line = 0)
+  WINDOW w AS (PARTITION BY doc_id ORDER BY pos, line)
+), seq AS (
+  SELECT doc_id, string_agg(sentence_id, ',' ORDER BY pos, line) AS sentences,
+    ' ' || string_agg(CASE WHEN last_pos IS NULL OR (pos = last_pos + 1 AND line <= 1) OR (pos = last_pos AND line = last_line + 1) THEN '' ELSE '- ' END || sentence_id,
+                      '  ' ORDER BY pos, line) || ' ' AS rest,
+    string_agg(DISTINCT version, ',' ORDER BY version) AS versions
+  FROM found GROUP BY 1
+), ruled AS (SELECT doc_id, sentences, versions, {', '.join(steps)}, list_sort(list_distinct([{', '.join(names)}])) AS names FROM seq)
+SELECT doc_id, coalesce(sentences, '') AS sentences, coalesce(array_to_string(names, ','), '') AS licences, coalesce(versions, '') AS versions
+FROM documents LEFT JOIN ruled USING (doc_id)
+"""
+
+
+op1 = _licences()
+
+# All pairs that share a shingle, and the closure of the links: for small inputs only.
+op5 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
+
+ORACLES = {"op1_license_sentences": op1, "op3_warc_chunks": op3, "op4_line_keeps": op4, "op5_lsh_forest": op5, "op9_block_names": op9}
