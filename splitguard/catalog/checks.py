@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from splitguard.catalog.frames import document_frame, judged_documents, order_frame, split_documents, table
-from splitguard.catalog.oracles import DOCS, JUDGED, ORDERS, neighbors, random_part
-from splitguard.functions.records import word_shingles
+from splitguard.catalog.oracles import DOCS, JUDGED, ORDERS, neighbors, random_part, tokens
+from splitguard.functions.numbers import percent, percent_half_up
+from splitguard.functions.records import set_similarity, token_set, word_shingles
 from splitguard.operators import extended
 from splitguard.operators.neighbors import nearest_neighbors
 from splitguard.operators.splits import random_split
@@ -119,10 +120,25 @@ def roll_up(spark, sf_dir):
     return extended.roll_up(_found(spark, sf_dir))
 
 
+def chart_percentages(spark, sf_dir):
+    """Shares of the order priorities, rounded as in messages (ties to even) and as on charts (ties up)."""
+    counts = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    total = table(spark, sf_dir, "orders").agg(F.count("*")).scalar()
+    share = F.col("n") / total
+    return counts.select("o_orderpriority", percent(share).alias("message_pct"), percent_half_up(share).alias("chart_pct"))
+
+
+def turn_similarity(spark, sf_dir):
+    """Token-set similarity of each turn with the next one of its conversation."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", token_set("text").alias("tokens"))
+    following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("tokens").alias("next_tokens"))
+    return turns.join(following, ["conv_id", "turn"]).select("conv_id", "turn", F.round(set_similarity("tokens", "next_tokens"), _DIGITS).alias("similarity"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        record_hashes, copied_records, duplicate_severity, group_leaks, group_severity, temporal, confound, feature_leaks, moments,
+        chart_percentages, turn_similarity, record_hashes, copied_records, duplicate_severity, group_leaks, group_severity, temporal, confound, feature_leaks, moments,
         input_problems, companion_split, corpus_overlap, near_and_far, inflation, findings, roll_up,
     )
 }
@@ -177,6 +193,12 @@ _RUNS8 = """{0}_words AS (SELECT {1} AS id, [x FOR x IN string_split(trim(regexp
 {0}_runs AS (SELECT DISTINCT id, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS i FROM {0}_words) WHERE len(w) > 0)"""
 
 ORACLES = {
+    "chart_percentages": """SELECT o_orderpriority, round_even(count(*) / (SELECT count(*) FROM orders) * 100, 1) AS message_pct,
+  floor(count(*) / (SELECT count(*) FROM orders) * 1000 + 0.5) / 10 AS chart_pct FROM orders GROUP BY 1""",
+    "turn_similarity": f"""WITH t AS (SELECT conv_id, turn, {tokens('text')} AS k FROM conversations)
+SELECT a.conv_id, a.turn, round(CASE WHEN len(a.k) + len(b.k) = 0 THEN 0.0 ELSE
+  len(list_intersect(a.k, b.k)) / (len(a.k) + len(b.k) - len(list_intersect(a.k, b.k))) END, 6) AS similarity
+FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""",
     "record_hashes": f"SELECT o_orderkey, sha256({_HASHED}) AS row_hash FROM orders",
     "copied_records": f"""WITH {DOCS},
 {random_part()},
