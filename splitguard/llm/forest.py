@@ -130,6 +130,7 @@ def near_copies(
     )
     vertices = classes.select("v", "n", "signature")
     blocks, dense = _blocks(vertices, region)
+    blocks = materialize(blocks, "blocks")
     # From here on only sets that share a region count; the others are alone.
     vertices = materialize(vertices.join(blocks.select("v").distinct().hint("merge"), "v", "left_semi"), "vertices")
     first = materialize(_candidates(blocks, vertices.withColumn("label", F.col("v")), percent, _forest).distinct(), "forest_pairs")
@@ -139,19 +140,22 @@ def near_copies(
     wanted = first.select(F.explode(F.array("a", "b")).alias("v"))
     if dense is not None:
         wanted = wanted.unionByName(dense)
-        blocks = blocks.unionByName(_grown(vertices.join(dense, "v", "left_semi"), TREES, TREES + MORE_TREES, region, True)[0])
+        more_blocks = _grown(vertices.join(dense, "v", "left_semi"), TREES, TREES + MORE_TREES, region, True)[0]
+        blocks = blocks.unionByName(materialize(more_blocks, "more_blocks"))
     texts = docs.select(F.col(id_col).alias("v"), F.col(text_col).cast("string").alias("text"))
     texts = materialize(texts.join(wanted.distinct().hint("merge"), "v", "left_semi"), "texts")
 
     links = materialize(_confirmed(first, texts, percent, width), "links")
     labels = materialize(components(links), "labels")
     labelled = vertices.join(labels.withColumnRenamed("component", "label"), "v", "left").withColumn("label", F.coalesce("label", "v"))
-    blocks = _with_hubs(blocks, links)
+    if dense is not None:
+        blocks = materialize(_with_hubs(blocks, links), "all_blocks")
     more = materialize(_settled(_unsettled(blocks, labelled, percent), texts, percent, width), "more_links")
     # Sets too long to be held by the hundred go in pairs.
     long_sets = labelled.filter(100 * F.col("n") >= percent * LONG)
-    long_pairs = _candidates(blocks, long_sets, percent, _long_pairs).distinct().join(first, ["a", "b"], "left_anti")
-    more = more.unionByName(materialize(_confirmed(materialize(long_pairs, "long_pairs"), texts, percent, width), "long_links"))
+    if not long_sets.isEmpty():
+        long_pairs = _candidates(blocks, long_sets, percent, _long_pairs).distinct().join(first, ["a", "b"], "left_anti")
+        more = more.unionByName(materialize(_confirmed(materialize(long_pairs, "long_pairs"), texts, percent, width), "long_links"))
     if not more.isEmpty():
         labels = materialize(components(links.unionByName(more)), "all_labels")
 
