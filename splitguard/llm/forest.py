@@ -17,9 +17,9 @@ from splitguard.storage import lookup, materialize
 
 WIDTH = 5
 TREES, MIN_DEPTH, MAX_DEPTH = 12, 3, 8
-MORE_TREES = 12  # further orders for sets from large regions, which are found less often at greater depth
 REGION = 512  # a region with more sets is looked at one level deeper
 LIKELY = 64  # of TREES * MAX_DEPTH equal signature values: a pair with fewer is not looked at again
+MEETING = 40  # bits of a cell number below the tree number, where two cells of a large region meet
 LONG = 50_000  # shingles; longer sets are compared in pairs, so that a block of sets fits in memory
 CACHE_WORDS = 500_000
 SEED = 42
@@ -114,12 +114,12 @@ def near_copies(
 
     Equal sets become one vertex. Each tree orders the signatures by its own run of values; a region is a
     common prefix, at least MIN_DEPTH long. A region of more than ``region`` sets is cut into cells that
-    share a pivot, and is also taken apart by the next values, down to MAX_DEPTH; its sets get further
-    trees. A first round confirms, per region, a forest of the likeliest pairs. In a second one the task
-    that holds a region confirms every likely pair whose ends are not yet in one component, with the set
-    of most links as a further pivot of every cell; only links leave it, so copies never expand into
-    pairs. No pair is dropped for number. A pair just at the bound shares a region with a chance of
-    1 - 1e-5 where regions are small.
+    share a pivot, and is also taken apart by the next values, down to MAX_DEPTH. A first round confirms,
+    per region, a forest of the likeliest pairs. In a second one the task that holds a region confirms
+    every likely pair whose ends are not yet in one component; of a large region any two cells that hold
+    different components meet, so every two sets of a region do. Only links leave a task, so copies never
+    expand into pairs. No pair is dropped for number. A pair just at the bound shares a region with a
+    chance of 1 - 1e-5, whatever the size of its regions.
     """
     sets = materialize(sketches(docs, id_col, text_col, width), "sketches")
     classes = materialize(
@@ -129,7 +129,7 @@ def near_copies(
         "classes",
     )
     vertices = classes.select("v", "n", "signature")
-    blocks, dense = _blocks(vertices, region)
+    blocks, crowded = _blocks(vertices, region)
     blocks = materialize(blocks, "blocks")
     # From here on only sets that share a region count; the others are alone.
     vertices = materialize(vertices.join(blocks.select("v").distinct().hint("merge"), "v", "left_semi"), "vertices")
@@ -138,18 +138,16 @@ def near_copies(
     # Who has a likely partner is an end of a forest pair, or lies in a large region. Their texts are fetched
     # once for both rounds, and by the same plan at every size.
     wanted = first.select(F.explode(F.array("a", "b")).alias("v"))
-    if dense is not None:
-        wanted = wanted.unionByName(dense)
-        more_blocks = _grown(vertices.join(dense, "v", "left_semi"), TREES, TREES + MORE_TREES, region, True)[0]
-        blocks = blocks.unionByName(materialize(more_blocks, "more_blocks"))
+    if crowded is not None:
+        wanted = wanted.unionByName(crowded.select("v"))
     texts = docs.select(F.col(id_col).alias("v"), F.col(text_col).cast("string").alias("text"))
     texts = materialize(texts.join(wanted.distinct().hint("merge"), "v", "left_semi"), "texts")
 
     links = materialize(_confirmed(first, texts, percent, width), "links")
     labels = materialize(components(links), "labels")
     labelled = vertices.join(labels.withColumnRenamed("component", "label"), "v", "left").withColumn("label", F.coalesce("label", "v"))
-    if dense is not None:
-        blocks = materialize(_with_hubs(blocks, links), "all_blocks")
+    if crowded is not None:
+        blocks = blocks.unionByName(materialize(_meetings(crowded, labelled, region), "meetings"))
     more = materialize(_settled(_unsettled(blocks, labelled, percent), texts, percent, width), "more_links")
     # Sets too long to be held by the hundred go in pairs.
     long_sets = labelled.filter(100 * F.col("n") >= percent * LONG)
@@ -169,33 +167,20 @@ def near_copies(
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _prefix(depth: int, more: bool):
-    """A hash of the tree number and the first values of its order.
-
-    The first TREES orders take the values as they lie in the signature; the others draw theirs from all of them.
-    """
-    if not more:
-        return F.xxhash64("tree", F.expr(f"substring(signature, tree * {4 * MAX_DEPTH} + 1, {4 * depth})"))
-    rng = np.random.default_rng(SEED + 1)
-    orders = [rng.permutation(TREES * MAX_DEPTH)[:MAX_DEPTH].tolist() for _ in range(MORE_TREES)]
-    own = F.slice(F.get(F.lit(orders), F.col("tree") - TREES), 1, depth)
-    return F.xxhash64("tree", F.transform(own, lambda p: F.call_function("substring", F.col("signature"), p * 4 + 1, F.lit(4))))
+def _prefix(depth: int):
+    """A hash of the tree number and the first values of its order, which lie side by side in the signature."""
+    return F.xxhash64("tree", F.expr(f"substring(signature, tree * {4 * MAX_DEPTH} + 1, {4 * depth})"))
 
 
 def _blocks(vertices: DataFrame, region: int) -> tuple[DataFrame, DataFrame | None]:
     """(h, cell, v): sets to be compared with one another, at most ``region`` and a pivot per (h, cell).
 
-    And the sets in large regions (v), if there are any.
+    And the rows (h, tree, v) of the regions at MIN_DEPTH that are larger, if there are any: not every two of
+    their sets are in one block.
     """
-    blocks, large = _grown(vertices, 0, TREES, region, False)
-    return blocks, large if large is None else materialize(large.distinct(), "dense")
-
-
-def _grown(vertices: DataFrame, first: int, stop: int, region: int, more: bool) -> tuple[DataFrame, DataFrame | None]:
-    """The blocks of some trees, and the rows of their large regions at MIN_DEPTH if there are any."""
-    planted = vertices.select("v", "signature", F.explode(F.sequence(F.lit(first), F.lit(stop - 1))).alias("tree"))
-    deeper = F.array(*[_prefix(depth, more) for depth in range(MIN_DEPTH + 1, MAX_DEPTH + 1)]).alias("deeper")
-    rows, parts, dense = planted.select("v", "tree", _prefix(MIN_DEPTH, more).alias("h")), [], None
+    planted = vertices.select("v", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    deeper = F.array(*[_prefix(depth) for depth in range(MIN_DEPTH + 1, MAX_DEPTH + 1)]).alias("deeper")
+    rows, parts, crowded = planted.select("v", "tree", _prefix(MIN_DEPTH).alias("h")), [], None
     for depth in range(MIN_DEPTH, MAX_DEPTH + 1):
         sizes = materialize(
             rows.groupBy("h").agg(F.count("*").alias("n"), F.min("v").alias("pivot")).filter("n > 1").withColumn("weight", F.col("n")),
@@ -207,10 +192,10 @@ def _grown(vertices: DataFrame, first: int, stop: int, region: int, more: bool)
         if large.isEmpty():
             break
         if depth == MIN_DEPTH:
-            dense = large.select("v")
+            crowded = large.select("h", "tree", "v")
             # Deeper prefixes are worked out for the sets of large regions only, and once for all depths.
             large = large.select("v", "tree", "h", "n", "pivot").join(vertices.select("v", "signature"), "v").select("v", "tree", "h", "n", "pivot", deeper)
-        if depth == MAX_DEPTH or depth == MIN_DEPTH and not more:
+        if depth in (MIN_DEPTH, MAX_DEPTH):
             cells = F.ceil(F.col("n") / region)
             own = F.array(F.pmod(F.xxhash64("v", "tree"), cells))
             places = F.when(F.col("v") == F.col("pivot"), F.sequence(F.lit(0).cast("long"), cells - 1)).otherwise(own)
@@ -220,16 +205,28 @@ def _grown(vertices: DataFrame, first: int, stop: int, region: int, more: bool)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out, dense
+    return out, crowded
+
 
+def _meetings(crowded: DataFrame, labelled: DataFrame, region: int) -> DataFrame:
+    """Blocks (h, cell, v) in which every two sets of one large region meet that are not in one component.
 
-def _with_hubs(blocks: DataFrame, links: DataFrame) -> DataFrame:
-    """The blocks, with the set of most confirmed links of a region that is in cells added to each of its cells."""
-    degrees = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("degree"))
-    regions = blocks.groupBy("h").agg(F.max("cell").alias("last")).filter("last > 0")
-    best = blocks.join(regions, "h").join(degrees, "v").groupBy("h").agg(F.max("last").alias("last"), F.max(F.struct("degree", "v")).alias("hub"))
-    added = best.select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("cell"), F.col("hub.v").alias("v"))
-    return blocks.unionByName(added.join(blocks, ["h", "cell", "v"], "left_anti"))
+    Where all but ``region`` sets are in one component, that one is cut into cells and the others go to
+    each of them. Otherwise the region is cut into cells and each two of them make a block.
+    """
+    rows = crowded.join(labelled.select("v", "label"), "v")
+    counts = rows.groupBy("h", "label").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("n"), F.max(F.struct("k", "label")).alias("most"))
+    counts = counts.filter("most.k < n").select("h", "n", F.col("most.k").alias("k"), F.col("most.label").alias("most"), F.col("n").alias("weight"))
+    rows = lookup(rows, materialize(counts, "crowded_regions"), ["h"], "weight", "v").filter("n IS NOT NULL")
+    half = max(1, region // 2)
+    few = F.col("n") - F.col("k") <= region
+    cells = F.ceil(F.when(few, F.col("k")).otherwise(F.col("n")) / half)
+    own, every = F.pmod(F.xxhash64("v", "tree"), F.col("cells")), F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)
+    with_each = F.transform(every, lambda c: F.least(c, F.col("own")) * F.col("cells") + F.greatest(c, F.col("own")))
+    places = F.when(few & (F.col("label") == F.col("most")), F.array("own")).when(few, every).otherwise(with_each)
+    rows = rows.withColumn("cells", cells).withColumn("own", own)
+    marked = (F.col("tree").cast("long") + 1) * F.lit(1 << MEETING)
+    return rows.select("h", marked.alias("mark"), "v", F.explode(places).alias("place")).select("h", (F.col("mark") + F.col("place")).alias("cell"), "v")
 
 
 def _members(blocks: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -257,11 +254,17 @@ def _likely(block: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray
     n = block.column("n").to_numpy()
     label = block.column("label").to_numpy(zero_copy_only=False)
     signature = np.frombuffer(b"".join(block.column("signature").to_pylist()), dtype="<u4").reshape(len(n), -1)
+    # Where cells meet, a pair is left to the first tree in which its sets share a region.
+    trees = range(max(0, (block.column("cell")[0].as_py() >> MEETING) - 1))
+    prefixes = [signature[:, t * MAX_DEPTH : t * MAX_DEPTH + MIN_DEPTH] for t in trees]
+    before = np.array([np.unique(p, axis=0, return_inverse=True)[1].reshape(-1) for p in prefixes]).T
     lefts, rights, alike = [], [], []
     for i in range(len(n) - 1):
         possible = np.flatnonzero(
             (label[i + 1 :] != label[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))
         ) + i + 1
+        if len(trees) and len(possible):
+            possible = possible[(before[possible] != before[i]).all(axis=1)]
         if len(possible):
             same = (signature[possible] == signature[i]).sum(axis=1)
             likely = same >= LIKELY

@@ -166,3 +166,33 @@ def test_long_sets_go_in_pairs(spark, monkeypatch):
         rows += [(100 * g + i, edited(base, i % 3, rnd)) for i in range(12)]
     got = forest.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), region=4)
     assert as_dict(got) == plain_groups(rows)
+
+
+def template_family(rnd, members, planted, slots=100, edits=8, common=2):
+    """Texts from one template that are not linked with each other, and planted pairs that are, just above 85 percent."""
+    base = [f"t{i}" for i in range(8 * slots)]
+
+    def filled(changes):
+        words = list(base)
+        for slot, word in changes:
+            words[8 * slot + 4] = word
+        return " ".join(words)
+
+    fresh = lambda own: [(s, f"x{rnd.randrange(10**9)}") for s in own]
+    rows = []
+    for i in range(members):
+        own = fresh(rnd.sample(range(slots), edits))
+        rows.append((2 * i, filled(own)))
+        if i < planted:
+            left = [s for s in range(slots) if s not in {s for s, _ in own}]
+            rows.append((2 * i + 1, filled(own[:common] + fresh(rnd.sample(left, edits - common)))))
+    return rows
+
+
+def test_pairs_within_a_family_of_unlinked_members(spark):
+    rows = template_family(random.Random(11), 100, 30)
+    want = plain_groups(rows)
+    assert sum(not kept for _, _, kept in want.values()) >= 30
+    assert len({c for _, c, _ in want.values()}) >= 60
+    got = forest.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), region=8)
+    assert as_dict(got) == want
