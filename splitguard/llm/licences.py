@@ -85,6 +85,11 @@ RULES = (
 )
 
 SENTENCE_END = r"(?:[.!?]+(?:[ \t\r]+|[ \t\r]*(?:\n|\z))|[;:][ \t\r]*\n|\n[ \t\r]*\n)"
+# The code splits in two steps: at lines without words, then at the other ends. v. is no end.
+EMPTY_LINE = r"\n[^\p{L}\p{N}\n]*(?=\n)"
+PART_END = r"(?:(?<!\b[vV])[.!?]+(?:[ \t\r]+|[ \t\r]*(?:\n|\z))|[;:][ \t\r]*\n)"
+WORD = r"[\p{L}\p{N}]"
+LIST_MARK = r"(?:[0-9]{1,3}|[A-Za-z]|[ivx]{1,4})"
 NOT_WORD = "[^0-9a-z]+"
 VERSION = r"\b[0-9]+(?: [0-9]+)*\b"
 
@@ -110,20 +115,46 @@ def normal_sentence(bare: Column) -> Column:
 def licence_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The known sentences of each text in order: doc_id, mark, pos, line, sentence_id, version.
 
-    A sentence ends at . ! or ? before white space, at ; or : at the end of a line, or at an empty line, so a
-    sentence wrapped over lines is one. One that is unknown as a whole is looked up line by line (``line`` counts
-    from 1; 0 is the whole). ``version`` is the first number in it, with dots.
+    A sentence ends at . ! or ? before white space, at ; or : at the end of a line, or at a line without words,
+    so a sentence wrapped over lines is one. As known sentences hold a ; or : themselves, sentences that follow
+    one another are also looked up as one, as many as a known one can come in; the first and longest found
+    counts. One that is unknown as a whole is looked up line by line (``line`` counts from 1; 0 is the whole).
+    List numbers and parts without words are no sentences. ``pos`` counts those that are left, and ``width``
+    how many were looked up as one. ``version`` is the first number in it, with dots.
     """
     known = docs.sparkSession.createDataFrame([(normal_words(s), i) for i, s in SENTENCES.items()], "known string, sentence_id string")
-    source = docs.select(F.col(id_col).alias("doc_id"), F.hash(text_col).alias("mark"), F.split(F.coalesce(text_col, F.lit("")), SENTENCE_END).alias("parts"))
-    parts = source.select("doc_id", "mark", F.posexplode("parts").alias("pos", "part"))
-    inner = F.split("part", "\n")
-    units = parts.select("doc_id", "mark", "pos", F.posexplode(F.when(F.instr("part", "\n") > 0, F.concat(F.array("part"), inner)).otherwise(F.array("part"))).alias("line", "unit"))
-    worded = units.select("doc_id", "mark", "pos", "line", bare_words(F.col("unit")).alias("bare")).filter(F.length("bare") > 0)
+    source = docs.select(F.col(id_col).alias("doc_id"), F.hash(text_col).alias("mark"), _parts(F.coalesce(text_col, F.lit(""))).alias("parts"))
+    parts = source.select("doc_id", "mark", "parts", F.posexplode("parts").alias("pos", "own"))
+    inner = F.split("own.part", "\n")
+    lines = F.transform(F.when(F.instr("own.part", "\n") > 0, inner).otherwise(F.array()), lambda u, i: F.struct(F.lit(1).alias("width"), (i + 1).alias("line"), u.alias("unit")))
+    wholes = [F.struct(F.lit(1).alias("width"), F.lit(0).alias("line"), F.col("own.part").alias("unit"))]
+    for width in range(2, _most_parts() + 1):
+        run = F.slice("parts", F.col("pos") + 1, width)
+        joined = F.when((F.size(run) == width) & (F.element_at(run, -1)["para"] == F.col("own.para")), F.concat_ws(" ", F.transform(run, lambda r: r["part"])))
+        wholes.append(F.struct(F.lit(width).alias("width"), F.lit(0).alias("line"), joined.alias("unit")))
+    units = parts.select("doc_id", "mark", "pos", F.explode(F.concat(F.array(*wholes), lines)).alias("u")).select("doc_id", "mark", "pos", "u.*")
+    worded = units.select("doc_id", "mark", "pos", "width", "line", bare_words(F.col("unit")).alias("bare")).filter(F.length("bare") > 0)
     # The table of known sentences is a constant of this module, so its size is bounded.
     found = worded.withColumn("normal", normal_sentence(F.col("bare"))).join(F.broadcast(known), F.col("normal") == F.col("known"))
     version = F.replace(F.regexp_extract("bare", VERSION, 0), F.lit(" "), F.lit("."))
-    return found.select("doc_id", "mark", "pos", "line", "sentence_id", F.nullif(version, F.lit("")).alias("version"))
+    return found.select("doc_id", "mark", "pos", "width", "line", "sentence_id", F.nullif(version, F.lit("")).alias("version"))
+
+
+def _most_parts() -> int:
+    """In how many parts a known sentence can come if its lines break anywhere."""
+    import re
+
+    return 1 + max(len(re.findall(r"[;:](?=\s)", s)) for s in SENTENCES.values())
+
+
+def _parts(text: Column) -> Column:
+    """The parts of a text that hold words and are no list number: para (the number of the paragraph), part."""
+    number = rf"^[^\p{{L}}\p{{N}}]*{LIST_MARK}[^\p{{L}}\p{{N}}]*$"
+    # In 1) or (a) the mark stays with what it numbers.
+    marked = rf"^[^\p{{L}}\p{{N}}]*{LIST_MARK}\)\s+"
+    inside = lambda p: F.filter(F.split(p, PART_END), lambda x: x.rlike(WORD) & ~x.rlike(number))
+    named = lambda p, k: F.transform(inside(p), lambda x: F.struct(k.alias("para"), F.regexp_replace(x, marked, "").alias("part")))
+    return F.flatten(F.transform(F.split(text, EMPTY_LINE), named))
 
 
 def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,12 +166,14 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     share id and text come out alike. Other columns are not read.
     """
     found = licence_sentences(docs, id_col, text_col)
-    at = F.struct("pos", "line", "sentence_id", "version")
+    at = F.struct("pos", (-F.col("width")).alias("shorter"), "line", "sentence_id", "version")
     # A document's known sentences only; unknown ones never leave the scan.
     per_doc = found.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(at)).alias("found"))
-    whole = F.filter("found", lambda s: s["line"] == 0)
-    lone = F.filter("found", lambda s: (s["line"] == 0) | ~F.array_contains(F.transform(whole, lambda w: w["pos"]), s["pos"]))
-    per_doc = per_doc.withColumn("found", lone)
+    # A whole one takes its parts with it: their lines, and others that begin in it.
+    taken = lambda s: F.exists("found", lambda w: (w["line"] == 0) & (
+        (w["pos"] < s["pos"]) & (w["pos"] - w["shorter"] > s["pos"]) | (w["pos"] == s["pos"]) & ((s["line"] > 0) | (w["shorter"] < s["shorter"]))
+    ))
+    per_doc = per_doc.withColumn("found", F.filter("found", lambda s: ~taken(s)))
     gap = lambda s, i: F.when(
         (i > 0) & ~_follows(F.get("found", i - 1), s), F.concat(F.lit("- "), s["sentence_id"])
     ).otherwise(s["sentence_id"])
@@ -166,4 +199,4 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def _follows(before: Column, here: Column) -> Column:
     """Right after: the next sentence, or the next line of the same one."""
-    return ((here["pos"] == before["pos"] + 1) & (here["line"] <= 1)) | ((here["pos"] == before["pos"]) & (here["line"] == before["line"] + 1))
+    return ((here["pos"] == before["pos"] - before["shorter"]) & (here["line"] <= 1)) | ((here["pos"] == before["pos"]) & (here["line"] == before["line"] + 1))

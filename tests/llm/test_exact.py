@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from compare import compare, connect
-from splitguard.llm import lines, names
+from splitguard.llm import licences, lines, names
 from splitguard.llm.oracles import ORACLES
 from splitguard.llm.queries import QUERIES
 
@@ -86,3 +86,48 @@ def test_a_line_that_everyone_has(spark):
     assert [r.doc_id for r in keeps.filter("n_dropped = 0").collect()] == [0]
     assert keeps.agg(F.sum("n_dropped")).first()[0] == 299
     assert keeps.filter("doc_id = 7").first().keep_runs == [(1, 1)]
+
+
+APACHE = """   Copyright 2020 Someone
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+BSD_2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = BSD_2 + """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_licences_as_published(spark):
+    texts = [APACHE, BSD_2, BSD_3, BSD_3.replace("1. ", "1) ").replace("2. ", "2) ").replace("3. ", "3) ")]
+    texts += ["".join("# " + line for line in t.splitlines(keepends=True)) for t in texts[:3]]
+    want = ["Apache", "BSD-2-Clause", "BSD-3-Clause", "BSD-3-Clause", "Apache", "BSD-2-Clause", "BSD-3-Clause"]
+    rows = list(enumerate(texts + [t.replace("\n", "\r\n") for t in texts]))
+    rows.append((99, "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not"))
+    got = {r.doc_id: r for r in licences.licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].licences for i in range(2 * len(want))] == want + want
+    assert got[0].sentences == got[7].sentences == "apache-head,apache-copy,apache-as-is" and got[0].versions == "2.0"
+    assert got[2].sentences == "bsd-grant,bsd-source,bsd-binary,bsd-endorse"
+    assert (got[99].licences, got[99].sentences) == ("MPL", "mpl-ref")
