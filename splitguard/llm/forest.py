@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -16,9 +17,10 @@ from splitguard.llm.components import components
 from splitguard.storage import lookup, materialize
 
 WIDTH = 5
-TREES, MIN_DEPTH, MAX_DEPTH = 12, 3, 8
+TREES, MIN_DEPTH, MAX_DEPTH = 12, 3, 8  # at least so many trees
+APART = 1.1e-5  # chance at most that a pair just at the bound shares no region in any tree
+UNLIKE = 2e-6  # chance at most that it has fewer equal signature values than a likely pair must have
 REGION = 512  # a region with more sets is looked at one level deeper
-LIKELY = 64  # of TREES * MAX_DEPTH equal signature values: a pair with fewer is not looked at again
 MEETING = 40  # bits of a cell number below the tree number, where two cells of a large region meet
 LONG = 50_000  # shingles; longer sets are compared in pairs, so that a block of sets fits in memory
 CACHE_WORDS = 500_000
@@ -27,13 +29,33 @@ SEED = 42
 SKETCH = "doc_id {id}, n_shingles long, c1 long, c2 long, signature binary"
 
 
+@cache
+def trees_for(percent: int) -> int:
+    """Trees that leave a pair with this similarity apart with a chance of at most APART; 12 at 85, 16 at 80."""
+    trees, meet = TREES, (percent / 100) ** MIN_DEPTH
+    while (1 - meet) ** trees > APART:
+        trees += 1
+    return trees
+
+
+@cache
+def least_alike(percent: int, n: int) -> int:
+    """The most equal values, of n, that may be asked of a pair if UNLIKE of those at the bound may have fewer; 64 of 96 at 85."""
+    j, below = percent / 100, 0.0
+    for k in range(n):
+        below += math.comb(n, k) * j**k * (1 - j) ** (n - k)
+        if below > UNLIKE:
+            return k
+    return n
+
+
 class _Sketcher:
     """Shingle sets as sorted distinct 64-bit numbers, and their signatures."""
 
-    def __init__(self, width: int):
+    def __init__(self, width: int, trees: int):
         self.width, self.known = width, {}
         rng = np.random.default_rng(SEED)
-        n = TREES * MAX_DEPTH
+        n = trees * MAX_DEPTH
         self.mul = rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.add = rng.integers(0, 2**63, n, dtype=np.uint64)
 
@@ -74,17 +96,17 @@ class _Sketcher:
 
 
 @cache
-def _sketcher(width: int) -> _Sketcher:
+def _sketcher(width: int, trees: int = TREES) -> _Sketcher:
     """A Python worker keeps the hashes of the words it has seen from task to task."""
-    return _Sketcher(width)
+    return _Sketcher(width, trees)
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, trees: int = TREES) -> DataFrame:
     """Per row: size of the shingle set, a 128-bit fingerprint of the set (c1, c2), and its signature."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _sketcher(width)
+        own = _sketcher(width, trees)
         for batch in batches:
             sizes, prints, signatures = [], [], []
             for text in batch.column(1).to_pylist():
@@ -119,9 +141,9 @@ def near_copies(
     every likely pair whose ends are not yet in one component; of a large region any two cells that hold
     different components meet, so every two sets of a region do. Only links leave a task, so copies never
     expand into pairs. No pair is dropped for number. A pair just at the bound shares a region with a
-    chance of 1 - 1e-5, whatever the size of its regions.
+    chance of 1 - 1e-5, whatever the size of its regions: the number of trees follows from ``percent``.
     """
-    sets = materialize(sketches(docs, id_col, text_col, width), "sketches")
+    sets = materialize(sketches(docs, id_col, text_col, width, trees_for(percent)), "sketches")
     classes = materialize(
         sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("c1", "c2").agg(
             F.min("doc_id").alias("v"), F.count("*").alias("n_rows"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")
@@ -129,7 +151,7 @@ def near_copies(
         "classes",
     )
     vertices = classes.select("v", "n", "signature")
-    blocks, crowded = _blocks(vertices, region)
+    blocks, crowded = _blocks(vertices, region, trees_for(percent))
     blocks = materialize(blocks, "blocks")
     # From here on only sets that share a region count; the others are alone.
     vertices = materialize(vertices.join(blocks.select("v").distinct().hint("merge"), "v", "left_semi"), "vertices")
@@ -172,13 +194,13 @@ def _prefix(depth: int):
     return F.xxhash64("tree", F.expr(f"substring(signature, tree * {4 * MAX_DEPTH} + 1, {4 * depth})"))
 
 
-def _blocks(vertices: DataFrame, region: int) -> tuple[DataFrame, DataFrame | None]:
+def _blocks(vertices: DataFrame, region: int, trees: int) -> tuple[DataFrame, DataFrame | None]:
     """(h, cell, v): sets to be compared with one another, at most ``region`` and a pivot per (h, cell).
 
     And the rows (h, tree, v) of the regions at MIN_DEPTH that are larger, if there are any: not every two of
     their sets are in one block.
     """
-    planted = vertices.select("v", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    planted = vertices.select("v", "signature", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     deeper = F.array(*[_prefix(depth) for depth in range(MIN_DEPTH + 1, MAX_DEPTH + 1)]).alias("deeper")
     rows, parts, crowded = planted.select("v", "tree", _prefix(MIN_DEPTH).alias("h")), [], None
     for depth in range(MIN_DEPTH, MAX_DEPTH + 1):
@@ -267,7 +289,7 @@ def _likely(block: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray
             possible = possible[(before[possible] != before[i]).all(axis=1)]
         if len(possible):
             same = (signature[possible] == signature[i]).sum(axis=1)
-            likely = same >= LIKELY
+            likely = same >= least_alike(percent, signature.shape[1])
             if likely.any():
                 rights.append(possible[likely])
                 lefts.append(np.full(int(likely.sum()), i))

@@ -1,13 +1,15 @@
 """Language identification, and the pipeline against its stages in plain Python."""
 
+import math
+import random
 import zlib
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from splitguard.llm import language, leaks
+from splitguard.llm import forest, language, leaks
 from test_exact import plain_copies
-from test_near import plain_groups
+from test_near import as_dict, plain_groups
 
 
 def test_held_out_accuracy(spark, sf):
@@ -56,3 +58,27 @@ def test_stages_on_edge_cases(spark, edge_docs, no_docs, sf):
             out = stage(spark, docs, sf)
             n = out.count()
             assert name == "pack" or (out.columns == docs.columns and n <= docs.count())
+
+
+def test_near_copies_from_80_percent(spark):
+    rnd, rows = random.Random(4), []
+    for g in range(40):
+        base = [f"g{g}w{i}" for i in range(404)]
+        # n words changed far apart: (400 - 5 n) / (400 + 5 n), 0.81 for 8 and 0.84 for 7.
+        words = list(base)
+        for slot in rnd.sample(range(40), 7 + g % 2):
+            words[10 * slot + 5] = f"new{rnd.randrange(10**6)}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(words))]
+    want = plain_groups(rows, percent=80)
+    assert sum(stays for _, _, stays in want.values()) == 40 and all(stays for _, _, stays in plain_groups(rows).values())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert as_dict(forest.near_copies(docs, percent=80)) == want
+
+
+def test_trees_and_equal_values_follow_from_the_bound():
+    assert (forest.trees_for(85), forest.least_alike(85, 96)) == (12, 64)
+    for percent in (60, 80, 85, 95):
+        trees = forest.trees_for(percent)
+        n, j = trees * forest.MAX_DEPTH, percent / 100
+        assert (1 - j**forest.MIN_DEPTH) ** trees <= 1.1e-5
+        assert sum(math.comb(n, k) * j**k * (1 - j) ** (n - k) for k in range(forest.least_alike(percent, n))) <= 2e-6
