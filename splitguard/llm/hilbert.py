@@ -11,8 +11,8 @@ from splitguard.storage import materialize
 BITS = 5
 
 
-def octave_steps(size: Column, per_octave: int = 2, bits: int = BITS) -> Column:
-    """A size on a logarithmic scale, in ``per_octave`` steps per doubling, cut at 2**bits - 1. NULL is 0."""
+def octave_steps(size: Column, per_octave: int = 1, bits: int = BITS) -> Column:
+    """A size on a logarithmic scale, in ``per_octave`` steps per doubling, cut at 2**bits - 1: with the defaults that is 2 GB. NULL is 0."""
     step = F.floor(F.log2(F.greatest(size.cast("double"), F.lit(1.0))) * per_octave)
     return F.coalesce(F.least(step, F.lit((1 << bits) - 1)), F.lit(0)).cast("long")
 

@@ -134,3 +134,10 @@ def test_one_length_for_a_third_of_all(spark):
     )
     rows = packing.pack(frame, ["doc_id"]).collect()
     assert len({(r.sequence_id, r.offset) for r in rows}) == 3000
+
+
+def test_size_steps_reach_two_gigabytes(spark):
+    from splitguard.llm import hilbert
+
+    sizes = spark.range(0, 32).select(F.expr("shiftleft(1L, cast(id as int))").alias("size"))
+    assert [r[0] for r in sizes.orderBy("size").select(hilbert.octave_steps(F.col("size"))).collect()] == list(range(32))
