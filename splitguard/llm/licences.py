@@ -123,15 +123,13 @@ def licence_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     how many were looked up as one. ``version`` is the first number in it, with dots.
     """
     known = docs.sparkSession.createDataFrame([(normal_words(s), i) for i, s in SENTENCES.items()], "known string, sentence_id string")
-    source = docs.select(F.col(id_col).alias("doc_id"), F.hash(text_col).alias("mark"), _parts(F.coalesce(text_col, F.lit(""))).alias("parts"))
-    parts = source.select("doc_id", "mark", "parts", F.posexplode("parts").alias("pos", "own"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.hash(text_col).alias("mark"), _with_next(_parts(F.coalesce(text_col, F.lit("")))).alias("parts"))
+    # A row holds its own part and the joined ones, never the whole text.
+    parts = source.select("doc_id", "mark", F.posexplode("parts").alias("pos", "own"))
     inner = F.split("own.part", "\n")
     lines = F.transform(F.when(F.instr("own.part", "\n") > 0, inner).otherwise(F.array()), lambda u, i: F.struct(F.lit(1).alias("width"), (i + 1).alias("line"), u.alias("unit")))
     wholes = [F.struct(F.lit(1).alias("width"), F.lit(0).alias("line"), F.col("own.part").alias("unit"))]
-    for width in range(2, _most_parts() + 1):
-        run = F.slice("parts", F.col("pos") + 1, width)
-        joined = F.when((F.size(run) == width) & (F.element_at(run, -1)["para"] == F.col("own.para")), F.concat_ws(" ", F.transform(run, lambda r: r["part"])))
-        wholes.append(F.struct(F.lit(width).alias("width"), F.lit(0).alias("line"), joined.alias("unit")))
+    wholes += [F.struct(F.lit(w).alias("width"), F.lit(0).alias("line"), F.col(f"own.joined_{w}").alias("unit")) for w in range(2, _most_parts() + 1)]
     units = parts.select("doc_id", "mark", "pos", F.explode(F.concat(F.array(*wholes), lines)).alias("u")).select("doc_id", "mark", "pos", "u.*")
     worded = units.select("doc_id", "mark", "pos", "width", "line", bare_words(F.col("unit")).alias("bare")).filter(F.length("bare") > 0)
     # The table of known sentences is a constant of this module, so its size is bounded.
@@ -157,6 +155,18 @@ def _parts(text: Column) -> Column:
     return F.flatten(F.transform(F.split(text, EMPTY_LINE), named))
 
 
+def _with_next(parts: Column) -> Column:
+    """Each part, and joined to those after it in its paragraph."""
+
+    def joined(all_parts: Column, p: Column, i: Column, width: int) -> Column:
+        run = F.slice(all_parts, i + 1, width)
+        return F.when((F.size(run) == width) & (F.element_at(run, -1)["para"] == p["para"]), F.concat_ws(" ", F.transform(run, lambda r: r["part"])))
+
+    widths = range(2, _most_parts() + 1)
+    each = lambda ps: F.transform(ps, lambda p, i: F.struct(p["part"].alias("part"), *[joined(ps, p, i, w).alias(f"joined_{w}") for w in widths]))
+    return F.element_at(F.transform(F.array(parts), each), 1)
+
+
 def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, sentences (identifiers in order, comma-separated), licences (sorted), versions (sorted).
 
