@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitguard.llm import forest, hilbert, infill, language, leaks, licences, lines, names, packing, piececount, warc
+from splitguard.llm import collisions, forest, hilbert, infill, language, leaks, licences, lines, names, packing, piececount, warc
 from splitguard.storage import shared_folder
 
 N_SHARDS = 16
@@ -109,6 +109,12 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op12_collision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every fiftieth embedding."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return collisions.nearest(collisions.index_vectors(vectors), vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 def op13_chunk_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document turned for filling in the middle, cut between lines, and turned back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -123,6 +129,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_license_sentences, op2_edit_leaks, op3_warc_chunks, op4_line_keeps, op5_lsh_forest, op6_token_counts, op7_hilbert_shards,
-        op8_language_id, op9_block_names, op10_best_fit, op13_chunk_infill,
+        op8_language_id, op9_block_names, op10_best_fit, op12_collision_counts, op13_chunk_infill,
     )
 }
