@@ -95,6 +95,23 @@ c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
 """
 
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+# Every document that shares a term with an item is scored.
+op11 = rf"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents), n AS (SELECT doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+c AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM n),
+tf AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS w FROM d) GROUP BY 1, 2),
+df AS (SELECT w, CAST(floor(1000 * ln((2 * (SELECT big_n FROM c) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf GROUP BY 1),
+i AS (SELECT item_id, unnest(list_distinct({_TERMS})) AS w FROM benchmark),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * big_n) // big_l)))) AS BIGINT) AS score
+  FROM i JOIN df USING (w) JOIN tf USING (w) JOIN n USING (doc_id), c GROUP BY 1, 2
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
 # The lines before a cut, the draws from the hash of the id, and the text put together again from the parts.
 op13 = r"""
 WITH t AS (
@@ -111,4 +128,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(x) END AS prefix_c
   sha256(x || y || z) AS restored_sha256 FROM p
 """
 
-ORACLES = {"op1_license_sentences": op1, "op3_warc_chunks": op3, "op4_line_keeps": op4, "op5_lsh_forest": op5, "op9_block_names": op9, "op13_chunk_infill": op13}
+ORACLES = {"op1_license_sentences": op1, "op3_warc_chunks": op3, "op4_line_keeps": op4, "op5_lsh_forest": op5, "op9_block_names": op9, "op11_fp_tree": op11, "op13_chunk_infill": op13}

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitguard.llm import collisions, forest, hilbert, infill, language, leaks, licences, lines, names, packing, piececount, warc
+from splitguard.llm import collisions, forest, fptree, hilbert, infill, language, leaks, licences, lines, names, packing, piececount, warc
 from splitguard.storage import shared_folder
 
 N_SHARDS = 16
@@ -109,6 +109,11 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_fp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest-scoring documents of every benchmark item."""
+    return fptree.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op12_collision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest vectors of every fiftieth embedding."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -129,6 +134,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_license_sentences, op2_edit_leaks, op3_warc_chunks, op4_line_keeps, op5_lsh_forest, op6_token_counts, op7_hilbert_shards,
-        op8_language_id, op9_block_names, op10_best_fit, op12_collision_counts, op13_chunk_infill,
+        op8_language_id, op9_block_names, op10_best_fit, op11_fp_tree, op12_collision_counts, op13_chunk_infill,
     )
 }
