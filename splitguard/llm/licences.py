@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: licence sentences as they are published, and the rules over their identifiers ---
@@ -84,129 +88,190 @@ RULES = (
     ("All-rights-reserved", ("reserved",)),
 )
 
-SENTENCE_END = r"(?:[.!?]+(?:[ \t\r]+|[ \t\r]*(?:\n|\z))|[;:][ \t\r]*\n|\n[ \t\r]*\n)"
-# The code splits in two steps: at lines without words, then at the other ends. v. is no end.
-EMPTY_LINE = r"\n[^\p{L}\p{N}\n]*(?=\n)"
-PART_END = r"(?:(?<!\b[vV])[.!?]+(?:[ \t\r]+|[ \t\r]*(?:\n|\z))|[;:][ \t\r]*\n)"
+# How a text falls into lines, paragraphs and parts; the SQL states the same rule with these.
 WORD = r"[\p{L}\p{N}]"
-LIST_MARK = r"(?:[0-9]{1,3}|[A-Za-z]|[ivx]{1,4})"
+LIST_MARK = r"(?:[0-9]{1,3}|[A-Za-z]|[ivxIVX]{1,4})"
 NOT_WORD = "[^0-9a-z]+"
 VERSION = r"\b[0-9]+(?: [0-9]+)*\b"
 
+_BLANK, _OTHER, _LETTER = 0x20, 0x01, 0x80
 
-def normal_words(text: str) -> str:
-    """The normal form of a known sentence, as ``normal_sentence`` makes it."""
-    import re
 
+def _kinds() -> bytes:
+    """A-Z to a-z; blanks, letters beyond ASCII and marks without a meaning here as one character each."""
+    kept = set(b"abcdefghijklmnopqrstuvwxyz0123456789\n.!?;:)")
+    return bytes(_LETTER if c > 127 else _BLANK if c in b" \t\r" else c if c in kept else _OTHER for c in bytes(range(256)).lower())
+
+
+_KINDS = _kinds()
+_WORDS_ONLY = bytes(c if 97 <= c <= 122 or 48 <= c <= 57 else _BLANK for c in range(256))
+_NO_WORD = re.compile(r"[^\w\x00-\x7F]+")
+_EMPTY_LINE = re.compile(rb"\n[^a-z0-9\x80\n]*(?=\n)")
+_VERSION_DOT = re.compile(rb"\bv\.")
+_PART_END = re.compile(rb"[.!?]+(?: +| *(?:\n|\Z))|[;:] *\n")
+_MARKED = re.compile(rb"[^a-z0-9\x80]*(?:[0-9]{1,3}|[a-z]|[ivx]{1,4})\)[ \n]+")
+_NUMBER = re.compile(rb"[0-9]{1,3}|[a-z]|[ivx]{1,4}")
+
+FOUND = "pos int, width int, line int, sentence_id string, version string"
+
+
+def normal_words(text: str) -> str:
+    """The normal form of a known sentence: A-Z in lower case, words of ASCII letters and digits, numbers as v."""
     words = re.sub(NOT_WORD, " ", text.lower().replace("{v}", " 0 ")).strip()
     return re.sub(VERSION, "v", words)
 
 
-def bare_words(sentence: Column) -> Column:
-    """A-Z in lower case, everything but ASCII letters and digits as one blank."""
-    return F.trim(F.regexp_replace(F.lower(sentence), NOT_WORD, " "))
+def own_number(text: str) -> str | None:
+    """The number that a known sentence without {v} must have, with dots, as 3 in BSD 3-Clause."""
+    number = None if "{v}" in text else re.search(VERSION, re.sub(NOT_WORD, " ", text.lower()))
+    return number and number.group().replace(" ", ".")
 
 
-def normal_sentence(bare: Column) -> Column:
-    """Numbers (also 4 0 for 4.0) replaced by v."""
-    return F.regexp_replace(bare, VERSION, "v")
+def _normal(words: list[bytes]) -> tuple[bytes, str | None]:
+    """The words with every run of numbers as v, and the first such run with dots."""
+    out, version, run = [], None, []
+    for w in [*words, b""]:
+        if w.isdigit():
+            run.append(w)
+            continue
+        if run:
+            out.append(b"v")
+            version, run = version or b".".join(run).decode(), []
+        out.append(w)
+    return b" ".join(out[:-1]), version
 
 
-def licence_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The known sentences of each text in order: doc_id, mark, pos, line, sentence_id, version.
-
-    A sentence ends at . ! or ? before white space, at ; or : at the end of a line, or at a line without words,
-    so a sentence wrapped over lines is one. As known sentences hold a ; or : themselves, sentences that follow
-    one another are also looked up as one, as many as a known one can come in; the first and longest found
-    counts. One that is unknown as a whole is looked up line by line (``line`` counts from 1; 0 is the whole).
-    List numbers and parts without words are no sentences. ``pos`` counts those that are left, and ``width``
-    how many were looked up as one. ``version`` is the first number in it, with dots.
-    """
-    known = docs.sparkSession.createDataFrame([(normal_words(s), i) for i, s in SENTENCES.items()], "known string, sentence_id string")
-    source = docs.select(F.col(id_col).alias("doc_id"), F.hash(text_col).alias("mark"), _with_next(_parts(F.coalesce(text_col, F.lit("")))).alias("parts"))
-    # A row holds its own part and the joined ones, never the whole text.
-    parts = source.select("doc_id", "mark", F.posexplode("parts").alias("pos", "own"))
-    inner = F.split("own.part", "\n")
-    lines = F.transform(F.when(F.instr("own.part", "\n") > 0, inner).otherwise(F.array()), lambda u, i: F.struct(F.lit(1).alias("width"), (i + 1).alias("line"), u.alias("unit")))
-    wholes = [F.struct(F.lit(1).alias("width"), F.lit(0).alias("line"), F.col("own.part").alias("unit"))]
-    wholes += [F.struct(F.lit(w).alias("width"), F.lit(0).alias("line"), F.col(f"own.joined_{w}").alias("unit")) for w in range(2, _most_parts() + 1)]
-    units = parts.select("doc_id", "mark", "pos", F.explode(F.concat(F.array(*wholes), lines)).alias("u")).select("doc_id", "mark", "pos", "u.*")
-    worded = units.select("doc_id", "mark", "pos", "width", "line", bare_words(F.col("unit")).alias("bare")).filter(F.length("bare") > 0)
-    # The table of known sentences is a constant of this module, so its size is bounded.
-    found = worded.withColumn("normal", normal_sentence(F.col("bare"))).join(F.broadcast(known), F.col("normal") == F.col("known"))
-    version = F.replace(F.regexp_extract("bare", VERSION, 0), F.lit(" "), F.lit("."))
-    return found.select("doc_id", "mark", "pos", "width", "line", "sentence_id", F.nullif(version, F.lit("")).alias("version"))
+class _Known:
+    """The known sentences by their normal form, and by the parts they fall into where a line ends after ; or :"""
+
+    def __init__(self, sentences: dict[str, str]):
+        self.wholes: dict[bytes, list[tuple[str | None, str]]] = {}
+        for i, s in sentences.items():
+            self.wholes.setdefault(normal_words(s).encode(), []).append((own_number(s), i))
+        self.parts: dict[bytes, list[tuple[tuple[bytes, ...], str]]] = {}
+        for i, s in sentences.items():
+            breaks = [m.end() for m in re.finditer(r"[;:](?=\s)", s)]
+            for n in range(1, 1 << len(breaks)):
+                cuts = [0, *[b for k, b in enumerate(breaks) if n >> k & 1], len(s)]
+                first, *rest = [normal_words(s[a:b]).encode() for a, b in zip(cuts, cuts[1:])]
+                self.parts.setdefault(first, []).append((tuple(rest), i))
+        for runs in self.parts.values():
+            runs.sort(key=lambda r: -len(r[0]))
+        # A text without any of these words holds no known sentence: each has its longest one here.
+        self.words = sorted({max((w for w in k.split() if w != b"v"), key=lambda w: (len(w), w)) for k in self.wholes})
+
+    def possible(self, data: bytes) -> bool:
+        return any(w in data for w in self.words)
 
+    def found(self, text: str) -> list[tuple[int, int, int, str, str | None]]:
+        """(pos, width, line, sentence_id, version) in order."""
+        data = (text if text.isascii() else _NO_WORD.sub("\x01", text)).encode().translate(_KINDS)
+        if not self.possible(data):
+            return []
+        out, pos = [], 0
+        for paragraph in _EMPTY_LINE.split(_VERSION_DOT.sub(b"v ", data)):
+            parts = list(_parts(paragraph))
+            normal = [_normal(p.translate(_WORDS_ONLY).split()) for p in parts]
+            at = 0
+            while at < len(parts):
+                width, sentence, version = self._longest(normal[at : at + 1 + self._most(normal[at][0])])
+                if sentence:
+                    out.append((pos + at, width, 0, sentence, version))
+                elif b"\n" in parts[at]:
+                    for n, line in enumerate(parts[at].split(b"\n"), 1):
+                        own, version = _normal(line.translate(_WORDS_ONLY).split())
+                        if sentence := self._whole(own, version):
+                            out.append((pos + at, 1, n, sentence, version))
+                at += width
+            pos += len(parts)
+        return out
 
-def _most_parts() -> int:
-    """In how many parts a known sentence can come if its lines break anywhere."""
-    import re
+    def _most(self, first: bytes) -> int:
+        return len(self.parts[first][0][0]) if first in self.parts else 0
 
-    return 1 + max(len(re.findall(r"[;:](?=\s)", s)) for s in SENTENCES.values())
+    def _whole(self, normal: bytes, version: str | None) -> str | None:
+        return next((i for number, i in self.wholes.get(normal, ()) if number in (None, version)), None)
 
+    def _longest(self, parts: list[tuple[bytes, str | None]]) -> tuple[int, str | None, str | None]:
+        """(width, sentence_id, version) of the longest known sentence that the parts begin with."""
+        (first, version), *after = parts
+        for rest, sentence in self.parts.get(first, ()):
+            if tuple(n for n, _ in after[: len(rest)]) == rest:
+                return 1 + len(rest), sentence, next((v for _, v in parts[: 1 + len(rest)] if v), None)
+        return 1, self._whole(first, version), version
 
-def _parts(text: Column) -> Column:
-    """The parts of a text that hold words and are no list number: para (the number of the paragraph), part."""
-    number = rf"^[^\p{{L}}\p{{N}}]*{LIST_MARK}[^\p{{L}}\p{{N}}]*$"
-    # In 1) or (a) the mark stays with what it numbers.
-    marked = rf"^[^\p{{L}}\p{{N}}]*{LIST_MARK}\)\s+"
-    inside = lambda p: F.filter(F.split(p, PART_END), lambda x: x.rlike(WORD) & ~x.rlike(number))
-    named = lambda p, k: F.transform(inside(p), lambda x: F.struct(k.alias("para"), F.regexp_replace(x, marked, "").alias("part")))
-    return F.flatten(F.transform(F.split(text, EMPTY_LINE), named))
 
+def _parts(paragraph: bytes) -> Iterator[bytes]:
+    """The parts that hold words and are no list number, without the mark that numbers them."""
+    for part in _PART_END.split(paragraph):
+        words = part.translate(_WORDS_ONLY).split()
+        if not words and b"\x80" not in part:
+            continue
+        if len(words) == 1 and b"\x80" not in part and _NUMBER.fullmatch(words[0]):
+            continue
+        yield _MARKED.sub(b"", part, count=1) if _MARKED.match(part) else part
 
-def _with_next(parts: Column) -> Column:
-    """Each part, and joined to those after it in its paragraph."""
 
-    def joined(all_parts: Column, p: Column, i: Column, width: int) -> Column:
-        run = F.slice(all_parts, i + 1, width)
-        return F.when((F.size(run) == width) & (F.element_at(run, -1)["para"] == p["para"]), F.concat_ws(" ", F.transform(run, lambda r: r["part"])))
+def _ruled(found: list[tuple]) -> tuple[str, str, str]:
+    """(sentences, licences, versions): the rules in order take out their runs; a run never crosses a gap."""
+    rest = [f"- {s[3]}" if before and not _follows(before, s) else s[3] for before, s in zip([None, *found], found)]
+    rest, names = f" {'  '.join(rest)} ", set()
+    for name, run in RULES:
+        pattern = f" {'  '.join(run)} "
+        if pattern in rest:
+            names.add(name)
+            rest = rest.replace(pattern, " # ")
+    return ",".join(s[3] for s in found), ",".join(sorted(names)), ",".join(sorted({s[4] for s in found if s[4]}))
+
+
+def _follows(before: tuple, here: tuple) -> bool:
+    """Right after: the next part, or the next line of the same one."""
+    return (here[0] == before[0] + before[1] and here[2] <= 1) or (here[0] == before[0] and here[2] == before[2] + 1)
+
+
+def _scanned(docs: DataFrame, id_col: str, text_col: str, result: str, rows_of) -> DataFrame:
+    """Rows of ``rows_of(found)`` per document."""
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    id_type = source.schema["doc_id"].dataType.simpleString()
+    types = [{"int": pa.int32(), "string": pa.string()}[c.split()[1]] for c in result.split(", ")]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(SENTENCES)
+        for batch in batches:
+            at, rows = [], []
+            for n in range(batch.num_rows):
+                own = rows_of(known.found(batch.column(1)[n].as_py() or ""))
+                at += [n] * len(own)
+                rows += own
+            columns = zip(*rows) if rows else [[] for _ in types]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, types)]], names=["doc_id", *[c.split()[0] for c in result.split(", ")]]
+            )
 
-    widths = range(2, _most_parts() + 1)
-    each = lambda ps: F.transform(ps, lambda p, i: F.struct(p["part"].alias("part"), *[joined(ps, p, i, w).alias(f"joined_{w}") for w in widths]))
-    return F.element_at(F.transform(F.array(parts), each), 1)
+    return source.mapInArrow(scan, f"doc_id {id_type}, {result}")
+
+
+def licence_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The known sentences of each text in order: doc_id, pos, width, line, sentence_id, version.
+
+    A line without words ends a paragraph. In it a part ends at . ! or ? before white space (but not after the
+    word v) and at ; or : at the end of a line, so a sentence wrapped over lines is one part. Parts without
+    words or with a list number only are none, and the mark of a numbered one, as in 1) or (a), is left
+    out. Known sentences that hold a ; or : themselves are broken into the same parts, so a run of parts
+    of one paragraph is looked up as such and no joined text is made; the first and longest found counts.
+    A part of several lines that is unknown is looked up line by line (``line`` counts from 1; 0 is the
+    whole). ``pos`` counts parts, ``width`` says how many make up the sentence, and ``version`` is the first
+    number in it, with dots. Compared are words of ASCII letters and digits, A-Z in lower case and numbers as v.
+    """
+    return _scanned(docs, id_col, text_col, FOUND, lambda found: found)
 
 
 def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, sentences (identifiers in order, comma-separated), licences (sorted), versions (sorted).
 
-    The identifiers of a text form a sequence in which every stretch of unknown sentences is a gap. Each
+    The identifiers of a text form a sequence in which every stretch of unknown parts is a gap. Each
     rule in turn takes out all its runs; a run never crosses a gap. Texts without known sentences, NULL and
-    empty ones have empty results. NULL ids and repeated rows come out as they went in; rows that
-    share id and text come out alike. Other columns are not read.
+    empty ones have empty results. NULL ids and repeated rows come out as they went in. Other columns are
+    not read. There is no shuffle: a text is one row, and what it holds is worked out where it is read.
     """
-    found = licence_sentences(docs, id_col, text_col)
-    at = F.struct("pos", (-F.col("width")).alias("shorter"), "line", "sentence_id", "version")
-    # A document's known sentences only; unknown ones never leave the scan.
-    per_doc = found.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(at)).alias("found"))
-    # A whole one takes its parts with it: their lines, and others that begin in it.
-    taken = lambda s: F.exists("found", lambda w: (w["line"] == 0) & (
-        (w["pos"] < s["pos"]) & (w["pos"] - w["shorter"] > s["pos"]) | (w["pos"] == s["pos"]) & ((s["line"] > 0) | (w["shorter"] < s["shorter"]))
-    ))
-    per_doc = per_doc.withColumn("found", F.filter("found", lambda s: ~taken(s)))
-    gap = lambda s, i: F.when(
-        (i > 0) & ~_follows(F.get("found", i - 1), s), F.concat(F.lit("- "), s["sentence_id"])
-    ).otherwise(s["sentence_id"])
-    per_doc = per_doc.select(
-        F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"),
-        F.array_join(F.transform("found", lambda s: s["sentence_id"]), ",").alias("sentences"),
-        F.concat(F.lit(" "), F.array_join(F.transform("found", gap), "  "), F.lit(" ")).alias("rest"),
-        F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform("found", lambda s: s["version"]), lambda v: v.isNotNull()))), ",").alias("versions"),
-        F.array().cast("array<string>").alias("names"),
-    )
-    for name, run in RULES:
-        pattern = F.lit(" " + "  ".join(run) + " ")
-        hit = F.instr("rest", pattern) > 0
-        per_doc = per_doc.withColumns({
-            "names": F.when(hit, F.array_append("names", F.lit(name))).otherwise(F.col("names")),
-            "rest": F.replace("rest", pattern, F.lit(" # ")),
-        })
-    per_doc = per_doc.select("_id", "_mark", "sentences", F.array_join(F.array_sort(F.array_distinct("names")), ",").alias("licences"), "versions")
-    ids = docs.select(F.col(id_col).alias("doc_id"), F.hash(text_col).alias("mark"))
-    joined = ids.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
-    return joined.select("doc_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("sentences", "licences", "versions")])
-
-
-def _follows(before: Column, here: Column) -> Column:
-    """Right after: the next sentence, or the next line of the same one."""
-    return ((here["pos"] == before["pos"] - before["shorter"]) & (here["line"] <= 1)) | ((here["pos"] == before["pos"]) & (here["line"] == before["line"] + 1))
+    return _scanned(docs, id_col, text_col, "sentences string, licences string, versions string", lambda found: [_ruled(found)])

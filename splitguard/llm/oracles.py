@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from splitguard.llm.licences import NOT_WORD, RULES, SENTENCE_END, SENTENCES, VERSION, normal_words
+from splitguard.llm.licences import LIST_MARK, NOT_WORD, RULES, SENTENCES, VERSION, WORD, normal_words, own_number
 
 BLANK = r"[\x20\x09-\x0D]"
 
@@ -41,37 +41,51 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 
 
 def _licences() -> str:
-    known = ", ".join(f"('{normal_words(s)}', '{i}')" for i, s in SENTENCES.items())
+    """The rule of ``licences`` in SQL, for known sentences that come in two parts at most."""
+    known = ", ".join(f"('{normal_words(s)}', '{i}', '{own_number(s) or ''}')" for i, s in SENTENCES.items())
     steps, names = ["rest AS r0"], []
     for n, (name, run) in enumerate(RULES):
         pattern = " " + "  ".join(run) + " "
         steps.append(f"replace(r{n}, '{pattern}', ' # ') AS r{n + 1}")
         names.append(f"CASE WHEN contains(r{n}, '{pattern}') THEN '{name}' END")
+    none = WORD.replace("[", "[^")
     return rf"""
-WITH known(k, sentence_id) AS (VALUES {known}),
-parts AS (
-  SELECT doc_id, unnest(p) AS part, unnest(range(len(p))) AS pos
-  FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '{SENTENCE_END}') AS p FROM documents)
+WITH known(k, sentence_id, number) AS (VALUES {known}),
+texts AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS u FROM documents),
+lines AS (SELECT r, unnest(u) AS line, unnest(range(len(u))) AS n FROM texts),
+paragraphs AS (
+  SELECT r, para, string_agg(line, chr(10) ORDER BY n) AS p
+  FROM (SELECT *, regexp_matches(line, '{WORD}') AS worded, count(*) FILTER (NOT regexp_matches(line, '{WORD}')) OVER (PARTITION BY r ORDER BY n) AS para FROM lines)
+  WHERE worded GROUP BY r, para
+), pieces AS (
+  SELECT r, para, unnest(p) AS part, unnest(range(len(p))) AS n
+  FROM (SELECT r, para, string_split_regex(regexp_replace(p, '\b([vV])\.', '\1 ', 'g'), '[.!?]+(?:[ \t\r]+|[ \t\r]*(?:\n|\z))|[;:][ \t\r]*\n') AS p FROM paragraphs)
+), parts AS (
+  SELECT r, para, row_number() OVER (PARTITION BY r ORDER BY para, n) AS pos, regexp_replace(part, '^{none}*{LIST_MARK}\)[ \t\r\n]+', '') AS part
+  FROM pieces WHERE regexp_matches(part, '{WORD}') AND NOT regexp_matches(part, '^{none}*{LIST_MARK}{none}*$')
 ), units AS (
-  SELECT doc_id, pos, unnest(u) AS unit, unnest(range(len(u))) AS line
-  FROM (SELECT doc_id, pos, CASE WHEN contains(part, chr(10)) THEN list_concat([part], string_split(part, chr(10))) ELSE [part] END AS u FROM parts)
-), worded AS (SELECT doc_id, pos, line, trim(regexp_replace(lower(unit), '{NOT_WORD}', ' ', 'g')) AS bare FROM units),
-met AS (
-  SELECT doc_id, pos, line, sentence_id, nullif(replace(regexp_extract(bare, '{VERSION}'), ' ', '.'), '') AS version
-  FROM worded JOIN known ON regexp_replace(bare, '{VERSION}', 'v', 'g') = k
+  SELECT r, pos, 2 AS width, 0 AS line, part || ' ' || lead(part) OVER (PARTITION BY r, para ORDER BY pos) AS unit FROM parts
+  UNION ALL SELECT r, pos, 1, 0, part FROM parts
+  UNION ALL SELECT r, pos, 1, unnest(range(1, len(string_split(part, chr(10))) + 1)), unnest(string_split(part, chr(10))) FROM parts WHERE contains(part, chr(10))
+), worded AS (
+  SELECT r, pos, width, line, trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{NOT_WORD}', ' ', 'g')) AS bare FROM units
+), met AS (
+  SELECT r, pos, width, line, sentence_id, nullif(replace(regexp_extract(bare, '{VERSION}'), ' ', '.'), '') AS version
+  FROM worded JOIN known ON regexp_replace(bare, '{VERSION}', 'v', 'g') = k AND number IN ('', replace(regexp_extract(bare, '{VERSION}'), ' ', '.'))
 ), found AS (
-  SELECT *, lag(pos) OVER w AS last_pos, lag(line) OVER w AS last_line FROM met m
-  WHERE line = 0 OR NOT EXISTS (SELECT 1 FROM met x WHERE x.doc_id = m.doc_id AND x.pos = m.pos AND x.line = 0)
-  WINDOW w AS (PARTITION BY doc_id ORDER BY pos, line)
+  SELECT *, lag(pos) OVER w AS last_pos, lag(width) OVER w AS last_width, lag(line) OVER w AS last_line FROM met m
+  WHERE NOT EXISTS (SELECT 1 FROM met x WHERE x.r = m.r AND x.line = 0 AND x.width = 2 AND x.pos = m.pos - 1)
+    AND NOT EXISTS (SELECT 1 FROM met x WHERE x.r = m.r AND x.line = 0 AND x.pos = m.pos AND (m.line > 0 OR x.width > m.width))
+  WINDOW w AS (PARTITION BY r ORDER BY pos, line)
 ), seq AS (
-  SELECT doc_id, string_agg(sentence_id, ',' ORDER BY pos, line) AS sentences,
-    ' ' || string_agg(CASE WHEN last_pos IS NULL OR (pos = last_pos + 1 AND line <= 1) OR (pos = last_pos AND line = last_line + 1) THEN '' ELSE '- ' END || sentence_id,
+  SELECT r, string_agg(sentence_id, ',' ORDER BY pos, line) AS sentences,
+    ' ' || string_agg(CASE WHEN last_pos IS NULL OR (pos = last_pos + last_width AND line <= 1) OR (pos = last_pos AND line = last_line + 1) THEN '' ELSE '- ' END || sentence_id,
                       '  ' ORDER BY pos, line) || ' ' AS rest,
     string_agg(DISTINCT version, ',' ORDER BY version) AS versions
   FROM found GROUP BY 1
-), ruled AS (SELECT doc_id, sentences, versions, {', '.join(steps)}, list_sort(list_distinct([{', '.join(names)}])) AS names FROM seq)
+), ruled AS (SELECT r, sentences, versions, {', '.join(steps)}, list_sort(list_distinct([{', '.join(names)}])) AS names FROM seq)
 SELECT doc_id, coalesce(sentences, '') AS sentences, coalesce(array_to_string(names, ','), '') AS licences, coalesce(versions, '') AS versions
-FROM documents LEFT JOIN ruled USING (doc_id)
+FROM texts LEFT JOIN ruled USING (r)
 """
 
 

@@ -1,6 +1,7 @@
 """Exact dedup, line dedup: against plain Python and their SQL."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -131,3 +132,30 @@ def test_licences_as_published(spark):
     assert got[0].sentences == got[7].sentences == "apache-head,apache-copy,apache-as-is" and got[0].versions == "2.0"
     assert got[2].sentences == "bsd-grant,bsd-source,bsd-binary,bsd-endorse"
     assert (got[99].licences, got[99].sentences) == ("MPL", "mpl-ref")
+
+
+def odd_notices():
+    rnd = random.Random(9)
+    known = [s.replace("{v}", rnd.choice(["2.0", "3", "4.0.1"])) for s in licences.SENTENCES.values()]
+    glue = [" ", "\n", ". ", ".\n", "\n\n", "; ", ";\n", "\r\n", "\n# ", "\n---\n", " 1. ", "\n(a) ", "\n 2) ", "! ", "\n——\n", "\n版\n", ' v. ', '."\n', "\x0c"]
+    words = ["foo", "Ärger", "v", "12", "«", "the", "License", "一"]
+    for _ in range(400):
+        text = "".join(rnd.choice([rnd.choice(known), rnd.choice(known).upper(), rnd.choice(words)]) + rnd.choice(glue) for _ in range(rnd.randint(1, 8)))
+        yield re.sub(r" (?=\w)", lambda m: rnd.choice([" ", " ", " ", "\n", "\n * "]), text) if rnd.random() < 0.5 else text
+
+
+def test_licence_rule_is_the_one_of_the_sql(spark):
+    import duckdb
+
+    texts = [APACHE, BSD_2, BSD_3, BSD_3.replace("\n", "\r\n"), *("".join("# " + line for line in t.splitlines(keepends=True)) for t in (APACHE, BSD_2, BSD_3)), *odd_notices(), "", None]
+    rows = list(enumerate(texts))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = {r[0]: r[1:] for r in con.execute(ORACLES["op1_license_sentences"]).fetchall()}
+    got = {r.doc_id: (r.sentences, r.licences, r.versions) for r in licences.licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: g for i, g in got.items() if g != want[i]} == {}
+    assert [want[i][1] for i in range(7)] == ["Apache", "BSD-2-Clause", "BSD-3-Clause", "BSD-3-Clause", "Apache", "BSD-2-Clause", "BSD-3-Clause"]
+    assert sum(bool(g[1]) for g in got.values()) > 250
+    found = licences.licence_sentences(spark.createDataFrame(rows[:3], "doc_id long, text string")).orderBy("doc_id", "pos").collect()
+    assert [(r.doc_id, r.sentence_id, r.width) for r in found][:2] == [(0, "apache-head", 2), (0, "apache-copy", 1)]
