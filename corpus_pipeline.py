@@ -10,6 +10,8 @@ from splitguard.llm.queries import let_workers_import, table, tokenizer
 from splitguard.storage import materialize
 
 MIN_SCORE = 0.2  # a language less certain than this is no language
+NEAR_PERCENT = 80  # shared 5-word shingles from which documents are near copies
+TELLING_BYTES = 20  # a shorter benchmark item is a phrase that clean documents hold too
 
 
 def _with_ids(docs: DataFrame, keep: DataFrame) -> DataFrame:
@@ -37,12 +39,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that with the smallest id, of each group of near copies."""
     let_workers_import(spark)
-    return _with_ids(docs, forest.near_copies(docs).filter("kept").select("doc_id"))
+    return _with_ids(docs, forest.near_copies(docs, percent=NEAR_PERCENT).filter("kept").select("doc_id"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item, exactly or within its edit budget."""
-    matches = leaks.leak_matches(docs, table(spark, sf_dir, "benchmark"))
+    """Drops documents that hold a benchmark item of TELLING_BYTES or more, exactly or within its edit budget."""
+    matches = leaks.leak_matches(docs, table(spark, sf_dir, "benchmark")).filter(F.col("item_bytes") >= TELLING_BYTES)
     found = matches.select(F.col("doc_id").alias("_leaked")).distinct()
     return docs.join(found, docs["doc_id"].eqNullSafe(found["_leaked"]), "left_anti")
 

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from splitguard.storage import materialize
 
 ERROR_RATE = 0.1  # edits allowed per character of the item
-MIN_CHARS = 20  # an item shorter than this says nothing about where a text comes from
+SHORT_CHARS = 20  # an item shorter than this must be there exactly, and not inside longer words
 BLOCK_CHARS = 2_000_000  # characters of items matched in one pass over the documents
 BATCH_ROWS = 2000
 
-MATCHES = "doc_id {id}, item_id {item}, distance int, budget int, match_end long"
+MATCHES = "doc_id {id}, item_id {item}, item_chars int, item_bytes int, distance int, budget int, match_end long"
 
 
 def plain(text: str | None) -> str:
@@ -23,6 +23,17 @@ def plain(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def _spaced(char: str) -> bool:
+    """Whether the letter or digit belongs to a script that sets blanks between words."""
+    return char.isalnum() and not ("\u0e00" <= char < "\u0f00" or "\u1000" <= char < "\u10a0" or "\u1780" <= char < "\u1800" or char >= "\u2e80")
+
+
+def _inside_a_word(text: str, start: int, stop: int) -> bool:
+    """Whether text[start:stop] begins or ends within a word."""
+    cuts = [c for c in (start, stop) if 0 < c < len(text)]
+    return any(_spaced(text[c - 1]) and _spaced(text[c]) for c in cuts)
+
+
 class _Item:
     """An item and its tree of pieces.
 
@@ -32,7 +43,8 @@ class _Item:
     """
 
     def __init__(self, item_id, text: str, rate: float):
-        self.item_id, self.text, self.budget = item_id, text, int(len(text) * rate)
+        self.item_id, self.text, self.short = item_id, text, len(text) < SHORT_CHARS
+        self.budget = 0 if self.short else int(len(text) * rate)
         n, self.parts = len(text), self.budget + 1
         self.cuts = [n * i // self.parts for i in range(self.parts + 1)]
         self._masks: dict[str, int] | None = None
@@ -42,7 +54,12 @@ class _Item:
             yield i, self.text[self.cuts[i] : self.cuts[i + 1]]
 
     def passes(self, piece: int, text: str, start: int) -> bool:
-        """Whether each group around the piece, but for the whole item, matches near text[start:] within its budget."""
+        """Whether each group around the piece, but for the whole item, matches near text[start:] within its budget.
+
+        A short item is one piece, which must not lie inside a word.
+        """
+        if self.short:
+            return not _inside_a_word(text, start, start + len(self.text))
         width = 2
         while width < self.parts:
             first = piece - piece % width
@@ -140,13 +157,16 @@ def _windows(starts: list[int], budget: int, length: int) -> Iterator[tuple[int,
 
 def leak_matches(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
-    error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS,
+    error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """Pairs of document and item: doc_id, item_id, distance, budget, match_end (in the plain text).
+    """Pairs of document and item: doc_id, item_id, item_chars, item_bytes, distance, budget, match_end (in the plain text).
 
     Texts are compared in lower case with single blanks. A document holds an item if some part of it lies
-    within ``int(error_rate * length of the item)`` edits of the whole item. Items shorter than
-    ``min_chars`` match nothing, as do NULL and empty texts; repeated rows and NULL ids give a row each.
+    within ``int(error_rate * length of the item)`` edits of the whole item. An item of less than
+    SHORT_CHARS characters must be there exactly and, in scripts with blanks between words, as whole words;
+    how long it is stands in the row, for the caller to judge what such a hit says. NULL and empty texts
+    match nothing; repeated rows and NULL ids give a row each. An item is one bit vector of its length,
+    so verifying a hit takes time with the square of an item's length and memory in proportion to it.
 
     The items are the stated query set: they go through in blocks of about ``block_chars`` characters,
     one pass over the documents per block, and only one block at a time is held and broadcast. Items
@@ -154,12 +174,12 @@ def leak_matches(
     """
     ids = {"id": docs.schema[id_col].dataType.simpleString(), "item": items.schema[item_id_col].dataType.simpleString()}
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    wanted = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter(F.length("text") >= min_chars)
+    wanted = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter(F.length("text") > 0)
     size = wanted.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_chars))
     block = F.pmod(F.xxhash64("text"), F.lit(n_blocks))
     found = [
-        _matched(source, wanted.filter(block == b), MATCHES.format(**ids), error_rate, min_chars, f"leaks_{b}" if n_blocks > 1 else None)
+        _matched(source, wanted.filter(block == b), MATCHES.format(**ids), error_rate, f"leaks_{b}" if n_blocks > 1 else None)
         for b in range(n_blocks)
     ]
     out = found[0]
@@ -168,8 +188,8 @@ def leak_matches(
     return out
 
 
-def _matched(source: DataFrame, items: DataFrame, schema: str, rate: float, min_chars: int, keep: str | None) -> DataFrame:
-    rows = [(i, t) for i, t in ((r["item_id"], plain(r["text"])) for r in items.toLocalIterator()) if len(t) >= min_chars]
+def _matched(source: DataFrame, items: DataFrame, schema: str, rate: float, keep: str | None) -> DataFrame:
+    rows = [(i, t) for i, t in ((r["item_id"], plain(r["text"])) for r in items.toLocalIterator()) if t]
     shared = source.sparkSession.sparkContext.broadcast(rows)
     item_type = items.schema["item_id"].dataType
 
@@ -178,7 +198,7 @@ def _matched(source: DataFrame, items: DataFrame, schema: str, rate: float, min_
         for batch in batches if matcher else ():
             keys, rows_ = batch.column(0), []
             for at, text in enumerate(batch.column(1).to_pylist()):
-                rows_ += [(at, item.item_id, distance, item.budget, end) for item, distance, end in matcher(plain(text))] if text else []
+                rows_ += [(at, item.item_id, len(item.text), len(item.text.encode()), distance, item.budget, end) for item, distance, end in matcher(plain(text))] if text else []
                 if len(rows_) >= BATCH_ROWS:
                     yield _match_batch(keys, rows_, kind)
                     rows_ = []
@@ -197,8 +217,8 @@ def _matched(source: DataFrame, items: DataFrame, schema: str, rate: float, min_
 
 
 def _match_batch(keys: pa.Array, rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    at, item, distance, budget, end = zip(*rows)
+    at, item, chars, size, distance, budget, end = zip(*rows)
     return pa.RecordBatch.from_arrays(
-        [keys.take(pa.array(at, pa.int64())), pa.array(item, kind), pa.array(distance, pa.int32()), pa.array(budget, pa.int32()), pa.array(end, pa.int64())],
-        names=["doc_id", "item_id", "distance", "budget", "match_end"],
+        [keys.take(pa.array(at, pa.int64())), pa.array(item, kind), *[pa.array(c, pa.int32()) for c in (chars, size, distance, budget)], pa.array(end, pa.int64())],
+        names=["doc_id", "item_id", "item_chars", "item_bytes", "distance", "budget", "match_end"],
     )

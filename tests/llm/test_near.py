@@ -150,6 +150,18 @@ def test_leak_edge_cases(spark, edge_docs, no_docs):
     assert leaks.leak_matches(edge_docs, items.limit(0)).count() == 0
 
 
+def test_short_items_match_as_whole_words(spark):
+    items = [(1, "Is it  raining"), (2, "富士山の高さは"), (3, "ป่าไม้"), (4, "ok"), (5, "!?")]
+    docs = [
+        (1, "he asked: is it raining?"), (2, "is it rainings or sun"), (3, "this it raining"), (4, "また富士山の高さは何"), (5, "ในป่าไม้ใหญ่"),
+        (6, "token ok"), (7, "ok"), (8, "book"), (9, "what!?"), (10, "is it rainin"), (11, "IS\nIT RAINING this is it raining"),
+    ]
+    got = leaks.leak_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (11, 1), (4, 2), (5, 3), (6, 4), (7, 4), (9, 5)}
+    assert all(r.distance == r.budget == 0 for r in got)
+    assert {(r.item_id, r.item_chars, r.item_bytes) for r in got} == {(1, 13, 13), (2, 7, 21), (3, 6, 18), (4, 2, 2), (5, 2, 2)}
+
+
 def test_query_finds_every_whole_item(spark, sf, documents):
     got = {(r.doc_id, r.item_id) for r in QUERIES["op2_edit_leaks"](spark, sf).collect()}
     items = [(r.item_id, leaks.plain(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]

@@ -44,7 +44,7 @@ def test_pipeline_matches_its_stages(spark, sf):
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert set(kept["language_id"]) == {d for d, t in texts.items() if t and any(c.isalpha() for c in t)}
     assert set(kept["exact_dedup"]) == {d for d, _, _, stays, _ in plain_copies(list(kept["language_id"].items())) if stays}
-    assert set(kept["near_dedup"]) == {d for d, (_, _, stays) in plain_groups(list(kept["exact_dedup"].items())).items() if stays}
+    assert set(kept["near_dedup"]) == {d for d, (_, _, stays) in plain_groups(list(kept["exact_dedup"].items()), percent=80).items() if stays}
     items = [leaks.plain(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     gone = set(kept["near_dedup"]) - set(kept["decontaminate"])
     assert gone == {d for d, t in kept["near_dedup"].items() if any(i in leaks.plain(t) for i in items)}
@@ -75,6 +75,21 @@ def test_near_copies_from_80_percent(spark):
     assert as_dict(forest.near_copies(docs, percent=80)) == want
 
 
+def test_stages_drop_pairs_at_82_percent_and_short_telling_items(spark, tmp_path):
+    base = [f"w{i}" for i in range(404)]
+    words = list(base)
+    for slot in range(8):
+        words[50 * slot + 5] = f"new{slot}"  # (400 - 40) / (400 + 40) = 0.818
+    rows = [(1, " ".join(base)), (2, " ".join(words)), (3, "how are you today"), (4, "それは、富士山の高さは何ですか、と聞いた。")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, "are you"), (2, "富士山の高さは何ですか")], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in left.collect()) == [1, 3, 4]
+    left = corpus_pipeline.drop_leaks(spark, left, str(tmp_path))
+    assert sorted(r.doc_id for r in left.collect()) == [1, 3]
+
+
 def test_trees_and_equal_values_follow_from_the_bound():
     assert (forest.trees_for(85), forest.least_alike(85, 96)) == (12, 64)
     for percent in (60, 80, 85, 95):
