@@ -15,10 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, with their labels where there are some."""
+    """All documents, with their labels where there are some.
+
+    Features cost far more than their texts are large, so the texts are dealt out over all cores and not by
+    their size, by which a small table would be one task.
+    """
     docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "record_id")
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "record_id")
-    return docs.join(labels, "record_id", "left")
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return docs.join(labels, "record_id", "left").repartition(parts, "record_id")
 
 
 def document_frame(

@@ -76,9 +76,10 @@ def word_shingles(text: Column | str, width: int) -> Column:
 
 def char_shingles(text: Column | str, width: int) -> Column:
     """Distinct runs of ``width`` characters of the normalised text."""
+    # As an array, so that a run is found without counting characters from the start of the text.
     runs = _with_value(
-        normalized_text(text),
-        lambda t: F.transform(_starts(F.length(t), width), lambda i: F.substring(t, i, F.lit(width))),
+        F.regexp_extract_all(normalized_text(text), F.lit("(?s)."), 0),
+        lambda t: F.transform(_starts(F.size(t), width), lambda i: F.array_join(F.slice(t, i, width), "")),
     )
     return F.array_remove(F.array_distinct(runs), "")
 
