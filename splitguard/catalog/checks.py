@@ -69,7 +69,14 @@ def feature_leaks(spark, sf_dir):
 
 
 def moments(spark, sf_dir):
-    return _rounded(extended.moment_check(split_lines(spark, sf_dir), _NUMBERS), "mean_all", "mean_test", "std_all", "std_test")
+    found = extended.moment_check(materialize(split_lines(spark, sf_dir), "lines"), _NUMBERS)
+    return _rounded(found, *[c for c in found.columns if c.endswith(("_all", "_test"))])
+
+
+def moments_of_test_alone(spark, sf_dir):
+    """Line items that are all test rows, so that test and all agree: the case the check is for."""
+    lines = materialize(split_lines(spark, sf_dir), "lines").withColumn("split", F.lit("test"))
+    return extended.moment_check(lines, _NUMBERS).select("dataset", "feature", "severity")
 
 
 def input_problems(spark, sf_dir):
@@ -138,7 +145,7 @@ def turn_similarity(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        chart_percentages, turn_similarity, record_hashes, copied_records, duplicate_severity, group_leaks, group_severity, temporal, confound, feature_leaks, moments,
+        chart_percentages, turn_similarity, record_hashes, copied_records, duplicate_severity, group_leaks, group_severity, temporal, confound, feature_leaks, moments, moments_of_test_alone,
         input_problems, companion_split, corpus_overlap, near_and_far, inflation, findings, roll_up,
     )
 }
@@ -184,11 +191,26 @@ def _feature(name: str) -> str:
   FROM (SELECT label, rank() OVER (ORDER BY {name}) + (count(*) OVER (PARTITION BY {name}) - 1) / 2 AS rk FROM f WHERE split = 'train'))"""
 
 
-_MOMENTS = " UNION ALL ".join(
-    f"""SELECT 'lineitem' AS dataset, '{n}' AS feature, round(avg({n}), 6) AS mean_all, round(avg({n}) FILTER (split = 'test'), 6) AS mean_test,
-  round(stddev_samp({n}), 6) AS std_all, round(stddev_samp({n}) FILTER (split = 'test'), 6) AS std_test, 'PASS' AS severity FROM f"""
-    for n in _NUMBERS
-)
+def _figures(name: str, rows: str) -> str:
+    """Mean, deviation and percentiles of one side from exact sums."""
+    x = f"CAST(CAST({name} AS DECIMAL(19, 6)) - CAST((SELECT min({name}) FROM {{0}}) AS DECIMAL(19, 6)) AS DECIMAL(19, 6))".format(rows.split()[0])
+    quantiles = ", ".join(f"quantile_cont({name}, {q}) AS p{p}" for p, q in ((5, 0.05), (50, 0.5), (95, 0.95)))
+    return f"""(SELECT (SELECT min({name}) FROM {rows.split()[0]}) + CAST(sum({x}) AS DOUBLE) / count(*) AS mean,
+    sqrt((sum(CAST({x} AS DOUBLE) * CAST({x} AS DOUBLE)) - pow(CAST(sum({x}) AS DOUBLE), 2) / count(*)) / (count(*) - 1)) AS std, {quantiles} FROM {rows})"""
+
+
+def _moments(frame: str) -> str:
+    """One row per feature: the figures of all rows and of test, and whether they agree."""
+    figures = ("mean", "std", "p5", "p50", "p95")
+    columns = ", ".join(f"round(a.{c}, 6) AS {c}_all, round(t.{c}, 6) AS {c}_test" for c in figures)
+    same = " AND ".join(f"abs(a.{c} - t.{c}) <= 1e-10" for c in figures)
+    return " UNION ALL ".join(
+        f"SELECT 'lineitem' AS dataset, '{n}' AS feature, {columns}, CASE WHEN {same} THEN 'MEDIUM' ELSE 'PASS' END AS severity\n"
+        f"FROM {_figures(n, frame)} a, {_figures(n, frame + ' WHERE split = ' + repr('test'))} t"
+        for n in _NUMBERS
+    )
+
+
 _RUNS8 = """{0}_words AS (SELECT {1} AS id, [x FOR x IN string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ') IF x <> ''] AS w FROM {2}),
 {0}_runs AS (SELECT DISTINCT id, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS i FROM {0}_words) WHERE len(w) > 0)"""
 
@@ -216,7 +238,10 @@ SELECT 'orders' AS dataset, n_test, n_flagged, round(measured, 6) AS measured, C
     "confound": f"WITH {_OF},\n{_CELLS}\nSELECT 'orders' AS dataset, n AS n_train, k AS n_batches, m AS n_labels, round(measured, 6) AS measured, {_TIER} AS severity FROM v",
     "feature_leaks": f"WITH {_LINES},\nall_ AS ({' UNION ALL '.join(_feature(n) for n in (*_NUMBERS, 'ship_day', 'copy_of_label'))})\n"
     "SELECT 'lineitem' AS dataset, feature, round(measured, 6) AS measured, CASE WHEN measured > 0.95 THEN 'HIGH' ELSE 'PASS' END AS severity FROM all_",
-    "moments": f"WITH {_LINES}\n{_MOMENTS}",
+    "moments": f"WITH {_LINES}\n{_moments('f')}",
+    "moments_of_test_alone": f"""WITH {_LINES},
+g AS (SELECT * REPLACE ('test' AS split) FROM f)
+SELECT dataset, feature, severity FROM ({_moments('g')})""",
     "input_problems": f"""WITH {DOCS},
 {random_part()},
 a AS (SELECT * REPLACE (CASE WHEN group_key = 'src0' THEN 'holdout' ELSE split END AS split) FROM f),

@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitguard.functions.numbers import safe_ratio
+from splitguard.operators.order_stats import exact_percentiles
 from splitguard.operators.scoring import auroc
 from splitguard.operators.splits import BY
+from splitguard.storage import attach, pinned
 
 # --- fixed values: tiers of the checks ---
 SEVERITIES = ("PASS", "LOW", "MEDIUM", "HIGH", "CRITICAL")
@@ -23,6 +25,9 @@ CONFOUND_TIERS = ((0.70, "HIGH"), (0.40, "MEDIUM"), (0.20, "LOW"))
 FRACTION_TIERS = ((0.05, "HIGH"), (0.01, "MEDIUM"), (0.0, "LOW"))
 FEATURE_AUC = 0.95
 MOMENT_TOLERANCE = 1e-10
+PERCENTILES = {"p5": 0.05, "p50": 0.5, "p95": 0.95}
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+MOMENT_DECIMALS = 6
 MIN_ROWS = 50
 OVERLAP = 0.80
 
@@ -123,18 +128,31 @@ def feature_leaks(frame: DataFrame, features: list[str], by: tuple[str, ...] = B
     return auroc(scaled, by=tuple(keys)).select(*keys, strength.alias("measured"), tier(strength, ((FEATURE_AUC, "HIGH"),)).alias("severity"))
 
 
-def moment_check(frame: DataFrame, features: list[str], by: tuple[str, ...] = BY) -> DataFrame:
-    """Whether the moments of a feature in test equal those of all rows, as a scaler fitted on all rows would leave them."""
-    test = F.col("split") == "test"
+def moment_check(frame: DataFrame, features: list[str], by: tuple[str, ...] = BY, decimals: int = MOMENT_DECIMALS) -> DataFrame:
+    """Whether mean, deviation and percentiles of a feature in test equal those of all rows, as a scaler fitted on all rows would leave them.
+
+    Sums are exact: of the values' distances to the smallest one, as decimals with ``decimals`` places, so no
+    result depends on the order of rows. Percentiles are exact and linearly interpolated. A feature whose
+    sums do not fit 38 digits, or without two test values, is SKIPPED.
+    """
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features]))
-    long = frame.select(*by, "split", pairs.alias("p")).select(*by, "split", "p.*")
-    own = F.when(test, F.col("value"))
-    stats = long.groupBy(*by, "feature").agg(
-        F.avg("value").alias("mean_all"), F.avg(own).alias("mean_test"), F.stddev_samp("value").alias("std_all"), F.stddev_samp(own).alias("std_test"),
+    sides = F.explode(F.when(F.col("split") == "test", F.array(F.lit("all"), F.lit("test"))).otherwise(F.array(F.lit("all"))))
+    long = frame.select(*by, sides.alias("side"), pairs.alias("p")).select(*by, "side", "p.*").filter("value IS NOT NULL AND NOT isnan(value)")
+    keys = [*by, "feature"]
+    base = pinned(long.filter("side = 'all'").groupBy(*keys).agg(F.min("value").alias("base")))
+    exact = F.expr(f"try_cast(value AS decimal(38, {decimals})) - try_cast(base AS decimal(38, {decimals}))").cast(f"decimal(19, {decimals})")
+    sums = attach(long, base, tuple(keys)).select(*keys, "side", "base", exact.alias("x")).groupBy(*keys, "side", "base").agg(
+        F.count("*").cast("double").alias("n"), F.expr("try_sum(x)").cast("double").alias("s"), F.expr("try_sum(x * x)").cast("double").alias("q")
     )
-    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= MOMENT_TOLERANCE
-    same = close("mean_all", "mean_test") & close("std_all", "std_test")
-    return stats.withColumn("severity", F.when(same.isNull(), "SKIPPED").when(same, "MEDIUM").otherwise("PASS"))
+    deviation = F.when(F.col("n") > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1))))
+    figures = sums.select(*keys, "side", (F.col("base") + F.col("s") / F.col("n")).alias("mean"), deviation.alias("std")).join(
+        exact_percentiles(long, [*keys, "side"], PERCENTILES).drop("n"), [*keys, "side"]
+    )
+    names = ["mean", "std", *PERCENTILES]
+    one = lambda name, side: F.max(F.when(F.col("side") == side, F.col(name))).alias(f"{name}_{side}")
+    wide = figures.groupBy(*keys).agg(*[one(n, side) for n in names for side in ("all", "test")])
+    same = reduce(lambda x, y: x & y, [F.abs(F.col(f"{n}_all") - F.col(f"{n}_test")) <= MOMENT_TOLERANCE for n in names])
+    return wide.withColumn("severity", F.when(same.isNull(), "SKIPPED").when(same, "MEDIUM").otherwise("PASS"))
 
 
 def input_problems(frame: DataFrame, required: dict[str, str], by: tuple[str, ...] = BY, min_rows: int = MIN_ROWS) -> DataFrame:
@@ -199,10 +217,9 @@ def inflation(neighbors: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     """Quartiles of the distance to train, and how being right goes with it (correlation and slope)."""
     distance, right = 1 - F.col("similarity"), (F.col("label") == F.col("nn_label")).cast("double")
     rows = neighbors.filter("measured").select(*by, distance.alias("d"), right.alias("r"))
-    return rows.groupBy(*by).agg(
-        *[F.percentile("d", q).alias(n) for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))],
-        F.corr("d", "r").alias("correlation"), F.regr_slope("r", "d").alias("slope"),
-    )
+    quartiles = exact_percentiles(rows.withColumnRenamed("d", "value"), list(by), QUARTILES).drop("n")
+    fits = rows.groupBy(*by).agg(F.corr("d", "r").alias("correlation"), F.regr_slope("r", "d").alias("slope"))
+    return quartiles.join(fits, list(by)).select(*by, *QUARTILES, "correlation", "slope")
 
 
 def findings(checks: dict[str, DataFrame], by: tuple[str, ...] = BY) -> DataFrame:

@@ -1,9 +1,12 @@
 import datetime
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from splitguard.operators import extended
+from splitguard.operators.order_stats import exact_percentiles
 from splitguard.sources.readers import read_table
 
 
@@ -55,7 +58,40 @@ def test_companion_split_and_roll_up(spark, make_frame):
 def test_moments_of_a_copy_are_equal(make_frame):
     rows = [("a", i, "k", None, None, 0.0, s) for i in range(4) for s in ("train", "test")]
     got = extended.moment_check(make_frame(rows), ["record_id"]).first()
-    assert got.mean_all == got.mean_test
+    assert got.mean_all == got.mean_test == 1.5 and got.p50_all == got.p50_test == 1.5 and got.severity == "PASS"
+    alone = extended.moment_check(make_frame([r for r in rows if r[6] == "test"]), ["record_id"]).first()
+    assert alone.std_all == alone.std_test == pytest.approx(1.2909944487358056) and alone.severity == "MEDIUM"
+    one = extended.moment_check(make_frame(rows[:1]), ["record_id"]).first()
+    assert one.mean_all == 0.0 and one.mean_test is None and one.severity == "SKIPPED"
+
+
+def test_moments_do_not_depend_on_the_order_of_rows(spark, make_frame):
+    rng = random.Random(3)
+    frame = make_frame([("a", i, "k", None, None, 0.0, rng.choice(["train", "test"])) for i in range(3000)])
+    frame = frame.withColumn("price", F.round(F.rand(5) * 1e5, 2) + 1e9)
+    frame = spark.createDataFrame(frame.collect(), frame.schema)
+    one, two = (extended.moment_check(f, ["price"]).first() for f in (frame.repartition(1), frame.repartition(13)))
+    assert one == two
+
+
+@pytest.mark.parametrize("slots", [100, 2048])
+def test_percentiles_are_exact(spark, slots):
+    rng = np.random.default_rng(slots)
+    groups = {
+        "normal": rng.standard_normal(500), "ties": rng.integers(0, 4, 300).astype(float), "heavy": np.exp(rng.standard_normal(400) * 30),
+        "one": np.array([3.5]), "two": np.array([-1.0, 2.0]), "same": np.full(50, 7.0), "wide": np.array([-1.7e308, 0.0, 1.0, 1.7e308]),
+    }
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("ties", None), ("ties", float("nan")), ("none", None)]
+    shares = {"least": 0.0, "p5": 0.05, "p50": 0.5, "p95": 0.95, "most": 1.0}
+    got = {r.g: r for r in exact_percentiles(spark.createDataFrame(rows, "g string, value double").repartition(3), ["g"], shares, slots).collect()}
+    assert got.keys() == groups.keys()
+    for g, values in groups.items():
+        assert got[g].n == len(values)
+        for name, share in shares.items():
+            values = np.sort(values)
+            place = (len(values) - 1) * share
+            a, b = values[int(np.floor(place))], values[int(np.ceil(place))]
+            assert got[g][name] == a + (b - a) * (place - np.floor(place))
 
 
 def test_settings_hash_ignores_order():
