@@ -256,14 +256,11 @@ def _winning_pairs(test: DataFrame, train: DataFrame, bounds: DataFrame, cell_ro
     # smallest id per posting list drops most of these probes before they meet the list.
     keys = ["fine", "feature", "size_class"]
     heads = postings.groupBy(*keys).agg(F.min("train_id").alias("first_id"), F.count("*").alias("n_postings"))
-    probes = materialize(probes.join(heads, keys).filter("test_at <= to_beat OR first_id < bound_id").drop("first_id", "to_beat"), "probes")
+    probes = probes.join(heads, keys).filter("test_at <= to_beat OR first_id < bound_id").drop("first_id", "to_beat")
     # Lists that nobody probes stop here, and a list is cut into as many cells as its own postings and
     # probes fill, so a posting is copied only as often as there are cells of probes for its list.
-    live = materialize(
-        probes.groupBy(*keys).agg(F.count("*").alias("n_probes"), F.first("n_postings").alias("n_postings")).select(
-            *keys, F.ceil(F.col("n_probes") / cell_rows).cast("int").alias("test_cells"), F.ceil(F.col("n_postings") / cell_rows).cast("int").alias("train_cells")
-        ),
-        "live_lists",
+    live = probes.groupBy(*keys).agg(F.count("*").alias("n_probes"), F.first("n_postings").alias("n_postings")).select(
+        *keys, F.ceil(F.col("n_probes") / cell_rows).cast("int").alias("test_cells"), F.ceil(F.col("n_postings") / cell_rows).cast("int").alias("train_cells")
     )
     probes = (
         probes.join(live, keys)

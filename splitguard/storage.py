@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers find this package where the driver found it, also if it is not installed."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
+    if root not in paths:
+        env["PYTHONPATH"] = ":".join([*paths, root])
+
+
 def materialize(frame: DataFrame, name: str) -> DataFrame:
     """Write ``frame`` once to the shared folder and read it back.
 
