@@ -64,14 +64,18 @@ def _starts(length: Column, width: int) -> Column:
     return F.sequence(F.lit(1), F.greatest(length - F.lit(width - 1), F.lit(1)))
 
 
-def word_shingles(text: Column | str, width: int) -> Column:
-    """Distinct runs of ``width`` tokens; a shorter text gives its one run."""
+def word_runs(text: Column | str, width: int) -> Column:
+    """The run of ``width`` tokens at each place, in order; a shorter text gives its one run, a blank one ''."""
     words = F.array_remove(F.split(normalized_text(text), " "), "")
-    runs = _with_value(
+    return _with_value(
         words,
         lambda w: F.transform(_starts(F.size(w), width), lambda i: F.array_join(F.slice(w, i, width), " ")),
     )
-    return F.array_remove(F.array_distinct(runs), "")
+
+
+def word_shingles(text: Column | str, width: int) -> Column:
+    """Distinct runs of ``width`` tokens; a shorter text gives its one run."""
+    return F.array_remove(F.array_distinct(word_runs(text, width)), "")
 
 
 def char_shingles(text: Column | str, width: int) -> Column:
