@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from splitguard.llm.ranks import ranked
@@ -18,10 +18,50 @@ def octave_steps(size: Column, per_octave: int = 1, bits: int = BITS) -> Column:
 
 
 def name_steps(name: Column, bits: int = BITS) -> Column:
-    """A name as one of 2**bits steps. NULL is 0."""
+    """A name as one of 2**bits steps without order, so that equal names lie together and nothing need be known of the others. NULL is 0."""
     return F.coalesce(F.pmod(F.crc32(name.cast("binary")), F.lit(1 << bits)), F.lit(0)).cast("long")
 
 
+def step_cuts(rows: DataFrame, columns: list[str], bits: int = BITS) -> dict[str, list]:
+    """Per column at most 2**bits - 1 values that cut its range into steps, ascending.
+
+    Numbers are cut at the quantiles of the rows, from a sketch of bounded size; no exact cut is needed, since the
+    steps decide only which rows lie near each other. Other columns are cut by the rank of their distinct values,
+    so a value that holds a third of all rows takes one step and moves no other. Only the cuts reach the driver.
+    """
+    steps, cuts = 1 << bits, {}
+    numeric = [c for c, t in rows.dtypes if c in columns and t in ("bigint", "int", "double")]
+    if numeric:
+        shares = [k / steps for k in range(1, steps)]
+        found = rows.agg(*[F.percentile_approx(c, shares).alias(c) for c in numeric], *[F.min(c).alias(f"_least_{c}") for c in numeric]).first()
+        cuts.update({c: sorted({cut for cut in found[c] or [] if cut > found[f"_least_{c}"]}) for c in numeric})
+    for c in columns:
+        if c not in cuts:
+            cuts[c] = sorted(r["name"] for r in _first_names(rows.select(F.col(c).alias("name")), steps).collect())
+    return cuts
+
+
+def _first_names(rows: DataFrame, steps: int) -> DataFrame:
+    """The first name of every step but the lowest, at most ``steps`` - 1 rows, where the steps hold equally many distinct names."""
+    distinct = rows.filter("name IS NOT NULL").distinct().repartitionByRange("name").withColumn("part", F.spark_partition_id())
+    placed = materialize(distinct, "names")
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
+    # One row per range of names.
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy("name")) - 1
+    place = F.col("start") + F.col("within")
+    numbered = placed.withColumn("within", within).join(F.broadcast(starts), "part")
+    return numbered.groupBy(F.floor(place * steps / F.col("total")).alias("step")).agg(F.min("name").alias("name")).filter("step > 0")
+
+
+def steps_by(column: Column, cuts: list, bits: int = BITS) -> Column:
+    """The number of cuts that a value reaches, spread over all 2**bits steps so that few values use the high bits too. NULL is 0, with the smallest values."""
+    if not cuts:
+        return F.lit(0).cast("long")
+    reached = F.size(F.filter(F.lit(cuts), lambda cut: cut <= column))
+    return F.when(column.isNull(), F.lit(0)).otherwise(F.floor(reached * (1 << bits) / (len(cuts) + 1))).cast("long")
+
+
 def hilbert_index(coordinates: list[Column], bits: int = BITS) -> Column:
     """Position on the curve of a cell with ``bits`` bits per coordinate.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitguard.llm import collisions, forest, fptree, hilbert, infill, language, leaks, licences, lines, names, packing, piececount, warc
-from splitguard.storage import shared_folder
+from splitguard.storage import materialize, shared_folder
 
 N_SHARDS = 16
 TOKEN_LIMIT = 4096
@@ -84,7 +84,9 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "source", "lang", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
     )
-    axes = [hilbert.octave_steps(F.col("size")), hilbert.name_steps(F.col("source")), hilbert.name_steps(F.col("lang"))]
+    docs = materialize(docs, "metadata")
+    cuts = hilbert.step_cuts(docs, ["size", "source", "lang"])
+    axes = [hilbert.steps_by(F.col(c), own) for c, own in cuts.items()]
     sharded = hilbert.curve_runs(docs, axes, ["doc_id", "text_crc32"], N_SHARDS)
     return sharded.select(
         "row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),

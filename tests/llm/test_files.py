@@ -108,6 +108,34 @@ def test_shard_edge_cases(spark, edge_docs, no_docs, tmp_path):
     assert hilbert.curve_runs(no_docs, axes, ["doc_id"], 4).count() == 0
 
 
+def test_cuts_keep_the_order_of_values(spark, edge_docs, no_docs):
+    names = [f"host{i:03d}" for i in range(100)]
+    rows = spark.createDataFrame([(n, i * i) for i, n in enumerate(names)] + [(names[40], -5)] * 60 + [(None, None)], "name string, size long").repartition(5)
+    cuts = hilbert.step_cuts(rows, ["name", "size"], bits=3)
+    assert cuts["name"] == [names[-(-100 * k // 8)] for k in range(1, 8)] and cuts["size"] == sorted(set(cuts["size"]))
+    placed = rows.select("name", "size", hilbert.steps_by(F.col("name"), cuts["name"], 3).alias("a"), hilbert.steps_by(F.col("size"), cuts["size"], 3).alias("b")).collect()
+    for value, step in (("name", "a"), ("size", "b")):
+        known = sorted((r[value], r[step]) for r in placed if r[value] is not None)
+        assert [s for _, s in known] == sorted(s for _, s in known) and len({s for _, s in known}) == len(cuts[value]) + 1
+        assert {r[step] for r in placed if r[value] is None} == {0}
+    few = hilbert.step_cuts(edge_docs, ["lang", "n_chars", "source"])
+    assert few == {"lang": ["en", "fr"], "n_chars": [], "source": []}
+    assert hilbert.step_cuts(no_docs, ["lang", "n_chars"]) == {"lang": [], "n_chars": []}
+    cut = hilbert.curve_runs(edge_docs, [hilbert.steps_by(F.col(c), few[c]) for c in few], ["doc_id", "text"], 4)
+    check_shards(cut.collect(), edge_docs.count(), 4)
+
+
+def test_shard_bounds_skip_shards(spark, sf, documents):
+    """A reader of one source opens at most half of the shards, by the smallest and largest value of each."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "lang", F.octet_length("text").cast("long").alias("size"))
+    cuts = hilbert.step_cuts(docs, ["size", "source", "lang"])
+    bounds = hilbert.shard_bounds(hilbert.curve_runs(docs, [hilbert.steps_by(F.col(c), own) for c, own in cuts.items()], ["doc_id"], 16), ["source", "lang"]).collect()
+    for column in ("source", "lang"):
+        values = [r[0] for r in docs.select(column).distinct().collect() if r[0] is not None]
+        opened = [sum(b[f"min_{column}"] is not None and b[f"min_{column}"] <= v <= b[f"max_{column}"] for b in bounds) for v in values]
+        assert sum(opened) / len(opened) <= 8, (column, opened)
+
+
 def test_shards_of_one_cell(spark):
     rows = spark.range(5000).select(F.col("id").alias("doc_id"))
     sharded = hilbert.curve_runs(rows, [F.lit(1), F.lit(2)], ["doc_id"], 16)
