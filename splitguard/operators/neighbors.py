@@ -14,7 +14,11 @@ The plan never compares all pairs. It rests on five steps:
    size class, so frequent features are rarely reached.
 5. The surviving pairs are counted exactly.
 
-Nothing is capped: step 3 only supplies bounds, step 4 finds every pair that could win or tie.
+Steps 4 and 5 suit test sets that a few rare features settle. Where the bound leaves so many frequent
+features to look through that their lists hold more entries than there are train sets, the test set is
+compared with blocks of train sets instead (``blocks``): no pair leaves those tasks but the best.
+
+Nothing is capped: step 3 only supplies bounds, step 4 or the blocks find every pair that could win or tie.
 Ties go to the smallest train ``record_id``.
 
 Skew: a feature held by many sets is cut into cells on both sides of the join (a test chunk
@@ -32,6 +36,7 @@ from pyspark.sql import functions as F
 
 from splitguard.config import HISTOGRAM_BINS, TWIN_SIMILARITY
 from splitguard.functions.numbers import fixed, percent, safe_ratio
+from splitguard.operators.blocks import best_in_blocks
 from splitguard.operators.splits import BY
 from splitguard.storage import attach, lookup, materialize, pinned
 
@@ -41,6 +46,7 @@ FINE_STEP = 1.02
 PREFIX_SLACK = 0.3
 SLACK_BELOW = 0.2
 CELL_ROWS = 10_000
+BLOCK_SHARE = 1.0
 
 
 def nearest_neighbors(
@@ -48,6 +54,7 @@ def nearest_neighbors(
     by: tuple[str, ...] = BY,
     cell_rows: int = CELL_ROWS,
     seed_features: int = SEED_FEATURES,
+    block_share: float = BLOCK_SHARE,
 ) -> DataFrame:
     """One row per test record: label, similarity, nn_id, nn_label, measured.
 
@@ -55,6 +62,9 @@ def nearest_neighbors(
     ``measured`` is false where no comparison exists (NULL features, or train is empty); such
     rows still carry a copied label, as the label-copy baseline scores them too.
 
+    A test set goes through blocks if the lists it would have to look through hold more than
+    ``block_share`` entries per train set; that decides what it costs, never the answer.
+
     ``frame`` is read a few times: hand in a materialised one if its features are costly.
     """
     rows = _hashed_rows(frame, by)
@@ -63,8 +73,16 @@ def nearest_neighbors(
     test = ordered.filter(~F.col("in_train")).drop("in_train")
     train = ordered.filter("in_train").drop("in_train")
 
-    bounds = materialize(_best(_verify(_seed_pairs(test, train, seed_features), test, train)), "bounds")
-    better = _best(_verify(_winning_pairs(test, train, bounds, cell_rows), test, train).unionByName(bounds))
+    seeds = _best(_verify(_seed_pairs(test, train, seed_features), test, train))
+    bounds = materialize(_routed(seeds, test, train, block_share), "bounds")
+    compared = bounds.drop("by_blocks")
+    better = compared
+    routes = {r["by_blocks"] for r in bounds.select("by_blocks").distinct().collect()}
+    if False in routes:
+        better = better.unionByName(_verify(_winning_pairs(test, train, bounds.filter("NOT by_blocks"), cell_rows), test, train))
+    if True in routes:
+        better = better.unionByName(best_in_blocks(test, train, bounds.filter("by_blocks")))
+    better = _best(better)
     settled = sets.filter("train_id IS NOT NULL AND test_id IS NOT NULL").select(
         "part", "h1", "h2", "copies", F.lit(1.0).alias("similarity"), F.col("train_id").alias("nn_id"),
         F.col("train_label").alias("nn_label"),
@@ -129,6 +147,7 @@ def _ordered_sets(sets: DataFrame, cell_rows: int) -> DataFrame:
             "feature",
             (F.col("n_test").cast("double") * F.col("n_train")).alias("cost"),
             F.ceil(F.col("n_test") / cell_rows).cast("int").alias("test_cells"),
+            "n_train",
             (F.col("n_test") + F.col("n_train")).alias("_weight"),
         )
     )
@@ -137,7 +156,7 @@ def _ordered_sets(sets: DataFrame, cell_rows: int) -> DataFrame:
     )
     return (
         shared.groupBy("part", "in_train", "id", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("cost", "feature", "test_cells"))).alias("features"))
+        .agg(F.array_sort(F.collect_list(F.struct("cost", "feature", "test_cells", "n_train"))).alias("features"))
         .select("*", (F.col("n") - F.size("features")).alias("front"))
     )
 
@@ -191,6 +210,18 @@ def _seed_pairs(test: DataFrame, train: DataFrame, seed_features: int) -> DataFr
     return _spread(pairs).distinct()
 
 
+def _routed(bounds: DataFrame, test: DataFrame, train: DataFrame, block_share: float) -> DataFrame:
+    """The bounds, and whether the lists that each leaves to its test set hold more than ``block_share`` entries per train set."""
+    n_sets = pinned(train.groupBy("part").agg(F.count("*").alias("n_sets")))
+    rows = attach(bounds.join(test.selectExpr("part", "id AS test_id", "n", "front", "features"), ["part", "test_id"]), n_sets, ("part",))
+    share = F.col("shared") / (F.col("shared") + F.col("either"))
+    smallest = F.col("n") + F.ceil(F.expr("n * (shared / either) - 1e-9"))
+    reach = _prefix(F.col("n"), F.ceil(smallest * share - F.lit(1e-9)).cast("int"), share)
+    ahead = F.slice("features", 1, F.greatest(reach - F.col("front"), F.lit(0)).cast("int"))
+    entries = F.aggregate(ahead, F.lit(0).cast("long"), lambda n, f: n + f["n_train"])
+    return rows.select(*bounds.columns, (entries > F.col("n_sets") * block_share).alias("by_blocks"))
+
+
 def _winning_pairs(test: DataFrame, train: DataFrame, bounds: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Every pair that could beat the bound of its test set, or tie it with a smaller id.
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from splitguard.operators import neighbors as nb
+from splitguard.operators.blocks import best_in_blocks
 from splitguard.operators.neighbors import nearest_neighbors, similarity_check, similarity_histogram
 
 
@@ -53,7 +54,7 @@ def random_rows(seed, n, vocabulary, longest, dataset="a", start=0):
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"cell_rows": 3, "seed_features": 1}])
+@pytest.mark.parametrize("options", [{}, {"cell_rows": 3, "seed_features": 1}, {"block_share": 0.0, "seed_features": 1}, {"block_share": 1e9}])
 def test_random_sets_in_several_data_sets(make_frame, options):
     rows = random_rows(1, 150, 30, 12) + random_rows(2, 150, 400, 40, "b") + random_rows(3, 120, 6, 5, "c")
     check(make_frame, rows, **options)
@@ -126,3 +127,28 @@ def test_summary_and_histogram(spark):
     assert len(bins) == 10
     assert bins[0] == (1, 50) and bins[8] == (2, 100) and bins[9] == (1, 50) and bins[5] == (0, 0)
     assert similarity_check(nn.filter(~F.col("measured"))).first().nn_mean == 0.0
+
+
+def test_blocks_find_what_all_pairs_find(spark, monkeypatch):
+    monkeypatch.setattr("splitguard.operators.blocks.COUNTERS", 40)
+    rng = random.Random(9)
+    sets = {side: {i: {rng.randrange(60) for _ in range(rng.randrange(1, 30))} for i in range(60)} for side in ("test", "train")}
+    sets["train"][7] = sets["train"][3]  # a tie: the smaller id is returned
+    kind = "part long, id long, n int, features array<struct<cost: double, feature: long>>"
+    test, train = (spark.createDataFrame([(1, i, len(s) + 2, [(0.0, f) for f in s]) for i, s in sets[side].items()], kind) for side in ("test", "train"))
+    jaccard = lambda a, b: (len(a & b), len(a) + len(b) + 4 - len(a & b))
+    start = {i: jaccard(s, sets["train"][3]) for i, s in sets["test"].items()}
+    start = {i: (c, e) for i, (c, e) in start.items() if c}
+    bounds = spark.createDataFrame([(1, i, 3, c, e) for i, (c, e) in start.items()], "part long, test_id long, train_id long, shared int, either int")
+    for cell_features in (50, 1_000_000):
+        found = {}
+        for r in best_in_blocks(test, train, bounds, cell_features).collect():
+            assert (r.shared, r.either) == jaccard(sets["test"][r.test_id], sets["train"][r.train_id])
+            found[r.test_id] = min(found.get(r.test_id, (0.0, 0)), (-r.shared / r.either, r.train_id))
+        want = {}
+        for i in start:
+            c, j = max(((jaccard(sets["test"][i], t), -j) for j, t in sets["train"].items()), key=lambda x: (x[0][0] / x[0][1], x[1]))
+            want[i] = (-c[0] / c[1], -j)
+        assert found == want
+    assert best_in_blocks(test, train.limit(0), bounds).count() == 0
+    assert best_in_blocks(test.limit(0), train, bounds).count() == 0
