@@ -19,6 +19,7 @@ RECORD_PREFIX = "urn:x-record:"
 
 MIN_REVISIT_BYTES = 1000
 CHUNK_BYTES = 1 << 20
+SEGMENT_BYTES = 4 << 20
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 4096
 
@@ -52,18 +53,37 @@ def _record_uri(record_id: Column) -> Column:
     return F.concat(F.lit(f"<{RECORD_PREFIX}"), F.url_encode(F.coalesce(record_id.cast("string"), F.lit(""))), F.lit(">"))
 
 
-def write_archives(plan: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z") -> None:
+def _segment_start(number: Column, segment_bytes: int) -> Column:
+    """Bytes of the payload before segment ``number``: a multiple of the segment size, moved on to the next whole character."""
+    at = (number - 1) * segment_bytes
+    rest = F.regexp_extract(F.hex(F.substring(F.col("html").cast("binary"), at + 1, F.lit(3))), "^((?:[89AB][0-9A-F])*)", 1)
+    return F.when(number <= 1, F.lit(0)).otherwise(at + (F.length(rest) / 2).cast("int"))
+
+
+def write_archives(plan: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z", segment_bytes: int = SEGMENT_BYTES) -> None:
     """One gzipped archive per partition of ``plan`` (columns of ``revisit_plan``), a record per row.
 
     Responses carry a short HTTP head and the payload; revisits carry the digest and size of the payload
     they stand for, and the record they refer to. Line ends within a target URI are percent-encoded.
     The archives are byte-exact: a record is cut at its line feeds and the text writer puts them back.
+
+    A payload of more than ``segment_bytes`` (at least 4) is a chain of records, as the format has it for oversized ones: the
+    first is the response, continuations follow it in the same archive. So no line of an archive is much
+    longer than a segment, also where a payload has no line feeds, and no reader meets it as one value.
     """
+    if segment_bytes < 4:
+        raise ValueError("a segment holds at least 4 bytes")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n_bytes").cast("string"), F.lit("\r\n\r\n"))
     uri = F.regexp_replace(F.regexp_replace("uri", "\r", "%0D"), "\n", "%0A")
     revisit = F.col("refers_to").isNotNull()
-    block = F.when(revisit, F.lit("")).otherwise(F.concat(http, F.col("html")))
-    head = F.concat(
+    n_segments = F.when(revisit, F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / segment_bytes).cast("int")))
+    rows = plan.withColumn("n_segments", n_segments).withColumn("segment", F.explode(F.sequence(F.lit(1), F.col("n_segments"))))
+    segment, last = F.col("segment"), F.col("segment") == F.col("n_segments")
+    start = _segment_start(segment, segment_bytes)
+    stop = F.when(last, F.col("n_bytes").cast("int")).otherwise(_segment_start(segment + 1, segment_bytes))
+    payload = F.when(F.col("n_segments") == 1, F.col("html")).otherwise(F.substring(F.col("html").cast("binary"), start + 1, stop - start).cast("string"))
+    block = F.when(revisit, F.lit("")).when(segment == 1, F.concat(http, payload)).otherwise(payload)
+    first = F.concat(
         F.lit(f"{VERSION}\r\nWARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
         F.lit("\r\nWARC-Record-ID: "), _record_uri(F.col("page_id")), F.lit(f"\r\nWARC-Date: {date}"),
         F.coalesce(F.concat(F.lit("\r\nWARC-Target-URI: "), uri), F.lit("")),
@@ -71,10 +91,18 @@ def write_archives(plan: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z
         F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: {REVISIT_PROFILE}\r\nWARC-Refers-To: "), _record_uri(F.col("refers_to")))).otherwise(
             F.lit("\r\nContent-Type: application/http; msgtype=response")
         ),
-        F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"),
+        F.when(F.col("n_segments") > 1, F.lit("\r\nWARC-Segment-Number: 1")).otherwise(F.lit("")),
     )
+    further = F.concat(
+        F.lit(f"{VERSION}\r\nWARC-Type: continuation\r\nWARC-Record-ID: <{RECORD_PREFIX}"),
+        F.concat_ws(":segment:", F.url_encode(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), segment.cast("string")),
+        F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Segment-Origin-ID: "), _record_uri(F.col("page_id")),
+        F.lit("\r\nWARC-Segment-Number: "), segment.cast("string"),
+        F.when(last, F.concat(F.lit("\r\nWARC-Segment-Total-Length: "), (F.octet_length(http) + F.col("n_bytes")).cast("string"))).otherwise(F.lit("")),
+    )
+    head = F.concat(F.when(segment == 1, first).otherwise(further), F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"))
     # The last line feed of the record is the one the writer adds after the last line.
-    lines = plan.select(F.explode(F.split(F.concat(head, block, F.lit("\r\n\r")), "\n", -1)).alias("value"))
+    lines = rows.select(F.explode(F.split(F.concat(head, block, F.lit("\r\n\r")), "\n", -1)).alias("value"))
     lines.write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
@@ -84,7 +112,9 @@ def read_chunks(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES,
     ``running_sha1`` and ``payload_bytes`` cover the payload up to and including the chunk, so the last
     chunk has those of the whole record and no reader needs to put a record together. A record without
     payload has one empty chunk. Gzipped archives are read from start to end, a file per task; a record
-    cut short by the end of its file is an error. ``with_data=False`` leaves the bytes out.
+    cut short by the end of its file is an error, and so is a segment apart from its chain. A chain of
+    segments is one record here. ``with_data=False`` leaves the bytes out. Of the payload a task holds one
+    chunk and the line that it reads; archives of other writers may have lines longer than a segment.
     """
     lines = spark.read.option("lineSep", "\n").text(path)
     lines = lines.select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("file"))
@@ -141,14 +171,15 @@ class _Batches:
 
 
 class _Parser:
-    """Follows the lines of an archive; holds at most one chunk of payload."""
+    """Follows the lines of an archive; holds at most one chunk of payload. A chain of segments is one record."""
 
     def __init__(self, chunk_bytes: int, out: _Batches):
         self.chunk_bytes, self.out = chunk_bytes, out
-        self.state, self.head = "between", {}
+        self.state, self.head, self.record, self.open = "between", {}, {}, False
+        self.within, self.number_of_segment = "payload", 0
 
     def end_of_file(self, file: str | None) -> None:
-        if self.state != "between":
+        if self.state != "between" or self.open:
             raise ValueError(f"a record is cut short at the end of {file}")
 
     def feed(self, line: bytes) -> None:
@@ -167,8 +198,19 @@ class _Parser:
             self.head[name.strip().lower().decode()] = value.strip().decode()
             return
         self.left = int(self.head["content-length"])
-        self.chunk, self.number, self.total, self.sha = bytearray(), 0, 0, hashlib.sha1()
-        self.state = "http" if self.head.get("content-type", "").startswith("application/http") else "payload"
+        if self.head.get("warc-type") == "continuation":
+            self.number_of_segment += 1
+            if not self.open or (self.head.get("warc-segment-origin-id"), self.head.get("warc-segment-number")) != (self.record.get("warc-record-id"), str(self.number_of_segment)):
+                raise ValueError("a segment does not follow the one before it")
+            self.open = "warc-segment-total-length" not in self.head
+            self.state = self.within
+        else:
+            if self.open:
+                raise ValueError("the last segment of a record is missing")
+            self.record, self.number_of_segment = self.head, 1
+            self.open = self.head.get("warc-segment-number") == "1" and "warc-segment-total-length" not in self.head
+            self.chunk, self.number, self.total, self.sha = bytearray(), 0, 0, hashlib.sha1()
+            self.state = "http" if self.head.get("content-type", "").startswith("application/http") else "payload"
         if not self.left:
             self._finish()
 
@@ -194,7 +236,7 @@ class _Parser:
     def _emit(self, last: bool) -> None:
         self.sha.update(self.chunk)
         self.total += len(self.chunk)
-        get = self.head.get
+        get = self.record.get
         declared = get("x-payload-length")
         row = (
             _record_name(get("warc-record-id")), get("warc-type"), get("warc-target-uri"), _record_name(get("warc-refers-to")), self.number, last,
@@ -205,8 +247,9 @@ class _Parser:
         self.chunk, self.number = bytearray(), self.number + 1
 
     def _finish(self) -> None:
-        self._emit(True)
-        self.state = "between"
+        if not self.open:
+            self._emit(True)
+        self.within, self.state = self.state, "between"
 
 
 def _record_name(uri: str | None) -> str | None:

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from splitguard.llm import hilbert, licences, warc
@@ -21,10 +22,11 @@ def odd_pages(spark):
     return spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit("clash"), "uri": F.lit("clash"), "n_rows": F.lit(1)})
 
 
-def test_archives_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("segment_bytes", [warc.SEGMENT_BYTES, 1000, 7])
+def test_archives_round_trip(spark, tmp_path, segment_bytes):
     pages = odd_pages(spark)
     plan = warc.revisit_plan(pages)
-    warc.write_archives(plan, str(tmp_path / "w"))
+    warc.write_archives(plan, str(tmp_path / "w"), segment_bytes=segment_bytes)
     chunks = warc.read_chunks(spark, str(tmp_path / "w"), chunk_bytes=700).collect()
     by_record = defaultdict(list)
     for c in chunks:
@@ -49,6 +51,44 @@ def test_archives_round_trip(spark, tmp_path):
     assert ends[("1", "revisit")].payload_bytes == 13004
 
 
+def test_long_payloads_without_line_feeds_are_never_one_line(spark, tmp_path):
+    text = "".join(f"{i}é漢😀" for i in range(150_000))
+    pages = spark.createDataFrame([(1, "u", text), (2, "u", text + "!"), (3, "u", text)], "page_id long, url string, html string")
+    warc.write_archives(warc.revisit_plan(pages), str(tmp_path / "w"), segment_bytes=1 << 16)
+    lines = [line for p in (tmp_path / "w").glob("*.gz") for line in gzip.open(p).read().split(b"\n")]
+    assert max(map(len, lines)) <= (1 << 16) + 8
+    chunks = [c for c in warc.read_chunks(spark, str(tmp_path / "w"), chunk_bytes=50_000).collect() if c.record_id == "2"]
+    chunks.sort(key=lambda c: c.chunk_no)
+    data = b"".join(c.data for c in chunks)
+    assert data.decode() == text + "!" and max(len(c.data) for c in chunks) == 50_000
+    assert [c.is_last for c in chunks] == [False] * (len(chunks) - 1) + [True]
+    assert chunks[-1].running_sha1 == hashlib.sha1(data).hexdigest() == chunks[-1].header_digest
+    ends = {r.record_id: r for r in warc.record_ends(warc.read_chunks(spark, str(tmp_path / "w"), with_data=False)).collect()}
+    assert (ends["1"].record_type, ends["1"].refers_to, ends["3"].payload_bytes) == ("revisit", "3", len(text.encode()))
+
+
+@pytest.mark.parametrize("drop", [1, 2, 3])
+def test_a_broken_chain_of_segments_is_an_error(drop):
+    def record(number, body):
+        kind = "response" if number == 1 else "continuation"
+        more = "" if number == 1 else "WARC-Segment-Origin-ID: <a>\r\n"
+        more += "WARC-Segment-Total-Length: 6\r\n" if number == 3 else ""
+        head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{'a' if number == 1 else number}>\r\n{more}WARC-Segment-Number: {number}\r\n"
+        return f"{head}Content-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
+
+    def parse(numbers):
+        out = warc._Batches(True)
+        parser = warc._Parser(4, out)
+        for line in b"".join(record(k, "xy") for k in numbers).split(b"\n")[:-1]:
+            parser.feed(line)
+        parser.end_of_file("f")
+        return out.take().column("data").to_pylist()
+
+    assert parse([1, 2, 3]) == [b"xyxy", b"xy"]
+    with pytest.raises(ValueError):
+        parse([k for k in (1, 2, 3) if k != drop])
+
+
 def test_archives_are_warc(spark, tmp_path):
     warc.write_archives(warc.revisit_plan(odd_pages(spark).coalesce(1)).coalesce(1), str(tmp_path / "w"))
     raw = b"".join(gzip.open(p).read() for p in sorted((tmp_path / "w").glob("*.gz")))
