@@ -17,7 +17,7 @@ from splitguard.functions.numbers import safe_ratio
 from splitguard.operators.order_stats import exact_percentiles
 from splitguard.operators.scoring import auroc
 from splitguard.operators.splits import BY
-from splitguard.storage import attach, pinned
+from splitguard.storage import attach, lookup, materialize, pinned
 
 # --- fixed values: tiers of the checks ---
 SEVERITIES = ("PASS", "LOW", "MEDIUM", "HIGH", "CRITICAL")
@@ -50,13 +50,17 @@ def copied_records(frame: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     """Every test record with a copy in train: the first train record of its key, and how many there are.
 
     Copies meet once per key, so a key held by thousands on both sides gives a row per test record and
-    not one per pair.
+    not one per pair. A key that a large share of the test records hold is answered without gathering them.
     """
-    train = (
-        frame.filter((F.col("split") == "train") & F.col("key").isNotNull())
-        .groupBy(*by, "key").agg(F.min("record_id").alias("train_id"), F.count("*").alias("n_train_copies"))
+    in_train, in_test = F.col("split") == "train", F.col("split") == "test"
+    keys = (
+        frame.filter(F.col("key").isNotNull()).groupBy(*by, "key")
+        .agg(F.min(F.when(in_train, F.col("record_id"))).alias("train_id"), F.count_if(in_train).alias("n_train_copies"), F.count_if(in_test).alias("n_test_copies"))
+        .filter("n_train_copies > 0 AND n_test_copies > 0")
     )
-    return frame.filter(F.col("split") == "test").join(train, [*by, "key"]).select(*by, F.col("record_id").alias("test_id"), "key", "train_id", "n_train_copies")
+    test = frame.filter(in_test & F.col("key").isNotNull()).select(*by, F.col("record_id").alias("test_id"), "key")
+    found = lookup(test, materialize(keys, "copied_keys"), [*by, "key"], "n_test_copies", "test_id")
+    return found.filter("n_train_copies IS NOT NULL").select(*by, "test_id", "key", "train_id", "n_train_copies")
 
 
 def duplicate_severity(frame: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:

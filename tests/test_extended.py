@@ -10,6 +10,21 @@ from splitguard.operators.order_stats import exact_percentiles
 from splitguard.sources.readers import read_table
 
 
+def test_copied_records_of_a_key_that_most_rows_hold(make_frame):
+    split = lambda i: "test" if i % 3 == 0 else "train"
+    rows = [("a", i, "hot" if i % 5 else f"k{i // 10}", None, [], 0.0, split(i)) for i in range(3000)]
+    rows += [("b", i, None, None, [], 0.0, split(i)) for i in range(6)]
+    first, count = {}, {}
+    for d, i, key, *_, side in rows:
+        if side == "train" and key is not None:
+            first[d, key] = min(first.get((d, key), i), i)
+            count[d, key] = count.get((d, key), 0) + 1
+    want = {(d, i, key, first[d, key], count[d, key]) for d, i, key, *_, side in rows if side == "test" and (d, key) in first}
+    got = [(r.dataset, r.test_id, r.key, r.train_id, r.n_train_copies) for r in extended.copied_records(make_frame(rows)).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert extended.copied_records(make_frame(rows).limit(0)).count() == 0
+
+
 def test_copied_records_pair_with_the_first_train_row(make_frame):
     rows = [("a", i, "k", "g", None, 0.0, "train" if i < 50 else "test") for i in range(1, 100)] + [("a", 200, None, "g", None, 0.0, s) for s in ("train", "test")]
     got = extended.copied_records(make_frame(rows)).collect()
