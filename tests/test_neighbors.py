@@ -152,3 +152,35 @@ def test_blocks_find_what_all_pairs_find(spark, monkeypatch):
         assert found == want
     assert best_in_blocks(test, train.limit(0), bounds).count() == 0
     assert best_in_blocks(test.limit(0), train, bounds).count() == 0
+
+
+def test_shared_sizes_against_plain_python(spark):
+    """Every pair of sets, in one cell and in many, with an id that two sets have."""
+    from splitguard.operators.blocks import shared_sizes
+
+    def ordered(sets):
+        rows = [(1, i, len(s), [(0.0, f) for f in sorted(s)]) for i, s in sets]
+        return spark.createDataFrame(rows, "part long, id long, n int, features array<struct<cost: double, feature: long>>")
+
+    train = [(i, {f for f in range(40) if (f * 7 + i) % (i % 5 + 2) == 0}) for i in range(30)] + [(3, {100, 101, 102})]
+    test = [(i, {f for f in range(40) if (f * 3 + i) % (i % 4 + 2) == 0}) for i in range(100, 112)] + [(112, set(range(200, 205)))]
+    pairs = spark.createDataFrame([(1, t, r) for t, _ in test for r in range(30)], "part long, test_id long, train_id long")
+    want = sorted((t, r, len(a & b), len(a | b)) for t, a in test for r, b in train)
+    for size in (10, 1_000_000):
+        got = shared_sizes(pairs, ordered(test), ordered(train), cell_features=size).collect()
+        assert sorted((g["test_id"], g["train_id"], g["shared"], g["either"]) for g in got) == want
+
+
+def test_sets_do_not_travel_with_pairs_and_seeds_are_few(spark):
+    """What is compared for a bound does not grow with the seed features, and no join carries the sets of both sides."""
+    from splitguard.operators import neighbors as nb
+
+    rows = [("d", i, float(i % 2), "test" if i < 5 else "train", [f"w{(i * 3 + k) % 90}" for k in range(30)] + [f"own{i}"]) for i in range(120)]
+    frame = spark.createDataFrame(rows, "dataset string, record_id long, label double, split string, features array<string>")
+    ordered = nb._ordered_sets(nb._distinct_sets(nb._hashed_rows(frame, ("dataset",))), nb.CELL_ROWS)
+    test, train = ordered.filter("NOT in_train").drop("in_train"), ordered.filter("in_train").drop("in_train")
+    pairs = nb._seed_pairs(test, train, nb.SEED_FEATURES)
+    counts = [r["count"] for r in pairs.groupBy("test_id").count().collect()]
+    assert len(counts) == 5 and max(counts) <= nb.SEED_PAIRS
+    assert pairs.count() == pairs.distinct().count()
+    assert "array_intersect" not in nb._verify(pairs, test, train)._jdf.queryExecution().toString()
