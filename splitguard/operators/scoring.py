@@ -31,12 +31,16 @@ def auroc(scored: DataFrame, score: str = "score", label: str = "label", by: tup
     slots and then inside each slot, so no window spans all scores. NULL when only one class
     is present.
     """
-    slot = F.least(F.floor(F.col("_score") * _SCORE_SLOTS), F.lit(_SCORE_SLOTS - 1)).cast("int")
-    per_score = (
-        scored.groupBy(*by, F.col(score).alias("_score"))
-        .agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) != 1).alias("_neg"))
-        .withColumn("_slot", slot)
+    per_score = scored.groupBy(*by, F.col(score).alias("_score")).agg(
+        F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) != 1).alias("_neg")
     )
+    return auroc_of_counts(per_score, by)
+
+
+def auroc_of_counts(per_score: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    """``auroc`` of rows that are counted already: _pos and _neg per _score."""
+    slot = F.least(F.floor(F.col("_score") * _SCORE_SLOTS), F.lit(_SCORE_SLOTS - 1)).cast("int")
+    per_score = per_score.withColumn("_slot", slot)
     slots = per_score.groupBy(*by, "_slot").agg(F.sum("_neg").alias("_slot_neg"))
     earlier = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.select(*by, "_slot", F.coalesce(F.sum("_slot_neg").over(earlier), F.lit(0)).alias("_below_slot"))

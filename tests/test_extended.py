@@ -59,6 +59,19 @@ def test_feature_that_is_the_label(make_frame):
     assert got["other"].severity == got["constant"].severity == "PASS"
 
 
+def test_features_are_counted_per_value_before_they_are_scaled(make_frame):
+    frame = make_frame([("a", i, "k", None, None, float(i % 2), "train") for i in range(40)] + [(None, 50, "k", None, None, 1.0, "train")])
+    frame = frame.withColumns({"low": F.col("record_id") % 3 - 1.0, "bad": F.when(F.col("record_id") > 2, float("nan")).otherwise(F.lit(1.0))})
+    found = extended.feature_leaks(frame, ["low", "bad"])
+    # What scales and ranks starts from the counts: no row with its features is joined or shuffled there.
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.dataset, r.feature): (r.measured, r.severity) for r in found.collect()}
+    rows = [(i % 3, i % 2) for i in range(40)]
+    ones, zeros = [x for x, y in rows if y], [x for x, y in rows if not y]
+    won = sum((p > n) + (p == n) / 2 for p in ones for n in zeros) / len(ones) / len(zeros)
+    assert got.keys() == {("a", "low"), ("a", "bad")} and got["a", "low"] == (pytest.approx(max(won, 1 - won)), "PASS")
+
+
 def test_companion_split_and_roll_up(spark, make_frame):
     frame = make_frame([("a", i, "k", "g", None, 0.0, None) for i in range(5)])
     listed = spark.createDataFrame([(0, "train"), (1, "test"), (1, "test"), (2, "train"), (2, "test")], "record_id long, split string")
