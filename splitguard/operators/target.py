@@ -47,7 +47,7 @@ def mutual_information(frame: DataFrame, features: list[str], by: tuple[str, ...
     contingency tables with at most bins x classes cells. A label with one value has no entropy: NULL. Rows
     without the feature's value do not count.
     """
-    rows = materialize(_long(frame, features, by), "feature_values")
+    rows = materialize(_long(frame, features, by).drop("record_id"), "feature_values")
     keys = [*by, "feature"]
     classed = _classed(rows, by, bins, max_classes)
     cells = materialize(_binned(materialize(classed, "classed"), "value", keys, bins).groupBy(*keys, "bin", "class").agg(F.count("*").alias("o")), "cells")
@@ -76,6 +76,7 @@ def target_leaks(frame: DataFrame, features: list[str], by: tuple[str, ...] = BY
 
 def leak_evidence(frame: DataFrame, leaks: DataFrame, by: tuple[str, ...] = BY, shown: int = SHOWN, bins: int = BINS, max_classes: int = MAX_CLASSES) -> DataFrame:
     """Rows that show each CRITICAL feature: for each class of the label the ``shown`` train rows first by md5 of their id."""
+    leaks = materialize(leaks, "leaks")
     hit = [r["feature"] for r in leaks.filter("severity = 'CRITICAL'").select("feature").distinct().collect()]
     if not hit:
         return leaks.limit(0).select(*by, "feature", F.lit(None).cast(frame.schema["record_id"].dataType).alias("record_id"), F.lit(0.0).alias("value"), F.lit(0.0).alias("label"))

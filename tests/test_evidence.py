@@ -45,6 +45,20 @@ def test_evidence_rows_of_a_leak(make_frame):
     assert target.target_leaks(make_frame([]).withColumn("x", F.lit(1.0)), ["x"]).collect() == []
 
 
+def test_leaks_are_found_once_for_their_evidence(spark, make_frame):
+    frame = labelled(make_frame, 200, lambda i: i % 2).withColumn("same", -F.col("label"))
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(len(batch))
+            yield batch
+
+    leaks = spark.createDataFrame([("a", "same", "CRITICAL")], "dataset string, feature string, severity string").coalesce(1)
+    rows = target.leak_evidence(frame, leaks.mapInPandas(counted, leaks.schema), shown=2).collect()
+    assert len(rows) == 4 and runs.value == 1
+
+
 def timed(spark, rows):
     return spark.createDataFrame([("a", e, s, t and datetime.datetime(2024, 1, t, 13)) for e, s, t in rows], "dataset string, group_key string, split string, time timestamp")
 
