@@ -184,3 +184,15 @@ def test_sets_do_not_travel_with_pairs_and_seeds_are_few(spark):
     assert len(counts) == 5 and max(counts) <= nb.SEED_PAIRS
     assert pairs.count() == pairs.distinct().count()
     assert "array_intersect" not in nb._verify(pairs, test, train)._jdf.queryExecution().toString()
+
+
+def test_sets_with_many_entries_to_look_through_go_to_blocks(spark):
+    features = "array<struct<cost:double,feature:long,test_cells:int,n_train:long>>"
+    lists = {1: (15, 15), 2: (3, 3)}
+    tests = [(7, k, 2, 0, [(1.0, 10 * k + i, 1, n) for i, n in enumerate(each)]) for k, each in lists.items()]
+    test = spark.createDataFrame(tests, f"part long, id long, n int, front int, features {features}")
+    train = spark.createDataFrame([(7, 100 + i) for i in range(100)], "part long, id long")
+    bounds = spark.createDataFrame([(7, k, 100, 1, 3) for k in lists], "part long, test_id long, train_id long, shared int, either int")
+    # Entries that leave a join are shuffled, so a tenth of the train sets is enough to compare with all of them in blocks.
+    routed = nb._routed(bounds, test, train, nb.BLOCK_SHARE)
+    assert {r.test_id: r.by_blocks for r in routed.collect()} == {1: True, 2: False}
