@@ -27,3 +27,18 @@ def test_the_sieve_loses_no_feature_and_drops_nearly_all_others(spark):
     assert sieved(frame, table.limit(0), "w").count() == 0
     assert sieved(frame.limit(0), table, "w").count() == 0
     assert sieved(frame, table.withColumn("w", F.lit(1000)), "w").count() == len(sets)
+
+
+def test_labels_meet_the_texts_in_a_broadcast(spark, tmp_path):
+    from splitguard.catalog.frames import labelled_documents
+
+    spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 1), (3, 0), (9, None), (None, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    by_broadcast, by_shuffle = (labelled_documents(spark, str(tmp_path), k) for k in (4, 3))
+    assert sorted(map(str, by_broadcast.collect())) == sorted(map(str, by_shuffle.collect())) and by_broadcast.count() == 31
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [f.filter("quality IS NOT NULL")._jdf.queryExecution().executedPlan().toString() for f in (labelled_documents(spark, str(tmp_path), k) for k in (4, 3))]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" in plans[1]
