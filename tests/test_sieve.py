@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from splitguard.operators.blocks import _ranges_of_sizes
 from splitguard.operators.sieve import sieved
 
 SETS = "part long, id string, in_train boolean, n int, feats array<bigint>"
@@ -29,6 +30,15 @@ def test_the_sieve_loses_no_feature_and_drops_nearly_all_others(spark):
     assert sieved(frame, table.withColumn("w", F.lit(1000)), "w").count() == len(sets)
 
 
+def test_neighbouring_classes_of_sizes_share_a_range(spark):
+    rows = [(p, c, [0] * n) for p, sizes in ((1, [30, 30, 30, 400_000, 20]), (2, [7])) for c, n in enumerate(sizes)]
+    held = spark.createDataFrame(rows, "part long, size_class int, features array<int>")
+    got = sorted((r.part, r.low, r.high, r.cells) for r in _ranges_of_sizes(held, 1_000_000).collect())
+    assert got == [(1, 0, 3, 2), (1, 4, 4, 1), (2, 0, 0, 1)]
+    small = sorted((r.part, r.low, r.high, r.cells) for r in _ranges_of_sizes(held.filter("part = 1"), 60).collect())
+    assert small == [(1, 0, 1, 1), (1, 2, 3, 6668), (1, 4, 4, 1)]
+
+
 def test_labels_meet_the_texts_in_a_broadcast(spark, tmp_path):
     from splitguard.catalog.frames import labelled_documents
 
