@@ -99,7 +99,7 @@ def corpus_overlap(spark, sf_dir):
 
 
 def _neighbors(spark, sf_dir):
-    return materialize(nearest_neighbors(materialize(random_split(judged_documents(spark, sf_dir)), "frame")), "neighbors")
+    return materialize(nearest_neighbors(random_split(judged_documents(spark, sf_dir))), "neighbors")
 
 
 def near_and_far(spark, sf_dir):

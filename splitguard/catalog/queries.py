@@ -31,7 +31,7 @@ from splitguard.functions.records import (
 from splitguard.operators.detect import find_key_column
 from splitguard.operators.duplicates import duplicate_check, leaked_rows
 from splitguard.operators.groups import group_check, groups_only_in_test, shared_groups
-from splitguard.operators.neighbors import nearest_neighbors, similarity_check, similarity_histogram
+from splitguard.operators.neighbors import hashed, nearest_neighbors, similarity_check, similarity_histogram
 from splitguard.operators.prepare import load_strict, missing_sides, prepare, project_record, unexpected_splits
 from splitguard.operators.scoring import baseline_check, metric_name
 from splitguard.operators.splits import group_split, random_split
@@ -293,17 +293,17 @@ def conversations_only_in_test(spark, sf_dir):
 
 
 def _split_and_neighbors(spark, sf_dir, label="quality"):
-    frame = materialize(split_judged(spark, sf_dir, label), "frame")
+    frame = hashed(split_judged(spark, sf_dir, label))
     return frame, materialize(nearest_neighbors(frame), "neighbors")
 
 
 def nn_similarity(spark, sf_dir):
-    frame = materialize(split_judged(spark, sf_dir), "frame")
+    frame = split_judged(spark, sf_dir)
     return _rounded(nearest_neighbors(frame).select("record_id", "similarity"), "similarity")
 
 
 def nn_label_copy(spark, sf_dir):
-    frame = materialize(split_judged(spark, sf_dir), "frame")
+    frame = split_judged(spark, sf_dir)
     return _rounded(
         nearest_neighbors(frame).select("record_id", "label", "similarity", "nn_id", "nn_label"), "similarity"
     )
@@ -311,7 +311,7 @@ def nn_label_copy(spark, sf_dir):
 
 def nn_label_copy_conversations(spark, sf_dir):
     """Short records: many equal sets, many ties, and rows that share nothing with train."""
-    frame = materialize(random_split(conversation_frame(spark, sf_dir)), "frame")
+    frame = random_split(conversation_frame(spark, sf_dir))
     return _rounded(
         nearest_neighbors(frame).select("record_id", "label", "similarity", "nn_id", "nn_label"), "similarity"
     )
@@ -324,7 +324,7 @@ def nn_label_copy_shingles(spark, sf_dir):
         docs, key=identity_key("text"), label=F.col("quality").cast("double"), group_key=F.col("source"),
         features=word_shingles("text", 3), dataset="documents",
     )
-    frame = materialize(random_split(frame), "frame")
+    frame = random_split(frame)
     return _rounded(nearest_neighbors(frame).select("record_id", "similarity", "nn_id", "nn_label"), "similarity")
 
 
@@ -355,7 +355,7 @@ def baseline_r2(spark, sf_dir):
 def baseline_one_class(spark, sf_dir):
     """Test keeps only its positive class: AUROC is undefined, and says so."""
     frame = split_judged(spark, sf_dir).filter((F.col("split") == "train") | (F.col("label") == 1))
-    frame = materialize(frame, "frame")
+    frame = hashed(frame)
     neighbors = materialize(nearest_neighbors(frame), "neighbors")
     scores = baseline_check(frame, neighbors)
     return scores.select("dataset", "metric_name", "score", F.col("score").isNull().alias("inconclusive"))
