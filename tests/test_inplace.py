@@ -50,6 +50,11 @@ def test_blocks_in_place_find_what_all_pairs_find(spark, monkeypatch, size, coun
         key = (-r.shared / r.either, r.train_id, r.shared, r.either)
         found[r.part, r.test_id] = min(found.get((r.part, r.test_id), key), key)
     assert found == brute(rows)
+    found = {}
+    for r in inplace.best_in_place(held, None, size, size).collect():
+        key = (-r.shared / r.either, r.train_id, r.shared, r.either)
+        found[r.part, r.test_id] = min(found.get((r.part, r.test_id), key), key)
+    assert found == brute(rows)
     assert inplace.best_in_place(held, vocabulary.limit(0)).count() == 0
     assert inplace.best_in_place(held.filter("in_train"), vocabulary).count() == 0
 
@@ -68,10 +73,12 @@ def written(spark, run):
     return sorted(p.name for p in set(shared.glob("*/*")) - before)
 
 
-def test_tokens_go_in_place_and_rare_features_do_not(spark, make_frame):
+def test_what_is_joined_by_key_are_rare_features_with_many_pairs(spark, make_frame, monkeypatch):
     frequent = [("a", i, None, None, [f"w{(i * k) % 17}" for k in range(1, 9)] + [f"x{i}"], 0.0, "test" if i % 4 == 0 else "train") for i in range(60)]
     rare = [("a", i, None, None, [f"own{i}-{k}" for k in range(9)] + [f"w{i // 2}"], 0.0, "test" if i % 2 == 0 else "train") for i in range(60)]
     assert {"cells", "chunks"} <= set(written(spark, lambda: nb.nearest_neighbors(make_frame(frequent)).collect()))
+    assert {"cells", "chunks"} <= set(written(spark, lambda: nb.nearest_neighbors(make_frame(rare)).collect()))
+    monkeypatch.setattr(inplace, "MOST_HITS", 5)
     names = written(spark, lambda: nb.nearest_neighbors(make_frame(rare)).collect())
     assert "ordered_sets" in names and "cells" not in names
     # The features of a record are written once, and sets are told apart by their hashes.
