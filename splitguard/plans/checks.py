@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -138,19 +139,20 @@ def audit_table(spark, path: str, fmt: str | None = None, schema=None, id_col: s
 
     ``options`` go to ``prepare``; blank column names mean detection.
     """
-    clean = _prepared(spark, path, fmt, schema, id_col, options)
+    clean = _prepared(spark, path, fmt, schema, id_col, options, lambda frame: hashed(frame, others=("key", "group_key"), name="prepared"))
     return Prepared(audit(require_rows(clean.frame), stored=True), clean.notes)
 
 
 def fix_table(spark, path: str, fmt: str | None = None, schema=None, id_col: str | None = None, **options) -> Fixed:
     """Read, prepare, guard and repair one table; a missing split is created at random."""
     options["make_split_method"] = "random"
-    return fix_split(require_rows(_prepared(spark, path, fmt, schema, id_col, options).frame), stored=True)
+    clean = _prepared(spark, path, fmt, schema, id_col, options, lambda frame: materialize(frame, "prepared"))
+    return fix_split(require_rows(clean.frame), stored=True)
 
 
-def _prepared(spark, path: str, fmt, schema, id_col, options: dict) -> Prepared:
+def _prepared(spark, path: str, fmt, schema, id_col, options: dict, write: Callable[[DataFrame], DataFrame]) -> Prepared:
     named = {k: (v or None) if k in ("key_col", "label_col", "split_col") else v for k, v in options.items()}
     raw = materialize(read_table(spark, path, fmt, schema, id_col), "raw")
     require_unique_ids(raw)
     clean = prepare(raw, **named)
-    return Prepared(materialize(clean.frame, "prepared"), clean.notes)
+    return Prepared(write(clean.frame), clean.notes)
