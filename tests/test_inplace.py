@@ -3,6 +3,8 @@
 import random
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +127,33 @@ def test_texts_of_a_table_in_many_parts_are_not_dealt_anew(spark, tmp_path):
         assert frame.count() == 40 and "REPARTITION" not in frame._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("share, cost, table", [(0.0, 1e9, 16_000_000), (0.2, 300, 16_000_000), (0.0, 1e9, 300), (1.0, 300, 16_000_000)])
+def test_common_features_are_counted_by_products(spark, monkeypatch, share, cost, table):
+    """However the features are dealt between products and lists, the nearest sets are the same."""
+    monkeypatch.setattr(inplace, "COMMON_SHARE", share)
+    monkeypatch.setattr(inplace, "ENTRY_COST", cost)
+    monkeypatch.setattr(inplace, "TABLE", table)
+    rows = token_sets(5)
+    sets = {s: [r for r in rows if r[0] == 1 and r[1] and r[2] == s] for s in (True, False)}
+    vocabulary = {f: (sum(f in r[4] for r in rows), f) for r in rows for f in r[4]}
+    rank = {f: i for i, f in enumerate(sorted(vocabulary, key=vocabulary.get))}
+
+    def side(some, kind):
+        features = [sorted(rank[f] for f in r[4]) for r in some]
+        return inplace._Sets(pa.array([r[1] for r in some]), np.array([r[3] for r in some]), np.array([len(f) for f in features]), np.array(sum(features, []), dtype=kind))
+
+    made = []
+    products = inplace._products
+    monkeypatch.setattr(inplace, "_products", lambda *a: made.append(1) or products(*a))
+    for ranked, kind in ((True, np.int32), (False, np.int64)):
+        test, train = (side(sorted(sets[s], key=lambda r: r[1]), kind) for s in (False, True))
+        bounds = np.zeros(len(test.n))
+        found = {}
+        for _ in range(2):  # the second time with bounds that only the best reach
+            for batch in inplace._best(1, test, train, inplace._index(train.features, train.sizes), bounds, ranked):
+                for r in batch.to_pylist():
+                    found[1, r["test_id"]] = (-r["shared"] / r["either"], r["train_id"], r["shared"], r["either"])
+            assert found == brute([r for r in rows if r[0] == 1])
+    assert bool(made) == (share < 1)
