@@ -1,5 +1,8 @@
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from splitguard.functions import records
 from splitguard.functions.labels import label_kind, normalized_split, numeric_label
 from splitguard.functions.numbers import fixed, percent, percent_half_up
 from splitguard.functions.records import (
@@ -91,3 +94,21 @@ def test_number_formats(spark):
     assert one(spark, fixed(percent(F.lit(0.0625)), 1)) == "6.2"
     assert one(spark, percent_half_up(F.lit(0.0625))) == 6.3
     assert one(spark, fixed(F.lit(0.125), 2)) == "0.12"
+
+
+@pytest.mark.parametrize("chars", [1_000_000, 5])
+def test_hashed_character_runs_are_the_runs(spark, monkeypatch, chars):
+    """As many distinct ones per text, and the same ones shared by any two texts."""
+    monkeypatch.setattr(records, "RUN_CHARS", chars)
+    texts = ["abcabcabd", "ABC  abc", "ab", "a", "b", "", "  ", None, "añb€😀añb€😀", "😀a", "abcd" * 50, "\U0010ffff" * 3, "ab\n\nabd"]
+    for width in (1, 3, 12):
+        plain = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(records.char_shingles("t", width)).collect()]
+        normal = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(records.normalized_text("t")).collect()]
+        hashed = records._run_hashes(pa.array(normal, pa.string()), width).to_pylist()
+        assert plain[7] == hashed[7] == [None]
+        sets = [(set(p or ()), set(h or ())) for p, h in zip(plain, hashed)]
+        assert all(len(p) == len(h) == len(list(h)) for p, h in sets)
+        assert all(len(p & q) == len(h & g) for p, h in sets for q, g in sets)
+    assert records._run_hashes(pa.array([], pa.string()), 3).to_pylist() == []
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(records.char_run_hashes("t", 3).alias("h")).collect()
+    assert [r.h for r in got] == records._run_hashes(pa.array(normal, pa.string()), 3).to_pylist()
